@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of text that a Python worker holds as arrays at a time.
 CHUNK_CHARS = 2 << 20
@@ -17,23 +20,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation.
-
-    The folder is what ``spark.checkpoint.dir`` says. Only where that is unset (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: what ``spark.checkpoint.dir`` says, or (tests on one machine) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same for wide rows, as Parquet."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def id_crc(column: str | Column) -> Column:
     """CRC-32 of the identifier as text (of the empty text for null)."""
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary"))
 
 
+def append(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], work) -> DataFrame:
+    """All columns of ``docs`` and new ones, which ``work`` makes from a list of texts (a list for each field).
+
+    The new ones are named ``_new_`` and the field's name, so that no column of ``docs`` clashes with them.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    place = docs.columns.index(text_col)
+    kinds = [to_arrow_type(t) for _, t in fields]
+    names = [*docs.columns, *(f"_new_{name}" for name, _ in fields)]
+
+    def run(batches):
+        for batch in batches:
+            start = 0
+            for (texts,) in pieces([batch.select([place])], 0):
+                new = work(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], names)
+                start += len(texts)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_new_{name}", t) for name, t in fields)]))
+
+
 def pieces(batches, text: int = 1):
     """Cut Arrow batches into lists of Python values, one list a column, of bounded text size.
 

@@ -100,3 +100,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = passes.join(slots, ["sid", "rank"], "left") if total else passes.withColumn("_taken", F.lit(None).cast("int"))
     per = joined.groupBy("_id", "_at", "size", "source_size", "target", "sid").agg(F.coalesce(F.sum(F.when(F.col("_taken").isNotNull(), words)), F.lit(0)).cast("long").alias("taken"), F.sum((F.col("_pass") == 0).cast("int") * F.when(F.col("rank").isin(-1), 1).otherwise(F.when(F.col("rank") == F.floor(F.col("_first") / block), 1).otherwise(0))).alias("_rows"))
     return per.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_rows")))).select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("taken") / F.col("_rows")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    The last document that a source's target reaches is taken whole if half of its words are, and left out if not. Rows without
+    words are never taken. Repeated rows of one id are all taken as often as the most taken one.
+    """
+    taken = mix(docs, id_col, text_col, source_col).where("size > 0").groupBy(F.col(id_col).alias("_taken_id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_times")).where("_times > 0")
+    met = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
+    return met.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)

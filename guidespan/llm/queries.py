@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidespan.llm import audio, mixing, sharding, tokens
-from guidespan.llm.common import table
+from guidespan.llm import audio, decontam, language, mixing, ngram_join, sharding, tokens, toxicity
+from guidespan.llm.common import id_crc, table
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), id_crc("doc_id") % 3 == 1
+    return language.identify(docs, language.fit(docs, ~out)).withColumn("held_out", out)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), id_crc("doc_id") % 4 == 2
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out), 0.3).withColumn("held_out", out)
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.describe(table(spark, sf_dir, "documents"))
 
@@ -23,12 +37,16 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op7_media, op8_tokens, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_mixing, op4_toxicity, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding)}
 
 SQL: dict[str, str] = {
     # The schedule holds every block of a source up to its target once, so the words taken follow from the place of the document.
