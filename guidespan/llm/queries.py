@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidespan.llm import audio, decontam, language, mixing, ngram_join, sharding, tokens, toxicity
+from guidespan.llm import audio, decontam, html_text, language, mixing, ngram_join, pii, sharding, tokens, toxicity
 from guidespan.llm.common import id_crc, table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), id_crc("doc_id") % 3 == 1
     return language.identify(docs, language.fit(docs, ~out)).withColumn("held_out", out)
@@ -23,6 +28,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out), 0.3).withColumn("held_out", out)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{kind}" for kind in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), 0.8)
 
@@ -46,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_mixing, op4_toxicity, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding)}
 
 SQL: dict[str, str] = {
     # The schedule holds every block of a source up to its target once, so the words taken follow from the place of the document.
