@@ -349,8 +349,11 @@ class Tagger:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Tagger:
     """Fit on SAMPLE pages at most, by a hash of the id, of SAMPLE_CHARS characters at most (extraction takes all, whole)."""
-    rows = pages.where(F.length(html_col).between(1, SAMPLE_CHARS)).select(F.xxhash64(F.col(id_col)).alias("_hash"), F.col(html_col).alias("_html"))
-    got = [r["_html"] for r in rows.orderBy("_hash", "_html").limit(SAMPLE).collect()]
+    rows = pages.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_hash"), F.col(html_col).cast("string").alias("_html")).where(F.length("_html").between(1, SAMPLE_CHARS))
+    # The ids first, so that no task sends SAMPLE whole pages.
+    picked = rows.select("_hash", "_id").orderBy("_hash", "_id").limit(SAMPLE).select("_id").distinct()
+    got = rows.join(F.broadcast(picked), "_id", "left_semi").select("_hash", "_html").collect()
+    got = [h for _, h in sorted(set(map(tuple, got)))][:SAMPLE]
     return fit_pages(got)
 
 
