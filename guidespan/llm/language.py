@@ -128,11 +128,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     Languages beyond the first LANGUAGES by code point are left out. The workers count the n-grams, of whole texts.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    picked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"))
-    picked = picked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE)
-    some = picked.select("_lang").distinct().orderBy("_lang").limit(LANGUAGES)
-    picked = picked.join(F.broadcast(some), "_lang").select("_id").distinct()  # SAMPLE * LANGUAGES rows at most
+    names = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"))
+    known = names.groupBy("_lang").agg(F.count("*").alias("_rows")).orderBy("_lang").limit(LANGUAGES)
+    # A share of each language's hashes holds about SAMPLE rows and some more; of these the first SAMPLE are taken.
+    share = (F.pmod("_hash", F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    few = names.join(F.broadcast(known), "_lang").where(share * F.col("_rows") <= 1.2 * SAMPLE + 50)
+    picked = few.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))).where(F.col("_n") <= SAMPLE).select("_id").distinct()
     chosen = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id", "left_semi")
 
     def run(batches):

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidespan.llm.common import pieces
@@ -24,7 +24,7 @@ SHORTEST, LONGEST = 3, 6
 #: Words of a segment, and the worst segments of a document that training and scoring look at.
 SEGMENT, WORST = 1, 4
 #: Labelled rows of each label that the model is fitted on at most, and the longest text (in characters) taken for that.
-SAMPLE, SAMPLE_CHARS = 1000, 12_000
+SAMPLE, SAMPLE_CHARS = 700, 12_000
 #: Gradient steps on all segments, then phases, each of so many steps on the segments that it finds worst.
 STEPS, PHASES, PHASE_STEPS = 4, 4, 8
 #: What each step takes off the vectors, so that rare n-grams don't learn texts by heart.
@@ -190,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     """
     rows = labels.where(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label"))
     rows = rows.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_hash", F.xxhash64("_id"))
-    picked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))).where(F.col("_n") <= SAMPLE)
+    # Each task keeps SAMPLE rows of a label at most.
+    one = lambda label: rows.where(F.col("_label") == label).orderBy("_hash", "_id").limit(SAMPLE)
+    picked = one(0).unionByName(one(1))
     toxic, known = rows.agg(F.sum("_label"), F.count("*")).first()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS))
     got = texts.join(F.broadcast(picked), "_id").select("_hash", "_id", "_label", "_text").collect()  # two times SAMPLE rows at most
