@@ -81,7 +81,7 @@ class Blocks(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.flush()
             if tag in ENDS_P and any(t == "p" for t, _ in self.stack[-6:]):
                 self.pop("p")
@@ -104,7 +104,7 @@ class Blocks(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.flush()
         self.pop(tag)
 

@@ -88,7 +88,8 @@ class Model:
             return None
         starts = np.arange(0, len(words), SEGMENT)
         logit = np.add.reduceat(self.values(words), starts) / np.minimum(SEGMENT, len(words) - starts) + self.bias
-        worst = np.partition(logit, len(logit) - WORST)[-WORST:] if len(logit) > WORST else logit
+        few = min(WORST, (len(logit) + 1) // 2)  # half of a short text at most
+        worst = np.partition(logit, len(logit) - few)[-few:]
         toxic = float((logit > 0).sum())
         return np.array([worst.max(), worst.mean(), np.log1p(toxic), toxic / len(logit), 1.0])
 
