@@ -37,12 +37,18 @@ def ranged(left: DataFrame, right: DataFrame, lo, hi, right_pos: str) -> DataFra
     return left.join(right, on).drop("_seq", "_bin", "_left_bin", "_lo", "_hi")
 
 
-def nearest(points: DataFrame, marks: DataFrame, pos: str = "pos") -> DataFrame:
-    """Points (seq_id, pos, ...) with the nearest mark of their seq_id (seq_id, mark): the lower one on ties, null without any."""
-    both = points.withColumn("_mark", F.lit(None).cast("long")).unionByName(marks.select("seq_id", F.col("mark").alias(pos), F.col("mark").alias("_mark")).distinct(), allowMissingColumns=True)
-    order = Window.partitionBy("seq_id").orderBy(F.col(pos), F.col("_mark").asc_nulls_last())
-    back = Window.partitionBy("seq_id").orderBy(F.col(pos).desc(), F.col("_mark").asc_nulls_last())
-    span = (Window.unboundedPreceding, 0)
-    both = both.withColumn("_is", F.col("_mark").isNotNull()).withColumn("_below", F.last("_mark", True).over(order.rowsBetween(*span))).withColumn("_above", F.last("_mark", True).over(back.rowsBetween(*span)))
-    near = F.when(F.col("_below").isNull(), F.col("_above")).when(F.col("_above").isNull(), F.col("_below")).when(F.col(pos) - F.col("_below") <= F.col("_above") - F.col(pos), F.col("_below")).otherwise(F.col("_above"))
-    return both.withColumn("nearest", near).where("not _is").drop("_mark", "_is", "_below", "_above")
+def nearest(points: DataFrame, marks: DataFrame, pos: str = "pos", info: str | None = None) -> DataFrame:
+    """Points (seq_id, pos, ...) with the nearest mark of their seq_id (seq_id, mark), null without any: the lower one on ties, or that
+    of the lesser ``info``, which then comes along as ``nearest_info``.
+
+    Only distinct bins are put in order along a sequence: each knows its own marks, BIN of them at most, and the next ones outside.
+    """
+    own = marks.select("seq_id", "mark", (F.col(info) if info else F.lit(0)).alias("i")).groupBy("seq_id", "mark").agg(F.min("i").alias("i"))
+    held = own.groupBy("seq_id", F.floor(F.col("mark") / BIN).alias("_bin")).agg(F.collect_list(F.struct("mark", "i")).alias("_marks"))
+    bins = points.select("seq_id", F.floor(F.col(pos) / BIN).alias("_bin")).distinct().join(held, ["seq_id", "_bin"], "full")
+    up, down, before = Window.partitionBy("seq_id").orderBy("_bin"), Window.partitionBy("seq_id").orderBy(F.col("_bin").desc()), (Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_low", F.last(F.array_max("_marks"), True).over(up.rowsBetween(*before))).withColumn("_high", F.last(F.array_min("_marks"), True).over(down.rowsBetween(*before)))
+    near = F.array_compact(F.concat(F.coalesce("_marks", F.array("_low")), F.array("_low", "_high")))
+    best = F.array_min(F.transform(near, lambda m: F.struct(F.abs(m["mark"] - F.col(pos)).alias("d"), m["i"].alias("i"), m["mark"].alias("mark"))))
+    rows = points.withColumn("_bin", F.floor(F.col(pos) / BIN)).join(bins, ["seq_id", "_bin"], "left").withColumn("_best", best)
+    return rows.select(*points.columns, F.col("_best.mark").alias("nearest"), *([F.col("_best.i").alias("nearest_info")] if info else []))
