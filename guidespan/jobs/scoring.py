@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from guidespan.functions import scores as V
 from guidespan.functions import seq as S
 from guidespan.jobs import queries as Q
-from guidespan.operators import batches, library
+from guidespan.operators import batches, library, pairs
 from guidespan.sources import contigs as C
 
 WEIGHTS = V.rule_weights(20)
@@ -101,7 +101,24 @@ def model_provenance(spark, sf_dir):
     return batches.provenance(rows, "model", "note")
 
 
-QUERIES = {f.__name__: f for f in (weighted_hits, specificities, flanked_specificity, guide_activities, best_windows, library_candidates, all_stretches, library_guides, library_summary, batch_remaining, batch_manifest, batch_union, model_provenance)}
+def pair_evaluation(spark, sf_dir):
+    """Gap pairs with two models and one hit a side, evaluated and ranked; ranks of pairs that have none are -1."""
+    rows = Q.gap_pairs(spark, sf_dir)
+
+    def side(name):
+        flank = F.col(f"{name}_flank_seq")
+        score = F.round(S.activity(flank), 9)
+        model = lambda n, s, own: F.struct(F.lit(n).alias("name"), s.alias("score"), F.lit(True).alias("applicable"), F.lit(own).alias("calibrated"), F.lit(False).alias("is_fallback"), F.lit(False).alias("reference_only"))
+        hit = F.struct(F.lit("h").alias("locus_id"), F.round((1 - score) / 4, 6).alias("score"), F.lit(None).cast("double").alias("upper"), F.lit(False).alias("forbidden"), F.lit(False).alias("is_bulge"), F.lit(False).alias("bulge_calibrated"))
+        return F.struct((flank != "").alias("valid"), F.lit(True).alias("search_complete"), F.array(model("rule", score, True), model("balance", F.round(S.gc_fraction(flank), 6), False)).alias("on_models"), F.array(hit).alias("off_hits"), F.lit(None).cast("double").alias("aggregate_specificity")).alias(name)
+
+    ids = F.concat_ws(":", *(F.col(c).cast("string") for c in ("seq_id", "left_pos", "right_pos")))
+    compatibility = F.struct((F.col("gap") == 4).alias("hard_fail"), F.when(F.col("gap") > 10, F.array(F.lit("wide"))).otherwise(F.array().cast("array<string>")).alias("soft_warnings"))
+    rows = pairs.evaluate(rows.select(ids.alias("pair_id"), F.lit(True).alias("search_complete"), side("left"), side("right"), compatibility.alias("compatibility")), pairs.Policy())
+    return rows.select("pair_id", "status", "tier", "risk_class", F.round("burden", 6).alias("burden"), F.round("disagreement", 6).alias("disagreement"), "penalty", F.concat_ws(";", "reasons").alias("reasons"), F.coalesce(F.col("pair_rank").cast("long"), F.lit(-1)).alias("pair_rank"), F.coalesce(F.col("conditional_rank").cast("long"), F.lit(-1)).alias("conditional_rank"))
+
+
+QUERIES = {f.__name__: f for f in (weighted_hits, specificities, flanked_specificity, guide_activities, best_windows, library_candidates, all_stretches, library_guides, library_summary, batch_remaining, batch_manifest, batch_union, model_provenance, pair_evaluation)}
 
 # SQL
 
@@ -160,3 +177,16 @@ SQL = {
     "model_provenance": Q._sql("sites", """SELECT model, count(*) AS n_rows, count(*) FILTER (note <> '') AS n_fallback, coalesce(string_agg(DISTINCT nullif(note, ''), '; ' ORDER BY nullif(note, '')), '') AS notes FROM (
       SELECT CASE WHEN window_start >= 4 AND window_start + 26 <= length(seq) THEN 'logistic' ELSE 'rule' END AS model, CASE WHEN window_start >= 4 AND window_start + 26 <= length(seq) THEN '' WHEN window_start < 4 THEN 'window cut at the start' ELSE 'window cut at the end' END AS note FROM sites JOIN c USING (seq_id)) GROUP BY model"""),
 }
+
+_PAIRS = ", ".join((
+    "pe AS (SELECT seq_id || ':' || left_pos || ':' || right_pos AS pair_id, gap, coalesce(left_flank_seq, '') AS lf, coalesce(right_flank_seq, '') AS rf FROM p)",
+    f"ps AS (SELECT pair_id, gap, lf, rf, round({Q._activity('lf')}, 9) AS ls, round({Q._activity('rf')}, 9) AS rs, round({Q._gc('lf')}, 6) AS lb, round({Q._gc('rf')}, 6) AS rb FROM pe)",
+    "pv AS (SELECT 'rule' AS m, ls AS v FROM ps UNION ALL SELECT 'rule', rs FROM ps UNION ALL SELECT 'balance', lb FROM ps UNION ALL SELECT 'balance', rb FROM ps)",
+    "pc AS (SELECT m, v, (coalesce(sum(n) OVER (PARTITION BY m ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2) / sum(n) OVER (PARTITION BY m) AS x FROM (SELECT m, v, count(*) AS n FROM pv GROUP BY ALL))",
+    "px AS (SELECT ps.*, a.x AS lsp, b.x AS rsp, c.x AS lbp, d.x AS rbp, least(round((1 - ls) / 4, 6) + 0.05::DOUBLE, 1.0) AS lu, least(round((1 - rs) / 4, 6) + 0.05::DOUBLE, 1.0) AS ru FROM ps JOIN pc a ON a.m = 'rule' AND a.v = ls JOIN pc b ON b.m = 'rule' AND b.v = rs JOIN pc c ON c.m = 'balance' AND c.v = lb JOIN pc d ON d.m = 'balance' AND d.v = rb)",
+    "py AS (SELECT *, CASE WHEN least(greatest(ls, lbp), greatest(rs, rbp)) >= 0.5 THEN 'B' ELSE 'C' END AS tier, lu + ru AS burden, greatest(lu, ru) AS maximum, greatest(abs(lsp - lbp), abs(rsp - rbp)) AS disagreement, CASE WHEN gap > 10 THEN 1 ELSE 0 END AS penalty FROM px)",
+    "pz AS (SELECT *, CASE WHEN burden <= 0.4 AND maximum <= 0.2 THEN 0 WHEN burden <= 0.8 AND maximum <= 0.45 THEN 1 ELSE 2 END AS risk_class, concat_ws(';', CASE WHEN lf = '' THEN 'left_invalid' END, CASE WHEN rf = '' THEN 'right_invalid' END, CASE WHEN gap = 4 THEN 'compatibility_hard_fail' END) AS hard FROM py)",
+    "pw AS (SELECT *, concat_ws(';', nullif(hard, ''), CASE WHEN tier = 'C' THEN 'tier_c' END, CASE WHEN risk_class = 2 THEN 'risk_2' END) AS reasons, CASE WHEN hard <> '' THEN 'rejected' WHEN tier = 'C' OR risk_class = 2 THEN 'conditional' ELSE 'pass' END AS status FROM pz)",
+))
+SQL["pair_evaluation"] = Q._sql("p", "").rstrip() + ", " + _PAIRS + """ SELECT pair_id, status, tier, CAST(risk_class AS INTEGER) AS risk_class, round(burden, 6) AS burden, round(disagreement, 6) AS disagreement, penalty, reasons,
+  CASE WHEN status = 'pass' THEN k ELSE -1 END AS pair_rank, CASE WHEN status = 'conditional' THEN k ELSE -1 END AS conditional_rank FROM (SELECT *, rank() OVER (PARTITION BY status ORDER BY risk_class, tier, burden, maximum, disagreement, penalty) AS k FROM pw)"""

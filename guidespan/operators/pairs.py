@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guidespan.operators.ordinals import numbered
+
 
 @dataclass(frozen=True)
 class Policy:
-    """Thresholds of activity (e_*), of the sum (b_*) and the maximum (m_*) of risks, and of how many risks may be high."""
+    """Thresholds of activity (e_*), of the sum (b_*) and the maximum (m_*) of risks, of a high risk and of how many may be high; and
+    what a risk without an upper bound is raised by."""
 
     e_high: float = 0.8
     e_min: float = 0.5
@@ -20,9 +23,11 @@ class Policy:
     m_low: float = 0.2
     m_high: float = 0.45
     h_max: int = 1
+    delta_default: float = 0.05
+    h_risk: float = 0.7
 
     def __post_init__(self):
-        if not (self.e_fail <= self.e_min <= self.e_high and self.b_low <= self.b_high and self.m_low <= self.m_high) or self.h_max != int(self.h_max):
+        if not (self.e_fail <= self.e_min <= self.e_high and self.b_low <= self.b_high and self.m_low <= self.m_high) or self.h_max != int(self.h_max) or self.delta_default <= 0:
             raise ValueError("thresholds out of order")
 
 
@@ -55,3 +60,67 @@ def risk_class(burden: Column, maximum: Column, high: Column, policy: Policy) ->
 def competition(rows: DataFrame, key: list[Column], name: str, by: list[str]) -> DataFrame:
     """Adds ranks 1, 1, 3, ...: rows of equal keys share one. ``by``: columns that part the rows into rankings."""
     return rows.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(*key)))
+
+
+def _risks(policy: Policy) -> list[Column]:
+    """Burden, maximum, high count and reasons of a side's off_hits; known from the aggregate alone, the latter two are null."""
+    hits, whole = F.coalesce("off_hits", F.filter("off_hits", lambda h: F.lit(False))), F.col("aggregate_specificity")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    upper = lambda h: F.when(h["upper"].isNotNull(), F.when(h["upper"].between(0, 1), h["upper"])).when(h["score"].between(0, 1), F.least(h["score"] + policy.delta_default, F.lit(1.0)))
+    says = lambda what, h: F.concat(F.lit(what + ":"), F.col("side"), F.lit(":"), h["locus_id"])
+    each = F.flatten(F.transform(hits, lambda h: F.array(F.when(flag(h["forbidden"]), says("forbidden_offtarget", h)), F.when(flag(h["is_bulge"]) & ~flag(h["bulge_calibrated"]), says("uncalibrated_bulge", h)), F.when(upper(h).isNull(), F.when(h["upper"].isNull(), says("invalid_offtarget_score", h)).otherwise(says("invalid_offtarget_upper", h))))))
+    ups, none = F.array_compact(F.transform(hits, upper)), F.coalesce(F.size("off_hits"), F.lit(0)) <= 0
+    bad = F.array_compact(F.array(F.when(none & (whole <= 0), F.concat(F.lit("invalid_aggregate_specificity:"), F.col("side")))))
+    burden = F.when(none, F.when(whole > 0, F.greatest(1 / whole - 1, F.lit(0.0))).otherwise(0.0)).otherwise(F.aggregate(ups, F.lit(0.0), lambda a, b: a + b))
+    maximum = F.when(none, F.when(whole.isNull(), 0.0)).otherwise(F.coalesce(F.array_max(ups), F.lit(0.0)))
+    high = F.when(none, F.when(whole.isNull(), 0)).otherwise(F.size(F.filter(ups, lambda u: u >= policy.h_risk)))
+    return [burden.alias("burden"), maximum.alias("maximum"), high.alias("high"), F.concat(bad, F.array_compact(each)).alias("risk_reasons")]
+
+
+def _models(sides: DataFrame, policy: Policy) -> DataFrame:
+    """Per pair and side: tier, how many models rank, their disagreement, and why others don't. Uncalibrated ones count by percentile."""
+    rows = sides.select("pair_id", "side", F.posexplode("on_models").alias("n", "m"))
+    flag = lambda name: F.coalesce(F.col(f"m.{name}"), F.lit(False))
+    name = F.coalesce(F.nullif(F.lower(F.trim("m.name")), F.lit("")), F.concat(F.lit("model_"), F.col("n").cast("string")))
+    why = F.when(~flag("applicable"), "inapplicable_model").when(flag("is_fallback"), "fallback_model").when(flag("reference_only"), "reference_only_model").when(~F.coalesce(F.col("m.score").between(0, 1), F.lit(False)), "invalid_model_score")
+    rows = rows.select("pair_id", "side", "n", name.alias("name"), flag("calibrated").alias("calibrated"), why.alias("why"), F.when(why.isNull(), F.col("m.score")).alias("score"))
+    rows = percentile(rows, "score", ["name"], "p")
+    value = F.when(F.col("calibrated"), F.col("score")).otherwise(F.col("p"))
+    rows = rows.withColumn("value", F.when(F.col("score").isNotNull(), value)).withColumn("p", F.when(F.col("value").isNotNull(), F.col("p")))
+    reason = F.when(F.col("why").isNotNull(), F.struct("n", F.concat_ws(":", "why", "side", "name").alias("r")))
+    rows = rows.groupBy("pair_id", "side").agg(F.count("value").alias("n_models"), F.count_if(F.col("calibrated") & F.col("value").isNotNull()).alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("p").alias("_np"), (F.max("p") - F.min("p")).alias("_d"), F.transform(F.array_sort(F.collect_list(reason)), lambda x: x["r"]).alias("model_reasons"))
+    kind = F.when((F.col("n_models") >= 2) & (F.col("_c") >= 2) & (F.col("_lo") >= policy.e_high), "A").when(F.col("_hi") >= policy.e_min, "B").otherwise("C")
+    return rows.select("pair_id", "side", kind.alias("tier"), "n_models", F.when((F.col("n_models") >= 2) & (F.col("_np") >= 2), F.col("_d")).otherwise(1.0).alias("apart"), "model_reasons")
+
+
+def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Status (pass, conditional or rejected), reasons, tier, risk and rank of each pair.
+
+    rows: pair_id (unique), search_complete, left and right (structs of one type: valid, search_complete, on_models, off_hits without the
+    own target, aggregate_specificity), compatibility (hard_fail, soft_warnings). Hard reasons reject; others make a pair conditional.
+    pair_rank orders the passing, conditional_rank the conditional ones; equal keys share a rank.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(name).alias("s"))
+    sides = rows.select("pair_id", F.explode(F.array(side("left"), side("right"))).alias("x")).select("pair_id", "x.side", "x.s.*")
+    gate = F.array_compact(F.array(F.when(~flag("valid"), F.concat("side", F.lit("_invalid"))), F.when(~flag("search_complete"), F.concat("side", F.lit("_search_incomplete")))))
+    both = sides.select("pair_id", "side", gate.alias("gate"), *_risks(policy)).join(_models(sides, policy), ["pair_id", "side"], "left")
+    both = both.fillna("C", ["tier"]).fillna(0, ["n_models"]).fillna(1.0, ["apart"]).withColumn("model_reasons", F.coalesce("model_reasons", F.array().cast("array<string>")))
+    names = [c for c in both.columns if c not in ("pair_id", "side")]
+    per = both.groupBy("pair_id").agg(*(F.max(F.when(F.col("side") == s, F.struct(*names))).alias(s[0]) for s in ("left", "right")))
+    own = rows.select("pair_id", F.when(~flag("search_complete"), "pair_search_incomplete").alias("_open"), F.when(flag("compatibility.hard_fail"), "compatibility_hard_fail").alias("_hard"), F.greatest(F.coalesce(F.size("compatibility.soft_warnings"), F.lit(0)), F.lit(0)).alias("penalty"))
+    lists = [F.array("_open"), F.col("l.gate"), F.col("r.gate"), F.array("_hard"), *(F.col(f"{s}.{c}") for c in ("risk_reasons", "model_reasons") for s in "lr")]
+    out = own.join(per, "pair_id").select("pair_id", "penalty", F.array_compact(F.concat(*lists)).alias("_hard_reasons"), F.greatest("l.tier", "r.tier").alias("tier"), F.col("l.n_models").alias("left_models"), F.col("r.n_models").alias("right_models"), (F.col("l.burden") + F.col("r.burden")).alias("burden"), F.when(F.col("l.maximum").isNotNull() & F.col("r.maximum").isNotNull(), F.greatest("l.maximum", "r.maximum")).alias("maximum"), (F.col("l.high") + F.col("r.high")).alias("high"), F.greatest("l.apart", "r.apart").alias("disagreement"))
+    out = out.withColumn("risk_class", risk_class(F.col("burden"), F.col("maximum"), F.col("high"), policy))
+    soft = F.array_compact(F.array(F.when(F.col("tier") == "C", "tier_c"), F.when(F.col("burden") > policy.b_high, "burden_above_b_high"), F.when(F.col("maximum") > policy.m_high, "max_offtarget_above_m_high"), F.when(F.col("high") > policy.h_max, "high_risk_above_h_max"), F.when(F.col("risk_class") == 2, "risk_2")))
+    out = out.withColumn("status", F.when(F.size("_hard_reasons") > 0, "rejected").when((F.size(soft) > 0), "conditional").otherwise("pass")).withColumn("reasons", F.concat("_hard_reasons", soft)).drop("_hard_reasons")
+    last = F.lit(float("inf"))
+    key = [F.col("risk_class"), F.col("tier"), F.col("burden"), F.coalesce("maximum", last), F.coalesce(F.col("high").cast("double"), last), F.col("disagreement"), F.col("penalty")]
+    # Rejected pairs come last and get no rank. The lead never falls along the key, so that ranges of it can be ranked apart.
+    turn = F.when(F.col("status") == "pass", 0).when(F.col("status") == "conditional", 1).otherwise(2)
+    lead = turn * 9 + F.col("risk_class") * 3 + F.ascii("tier") - 65 + F.col("burden") / (1 + F.col("burden"))
+    out = numbered(out, "_n", lead, [turn, *key, F.col("pair_id")])
+    first = F.min("_n").over(Window.partitionBy("status", *key))
+    counts = out.groupBy("status").agg(F.count("*").alias("_all"))
+    passed = F.coalesce(counts.where("status = 'pass'").agg(F.max("_all")).select(F.max("max(_all)")).scalar(), F.lit(0))
+    return out.select("*", F.when(F.col("status") == "pass", first).alias("pair_rank"), F.when(F.col("status") == "conditional", first - passed).alias("conditional_rank")).drop("_n")
