@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered
 
 
@@ -114,6 +115,7 @@ def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
     out = out.withColumn("risk_class", risk_class(F.col("burden"), F.col("maximum"), F.col("high"), policy))
     soft = F.array_compact(F.array(F.when(F.col("tier") == "C", "tier_c"), F.when(F.col("burden") > policy.b_high, "burden_above_b_high"), F.when(F.col("maximum") > policy.m_high, "max_offtarget_above_m_high"), F.when(F.col("high") > policy.h_max, "high_risk_above_h_max"), F.when(F.col("risk_class") == 2, "risk_2")))
     out = out.withColumn("status", F.when(F.size("_hard_reasons") > 0, "rejected").when((F.size(soft) > 0), "conditional").otherwise("pass")).withColumn("reasons", F.concat("_hard_reasons", soft)).drop("_hard_reasons")
+    out = cut(out)  # ranked by four passes
     last = F.lit(float("inf"))
     key = [F.col("risk_class"), F.col("tier"), F.col("burden"), F.coalesce("maximum", last), F.coalesce(F.col("high").cast("double"), last), F.col("disagreement"), F.col("penalty")]
     # Rejected pairs come last and get no rank. The lead never falls along the key, so that ranges of it can be ranked apart.
@@ -122,5 +124,5 @@ def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
     out = numbered(out, "_n", lead, [turn, *key, F.col("pair_id")])
     first = F.min("_n").over(Window.partitionBy("status", *key))
     counts = out.groupBy("status").agg(F.count("*").alias("_all"))
-    passed = F.coalesce(counts.where("status = 'pass'").agg(F.max("_all")).select(F.max("max(_all)")).scalar(), F.lit(0))
+    passed = F.coalesce(counts.where("status = 'pass'").select("_all").scalar(), F.lit(0))
     return out.select("*", F.when(F.col("status") == "pass", first).alias("pair_rank"), F.when(F.col("status") == "conditional", first - passed).alias("conditional_rank")).drop("_n")
