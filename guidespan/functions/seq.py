@@ -78,3 +78,14 @@ def flank_weight(base: Column) -> Column:
     """Weight of the base beside a Cas13 site: any but G."""
     b = F.upper(base)
     return F.when(b.isin("A", "C", "U", "T"), 1.0).when(b == "G", 0.25).otherwise(0.5)
+
+
+def inverted_repeat(seq: Column, least: int = 3) -> Column:
+    """Length of the longest stretch whose reverse complement stands after it without overlap; 0 where none has ``least`` bases."""
+    size = F.length(seq)
+    meets = lambda n: F.exists(F.sequence(F.lit(1), size - 2 * n + 1), lambda i: F.position(reverse_complement(F.substring(seq, i, n)), seq, i + n) > 0)
+    return F.when(size >= 2 * least, F.coalesce(F.array_max(F.filter(F.sequence(F.lit(least), F.floor(size / 2).cast("int")), meets)), F.lit(0))).otherwise(0)
+
+
+def repeat_hint(longest: Column, most: int = 4) -> Column:
+    return F.when(longest <= most, "pass").otherwise("warn")

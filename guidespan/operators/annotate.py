@@ -15,6 +15,8 @@ from guidespan.sources.contigs import fetch
 #: The types that count as genes and as transcripts.
 GENES = ("gene", "pseudogene", "ncRNA_gene", "rRNA_gene", "tRNA_gene")
 TRANSCRIPTS = ("mRNA", "transcript", "primary_transcript", "lnc_RNA", "ncRNA", "miRNA", "tRNA", "rRNA", "snoRNA", "snRNA", "antisense_RNA", "misc_RNA", "guide_RNA", "telomerase_RNA", "vault_RNA", "Y_RNA", "RNase_P_RNA", "RNase_MRP_RNA", "C_gene_segment", "V_gene_segment", "D_gene_segment", "J_gene_segment")
+#: Tags of the transcripts whose regions are preferred, in order.
+TAGS = ("MANE", "RefSeq", "APPRIS P1")
 #: Bases of a bin of features: a gene is in few bins, and a bin holds few genes.
 BIN = 4096
 
@@ -35,14 +37,16 @@ def genes(parsed: DataFrame) -> DataFrame:
 
 
 def transcripts(parsed: DataFrame) -> DataFrame:
-    """(transcript_id, seq_id, start, end, strand, transcript_name, mane, gene_key, gene, locus_tag); mane: 0, 1 or, without a tag, 2.
+    """(transcript_id, seq_id, start, end, strand, transcript_name, mane, tag_rank, gene_key, gene, locus_tag); mane: 0, 1 or, without a tag, 2.
 
-    The id is the line's ID. The parent may stand before or after its children.
+    tag_rank is the place among TAGS of the first of the line's tags that is there. The id is the line's ID. The parent may stand before or after its children.
     """
     a = F.col("attrs")
     tags = F.translate(F.coalesce(attribute(a, "tag"), F.lit("")), "_", " ")
     mane = F.when(tags.contains("MANE Select"), 0).when(tags.contains("MANE Plus Clinical"), 1).otherwise(2)
-    rows = parsed.where(F.col("type").isin(*TRANSCRIPTS)).select(attribute(a, "ID", "transcript_id").alias("transcript_id"), "seq_id", "start", "end", "strand", attribute(a, "Name", "ID", "transcript_id").alias("transcript_name"), mane.alias("mane"), F.split(attribute(a, "Parent"), ",").alias("parents"))
+    listed = F.transform(F.split(F.coalesce(attribute(a, "tag"), F.lit("")), ","), F.trim)
+    tag_rank = F.coalesce(*(F.when(F.array_contains(listed, tag), i) for i, tag in enumerate(TAGS)), F.lit(len(TAGS)))
+    rows = parsed.where(F.col("type").isin(*TRANSCRIPTS)).select(attribute(a, "ID", "transcript_id").alias("transcript_id"), "seq_id", "start", "end", "strand", attribute(a, "Name", "ID", "transcript_id").alias("transcript_name"), mane.alias("mane"), tag_rank.alias("tag_rank"), F.split(attribute(a, "Parent"), ",").alias("parents"))
     known = genes(parsed).groupBy("gene_key").agg(F.min(F.struct("gene", "locus_tag")).alias("_g")).select("gene_key", "_g.*")
     return _with_parent(rows.where("transcript_id is not null"), known, "gene_key")
 
