@@ -13,11 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guidespan.llm.common import append, pieces
+from guidespan.llm.common import append, pieces, written
 
 Q = 9
 #: Characters of a window, and the edits allowed in one, as a share of its length.
@@ -171,8 +171,8 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[Dat
 
 
 def _held(items: DataFrame, k: int, passes: int) -> tuple[tuple[int, str], ...]:
-    """The items of pass k, about PASS_CHARS characters."""
-    return tuple(sorted((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()))
+    """The items of pass k, about PASS_CHARS characters; all texts of an item's id, so that it counts once."""
+    return tuple(sorted((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -198,27 +198,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = rows.schema[0].dataType
     id_type = to_arrow_type(kind)
     items, passes = _items(benchmark, item_col, item_text_col)
+    # Ids may be null or shared, so where several passes are put together each row has its own key, written once.
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()) if passes > 1 else rows.withColumn("_row", F.lit(0).cast("long"))
+    rows = written(rows) if passes > 1 else rows
 
     def one(held: tuple[tuple[int, str], ...]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(held)  # PASS_CHARS characters, about
 
         def run(batches):
             index = _index(sent.value)
-            for ids, texts in pieces(batches):
+            for ids, texts, own in pieces(batches):
                 found = index.find(texts)
                 best = [min(f, default=None) for f in found]
-                columns = [pa.array(ids, id_type), pa.array([len({m[1] for m in f}) for f in found], pa.int64())]
+                columns = [pa.array(ids, id_type), pa.array(own, pa.int64()), pa.array([len({m[1] for m in f}) for f in found], pa.int64())]
                 columns += [pa.array([b and b[i] for b in best], pa.int64()) for i in (1, 0, 2)]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "n_items", "item_id", "edits", "start"])
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_row", "n_items", "item_id", "edits", "start"])
 
-        return rows.mapInArrow(run, f"_id {kind.simpleString()}, n_items long, item_id long, edits long, start long")
+        return rows.mapInArrow(run, f"_id {kind.simpleString()}, _row long, n_items long, item_id long, edits long, start long")
 
     out = one(_held(items, 0, passes))
     if passes > 1:
         for k in range(1, passes):
             out = out.unionByName(one(_held(items, k, passes)))
-        # Repeated rows find the same in each pass, so every pass-th of an id's rows, best first, stands for one of them.
-        best = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("edits").asc_nulls_last(), "item_id"))
-        sums = out.groupBy("_id").agg((F.sum("n_items") / (F.count("*") / passes)).cast("long").alias("_items"), (F.count("*") / passes).cast("long").alias("_rows"))
-        out = out.withColumn("_best", best).join(sums.withColumnRenamed("_id", "_own"), F.col("_id").eqNullSafe(F.col("_own"))).where("_best <= _rows").withColumn("n_items", F.col("_items"))
+        best = F.min(F.when(F.col("item_id").isNotNull(), F.struct("edits", "item_id", "start"))).alias("b")
+        out = out.groupBy("_row").agg(F.first("_id").alias("_id"), F.sum("n_items").alias("n_items"), best).select("_id", "n_items", "b.item_id", "b.edits", "b.start")
     return out.select(F.col("_id").alias(id_col), (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "edits", "start")

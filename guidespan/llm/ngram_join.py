@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidespan.llm.common import cut, pieces
@@ -140,35 +140,37 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return, for every row, id, class_id (the least id of its class), n_links (other rows with this similarity or more), n_copies
-    (rows of the same word sequence, itself included) and keep (one row of each class: its least id).
+def _raw(text_col: str) -> Column:
+    """A hash of the text as it stands: with the id it tells rows apart where ids are null or shared."""
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
-    Words are lower-case and stand between white space. Texts without words, nulls among them, are linked to none and kept, each a
-    class of its own. Rows of equal words are linked to one another, repeated rows (of one id) too; repeated rows have one id, so they
-    are kept or not together. A null id is less than any other. An empty table gives an empty result. Other columns are not read.
+
+def _classes(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _raw, _key) of every row, and for each word sequence (_key): its copies, links and the kept row of its class.
+
+    That row, low (id, key, raw), is of the class's least id and of the least key with this id.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     bands, rows = bands_for(threshold, recall)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), _raw(text_col).alias("_raw"))
     kind = source.schema[0].dataType
     id_type = to_arrow_type(kind)
 
     def sign(batches):
         seeds = _seeds(bands * rows)
-        for ids, texts in pieces(batches):
+        for ids, texts, raw in pieces(batches):
             keys, hashes = [], []
             for text in texts:
                 words = words_of(text)
                 keys.append(xxhash.xxh3_128_digest(" ".join(words)) if words else None)
                 hashes.append(band_hashes(shingles(text), bands, rows, seeds) if words else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["_id", "_key", "_bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(raw, pa.binary()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["_id", "_raw", "_key", "_bands"])
 
-    signed = cut(source.mapInArrow(sign, f"_id {kind.simpleString()}, _key binary, _bands array<long>"))
+    signed = cut(source.mapInArrow(sign, f"_id {kind.simpleString()}, _raw binary, _key binary, _bands array<long>"))
     # Equal texts are one, named by its key's hash; copies are counted before the shuffle.
-    texts = cut(signed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("_id").isNotNull().alias("k"), "_id")).alias("least"), F.first("_bands").alias("_bands")))
-    texts = texts.withColumn("node", F.xxhash64("_key")).select("_key", "node", "copies", F.col("least._id").alias("least"), "_bands")
+    texts = cut(signed.where("_key is not null").groupBy("_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("_id").isNotNull().alias("k"), F.col("_id").alias("id"), F.col("_raw").alias("raw"))).alias("least"), F.first("_bands").alias("_bands")))
+    texts = texts.withColumn("node", F.xxhash64("_key")).select("_key", "node", "copies", "least", "_bands")
     banded = texts.select("node", F.explode("_bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("other")).where("b <> other")
     found = banded.join(buckets, "band").select(F.col("node").alias("a"), "b")
@@ -177,12 +179,15 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col:
     parts = parts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     parts = cut(parts.join(texts.select("node", "copies", "least"), "node"))
     # One text for each: the row of the least id that has this key.
-    chosen = source.join(parts, F.col("_id").eqNullSafe(F.col("least")))
+    chosen = source.join(parts, F.col("_id").eqNullSafe(F.col("least.id")) & (F.col("_raw") == F.col("least.raw")))
+    if not signed.where("_key is not null").groupBy("_key", "_id", "_raw").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Rows that are repeated as they stand: one of them is sent.
+        chosen = chosen.groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "copies", "block", "blocks", "_text")))
     chosen = chosen.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     chosen = chosen.select("root", "node", "copies", "block", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "_text")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node", ignore_index=True)
+        group = group.sort_values("node", ignore_index=True)
         one, two = group["one"].iloc[0], group["two"].iloc[0]
         sets = [shingles(t) for t in group["_text"]]
         block = group["block"].to_numpy()
@@ -211,16 +216,41 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col:
     degrees = verified.where("degree > 0").groupBy(F.col("a").alias("node")).agg(F.sum("degree").alias("degree"))
     classes = components(verified.where("a <> b").select("a", "b"))
     named = texts.select("_key", "node", "copies", "least").join(degrees, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNotNull().alias("k"), F.col("least").alias("id"))).alias("low"))
-    named = cut(named.join(lowest, "root").select("_key", F.col("low.id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")))
-    out = signed.select("_id", "_key").join(named.withColumnRenamed("_key", "_named"), F.col("_key") == F.col("_named"), "left")
-    class_id = F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("class_id"))
-    return out.select(F.col("_id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (F.col("_key").isNull() | F.col("_id").eqNullSafe(class_id)).alias("keep"))
+    lowest = named.groupBy("root").agg(F.min(F.struct("least.k", "least.id", F.col("_key").alias("key"), "least.raw")).alias("low"))
+    named = cut(named.join(lowest, "root").select(F.col("_key").alias("_named"), "low", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")))
+    return signed.select("_id", "_raw", "_key"), named
+
+
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return, for every row, id, class_id (the least id of its class), n_links (other rows with this similarity or more), n_copies
+    (rows of the same word sequence, itself included) and keep (one row of each class: that of the least id, of the least key if
+    several texts of the class share it).
+
+    Words are lower-case and stand between white space. Texts without words, nulls among them, are linked to none and kept, each a
+    class of its own. Rows of equal words are linked to one another, repeated rows (of one id) too; repeated rows have one id, so they
+    are kept or not together. A null id is less than any other. Ids may be null or shared by rows of different texts: rows are told
+    apart by id and text, but class_id names a class by id alone. An empty table gives an empty result. Other columns are not read.
+    """
+    signed, named = _classes(docs, threshold, recall, id_col, text_col)
+    out = signed.join(named, F.col("_key") == F.col("_named"), "left")
+    class_id = F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("low.id"))
+    keep = F.col("_key").isNull() | (F.col("_id").eqNullSafe(F.col("low.id")) & (F.col("_key") == F.col("low.key")))
+    return out.select(F.col("_id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), keep.alias("keep"))
 
 
 def distinct(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all their columns, one of each class: that of the least id (one of them, if rows share it)."""
-    kept = join(docs, threshold, id_col=id_col, text_col=text_col).where("keep").groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = cut(kept)
-    out = docs.join(kept.select("_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
+    """The rows of ``docs`` with all their columns, one of each class: that which ``join`` keeps (one of them, if it is repeated).
+
+    Texts without words are classes of their own, so all their rows stay.
+    """
+    signed, named = _classes(docs, threshold, 0.999, id_col, text_col)
+    low = named.select("low").distinct().select(F.col("low.id").alias("_low_id"), F.col("low.raw").alias("_low_raw"))
+    low = signed.join(low, F.col("_id").eqNullSafe(F.col("_low_id")) & (F.col("_raw") == F.col("_low_raw")), "left_semi").where("_key is not null").groupBy("_id", "_raw").agg(F.count("*").alias("_rows"))
+    none = signed.where("_key is null").select("_id", "_raw").distinct().withColumn("_rows", F.lit(1).cast("long"))
+    kept = cut(low.unionByName(none).select(F.col("_id").alias("_kept"), F.col("_raw").alias("_kept_raw"), "_rows"))
+    same = F.col(id_col).eqNullSafe(F.col("_kept")) & _raw(text_col).eqNullSafe(F.col("_kept_raw"))
+    rows = lambda which: docs.join(kept.where(which).select("_kept", "_kept_raw"), same, "left_semi")
+    if kept.where("_rows > 1").isEmpty():
+        return rows("_rows = 1")
+    again = rows("_rows > 1").withColumn("_new_raw", _raw(text_col)).dropDuplicates([id_col, "_new_raw"]).drop("_new_raw")
+    return rows("_rows = 1").unionByName(again)

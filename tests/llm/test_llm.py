@@ -233,6 +233,23 @@ def test_ngram_join(spark, odd, empty, docs):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_null_and_shared_ids_are_told_apart(spark):
+    def text(name, changed=None):
+        return " ".join(f"{name}{i}" if i != changed else "other" for i in range(60))
+
+    held = [(None, text("a")), (None, text("b")), (None, text("c")), (1, text("a", 59)), (1, text("b", 59)), (1, text("d")), (2, text("d", 59)), (2, text("c", 0)), (2, text("e")), (None, text("e").upper()), (3, None), (3, " "), (3, None)]
+    held += [(2, text("e")), (None, text("a")), (None, text("f")), (None, text("f", 59))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(held)], "doc_id long, text string, n long")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies, r.keep) for r in ngram_join.join(docs).collect())
+    first = [r for r in got if r[0] == 0]
+    assert sorted(r[2:4] for r in first) == [(1, 1), (1, 1), (1, 1), (1, 1), (2, 2), (2, 2), (2, 3)] and sum(r[4] for r in first) == 6
+    assert sorted(r for r in got if r[0] == 1) == [(1, 0, 1, 1, False), (1, 0, 2, 1, False), (1, 1, 1, 1, True)]
+    assert sorted(r for r in got if r[0] == 2) == [(2, 0, 1, 1, False), (2, 0, 2, 3, False), (2, 0, 2, 3, False), (2, 1, 1, 1, False)]
+    kept = ngram_join.distinct(docs).collect()
+    classes = Counter((r.text or "").strip().lower()[:1] for r in kept)
+    assert classes == {"": 3, "a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1} and all(r.doc_id is None or r.text is None or r.n in (5, 11) for r in kept)
+
+
 def test_bands_reach_the_recall():
     b, r = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 144
@@ -319,6 +336,19 @@ def test_decontamination(spark, odd, empty):
     assert not any(r.contaminated for r in decontam.contamination(odd, items.where("1 = 0")).collect())
 
 
+def test_passes_keep_rows_of_one_id_apart(spark):
+    items = spark.createDataFrame([(k, " ".join(f"item{k}word{i}" for i in range(14))) for k in range(6)], "item_id long, text string")
+    text = {r.item_id: r.text for r in items.collect()}
+    docs = spark.createDataFrame([(None, text[0] + " " + text[1]), (None, "clean"), (None, text[2]), (5, text[3]), (5, "clean too"), (5, text[4] + " " + text[5])], "doc_id long, text string")
+    want = sorted((r.doc_id or 0, r.contaminated, r.n_items, r.item_id or 0) for r in decontam.contamination(docs, items).collect())
+    passes, decontam.PASS_CHARS = decontam.PASS_CHARS, 200
+    try:
+        assert sorted((r.doc_id or 0, r.contaminated, r.n_items, r.item_id or 0) for r in decontam.contamination(docs, items).collect()) == want
+    finally:
+        decontam.PASS_CHARS = passes
+    assert [w[2] for w in want] == [0, 1, 2, 0, 1, 2]
+
+
 # 10
 
 
