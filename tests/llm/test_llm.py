@@ -186,6 +186,14 @@ def test_pii(spark, odd, empty, docs):
     assert {r.base_sha256 for r in queries.op5_pii(spark, SF).where("spans = ''").collect()} == {hashlib.sha256(b"").hexdigest()}
 
 
+def test_pii_of_long_runs(spark):
+    n = 100_000
+    texts = ["7" * n + " 1.2.3.4", "1 " * n, "a@b" + ".c" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.b for r in pii.find(docs).select("doc_id", pii.joined("base").alias("b")).collect()}
+    assert got == {0: f"ip:{n + 1}:{n + 8}", 1: "", 2: f"email:0:{2 * n + 3}"}
+
+
 def test_reliable_labelers_outweigh_others():
     counts = {("ip", (1, 1, 1, 0, 1, 1)): 50, ("ip", (-1, -1, -1, 0, 1, -1)): 50, ("ip", (1, 1, 1, 0, -1, 1)): 2}
     p = pii.estimate(counts)
