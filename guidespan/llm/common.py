@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: what ``spark.checkpoint.dir`` says, or (tests on one machine) a temporary one."""
+    """The folder that all executors share: what ``spark.checkpoint.dir`` says, or (local mode only) a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return context.getCheckpointDir()
 
@@ -42,21 +44,46 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Groups that hold more than one in so many rows are joined apart from the others. There are fewer of them than this number.
+HOT = 1024
+
+
+def met(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """The rows of which ``groups`` has the key, with its other columns. size: a column of groups, how many rows have the key.
+
+    Groups of more than total / HOT rows, fewer than HOT, are broadcast, so that no task gets all rows of one.
+    """
+    hot, other = groups.where(F.col(size) * HOT > total).drop(size), groups.where(F.col(size) * HOT <= total).drop(size)
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(other, key))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_crc(column: str | Column) -> Column:
     """CRC-32 of the identifier as text (of the empty text for null)."""
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary"))
 
 
 def append(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], work) -> DataFrame:
-    """All columns of ``docs`` and new ones, which ``work`` makes from a list of texts (a list for each field).
+    """All columns of ``docs`` and new ones after them, which ``work`` makes from a list of texts (a list for each field).
 
-    The new ones are named ``_new_`` and the field's name, so that no column of ``docs`` clashes with them.
+    A field whose name ``docs`` has already must be named by ``fresh`` first.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     place = docs.columns.index(text_col)
     kinds = [to_arrow_type(t) for _, t in fields]
-    names = [*docs.columns, *(f"_new_{name}" for name, _ in fields)]
+    names = [*docs.columns, *(name for name, _ in fields)]
 
     def run(batches):
         for batch in batches:
@@ -66,7 +93,7 @@ def append(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]],
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, *(pa.array(c, k) for c, k in zip(new, kinds, strict=True))], names)
                 start += len(texts)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_new_{name}", t) for name, t in fields)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(name, t) for name, t in fields)]))
 
 
 def pieces(batches, text: int = 1):
