@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(f"n_{kind}" for kind in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+    return found.select("doc_id", *(f"n_{kind}" for kind in pii.KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding)}
 
 SQL: dict[str, str] = {
-    # The schedule holds every block of a source up to its target once, so the words taken follow from the place of the document.
-    "op3_mixing": r"""
+    # The slots of the points are ranked within their source; rank r takes block r of the source's words, repeated to its target.
+    "op3_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 k AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || CAST(size AS VARCHAR)) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM k GROUP BY source),
@@ -69,9 +69,14 @@ f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER e, 0)) / (sum
       FROM w WINDOW e AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, CASE WHEN is_full THEN cap ELSE least(cap, weight * ((sum(source_size) OVER () - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0))
       / (sum(weight) OVER () - coalesce(sum(CASE WHEN is_full THEN weight END) OVER (), 0)))) END AS target FROM f),
-p AS (SELECT k.doc_id, k.size, t.source_size, t.target, CAST(coalesce(sum(k.size) OVER (PARTITION BY t.sid ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
-      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
-  size * (CAST(floor(target) AS BIGINT) // source_size) + greatest(0, least(place + size, CAST(floor(target) AS BIGINT) % source_size) - place) END AS BIGINT) AS taken
-FROM p""",
+n AS (SELECT CAST(sum(source_size) AS BIGINT) AS total, greatest(1, least({mixing.BLOCK_WORDS}, CAST(sum(source_size) AS BIGINT) // {mixing.SLOTS})) AS block FROM t),
+r AS (SELECT sid, target, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS lo, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / total AS hi FROM t, n),
+o AS (SELECT i AS slot, (i + 1) * {mixing.GOLDEN}::DOUBLE - floor((i + 1) * {mixing.GOLDEN}::DOUBLE) AS x FROM (SELECT unnest(range(0, CAST(ceil(total / block) AS BIGINT))) AS i FROM n)),
+z AS (SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM o JOIN r ON x >= lo AND x < hi),
+m AS (SELECT t.sid, t.source, source_size, t.target, block, least(CAST(floor(t.target) AS BIGINT), block * (SELECT count(*) FROM z WHERE z.sid = t.sid)) AS goal FROM t, n),
+p AS (SELECT k.doc_id, k.size, m.sid, m.source_size, m.target, m.block, m.goal, CAST(coalesce(sum(k.size) OVER (PARTITION BY m.sid ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+      FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, size, source_size, p.target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(place + size, goal % source_size) - place) END AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND place < goal THEN slot END AS first_slot
+FROM p LEFT JOIN z ON z.sid = p.sid AND z.rank = p.place // p.block""",
 }
