@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Strict patterns give the base spans. Wider patterns give candidates, and six labelers vote on each: the strict pattern, a checksum
-or range, a gazetteer, the words before it, its bounds and its shape. How often each combination of votes occurs is counted over all
+Strict patterns give the base spans. Wider patterns give candidates, and six labelers vote on each: the strict pattern (yes or no
+opinion), a checksum or range, a gazetteer, the words before it, its bounds and its shape. How often each combination of votes occurs is counted over all
 documents; expectation-maximisation estimates from these counts how reliable each labeler is on each kind, and so how likely each
 combination is personal data. A logistic classifier is then trained on features of the candidates, with these likelihoods as labels,
 and what it accepts is added to the base spans. The counts are tables of bounded size (combinations of votes, of feature values);
@@ -29,7 +29,7 @@ BASE = {
 FAST = BASE | {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # what has fewer digits is dropped anyway
 }
 WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
@@ -37,9 +37,19 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])",
     "phone": r"(?:\+|\b00|\(|\b)[0-9][ ().0-9-]{7,16}[0-9]",
 }
-GATE = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9a-fA-F]:[0-9a-fA-F]", "card": r"[0-9][ -]?[0-9]", "phone": r"[0-9][ ().0-9-]{7}"}
-ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl")
-COUNTRIES = ("1", "33", "34", "39", "41", "43", "44", "49", "52", "54", "55", "61", "81", "86", "91")
+GATE = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9a-fA-F]:[0-9a-fA-F]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"[0-9][ ().0-9-]{7}"}
+#: Endings of host names that are in common use (generic ones, and country codes).
+ENDINGS = (
+    "aero", "app", "biz", "cat", "cloud", "com", "coop", "dev", "edu", "gov", "info", "int", "io", "jobs", "mil", "mobi", "museum", "name", "net", "online", "org", "pro", "shop", "site", "store", "tech", "tel", "travel", "xyz",
+    "ae", "ar", "at", "au", "be", "bg", "bo", "br", "by", "ca", "ch", "cl", "cn", "co", "cr", "cy", "cz", "de", "dk", "ec", "ee", "eg", "es", "eu", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "ir", "is", "it", "jp",
+    "ke", "kr", "kz", "li", "lt", "lu", "lv", "ma", "mc", "me", "mt", "mx", "my", "ng", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "py", "ro", "rs", "ru", "sa", "se", "sg", "si", "sk", "th", "tn", "tr", "tw", "ua", "uk", "us",
+    "uy", "uz", "ve", "vn", "za",
+)
+#: Country calling codes of one and two digits.
+COUNTRIES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 GOOD_WORDS = {
     "email": "mail|contact|write|kontakt|correo|courriel|from|to:",
     "ip": r"\bip\b|host|server|address|login|adresse|from",
@@ -48,7 +58,7 @@ GOOD_WORDS = {
 }
 BAD_WORDS = r"token|version|isbn|order|sku|serial|hash|sha|build|secret|key"
 VOTES = ("strict", "check", "gazetteer", "context", "bounds", "shape")
-FEATURES = ("digits", "signs", "left", "right", "lead")
+FEATURES = ("digits", "marks", "blanks", "left", "right", "lead")
 ROUNDS, STEPS = 30, 300
 ACCEPT = 0.5
 
@@ -59,12 +69,42 @@ def _spans(text: str, pattern: str, gate: str) -> tuple[Column, Column]:
     return F.when(ok, F.split(t, pattern, -1)).otherwise(F.array(t)), F.when(ok, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+#: Matches whose lengths are summed together; sums within one group and over the groups before it give each match its place.
+GROUP = 64
+
+
+def _let(value: Column, name: str, then) -> Column:
+    """``then`` of a value that is computed once a row."""
+    return F.element_at(F.transform(F.array(F.struct(value.alias(name))), lambda z: then(z[name])), 1)
+
+
 def _placed(pieces: str, matches: str) -> Column:
-    """An array of (s, e, x, l, r): start, end (code points), text, the text before and the character after each match."""
-    items = f"transform({matches}, (m, i) -> named_struct('m', m, 'p', {pieces}[i], 'n', left({pieces}[i + 1], 1)))"
-    start = "a.at + length(z.p)"
-    return F.expr(f"""aggregate({items}, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,x:string,l:string,r:string>>)),
-      (a, z) -> named_struct('at', {start} + length(z.m), 'out', concat(a.out, array(named_struct('s', {start}, 'e', {start} + length(z.m), 'x', z.m, 'l', right(z.p, 24), 'r', z.n)))), a -> a.out)""")
+    """An array of (s, e, x, l, r): start, end (code points), text, the text before and the character after each match.
+
+    The work grows with the matches: no array is built up by adding to it match by match, but for one entry a GROUP.
+    """
+    p, m, n = F.col(pieces), F.col(matches), F.size(matches)
+    none = F.array().cast("array<struct<s:int,e:int,x:string,l:string,r:string>>")
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    sum_of = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
+
+    def place(size: Column) -> Column:
+        sums = F.transform(upto(F.ceil(n / GROUP).cast("int")), lambda g: sum_of(F.slice(size, g * GROUP + 1, F.lit(GROUP))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(sums, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+        def one(base: Column) -> Column:
+            def at(i: Column) -> Column:
+                g = F.floor(i / GROUP).cast("int")
+                s = F.get(base, g) + sum_of(F.slice(size, g * GROUP + 1, i - g * GROUP)) + F.length(F.get(p, i))
+                return F.struct(s.alias("s"), (s + F.length(F.get(m, i))).alias("e"), F.get(m, i).alias("x"), F.right(F.get(p, i), F.lit(24)).alias("l"), F.left(F.get(p, i + 1), F.lit(1)).alias("r"))
+
+            return F.transform(upto(n), at)
+
+        return _let(bases, "b", one)
+
+    sizes = F.transform(upto(n), lambda i: F.length(F.get(p, i)) + F.length(F.get(m, i)))
+    return F.when(n > 0, _let(sizes, "z", place)).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -105,19 +145,20 @@ def _votes(kind: str, c: Column) -> list[Column]:
         "email": F.lower(F.regexp_extract(x, r"([A-Za-z0-9-]+)$", 1)).isin(*ENDINGS),
         "ip": F.coalesce(F.regexp_extract(x, r"^([0-9]{1,3})\.", 1).try_cast("int").between(1, 223), F.lit(False)),
         "card": d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"),
-        "phone": x.rlike(rf"^(\+|00) ?({'|'.join(COUNTRIES)})"),
+        "phone": x.rlike(rf"^(?:\+|00) ?(?:{'|'.join(COUNTRIES)})"),
     }[kind]
     bounds = ~left.rlike(r"[\p{L}0-9_]$") & ~right.rlike(r"[\p{L}0-9_]")
     shape = {
         "email": x.rlike(r"^\S{1,64}@\S+$"),
         "ip": x.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"),
         "card": x.rlike(r"^([0-9]{15,16}|[0-9]{4}([ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"),
-        "phone": x.rlike(r"^\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?([ .-]?[0-9]{2,4}){2,4}$"),
+        "phone": x.rlike(r"^(?:\+[0-9]{1,3}|00[0-9]{1,3}|\(?0[0-9]{1,4}\)?|\([0-9]{3}\)) ?(?:\(?[0-9]{2,4}\)?[ .-]?){1,4}[0-9]{2,4}$"),
     }[kind]
     return [
-        F.when(strict & passes(kind, x), 1).when(strict, -1).otherwise(0),
+        F.when(strict, 1).otherwise(0),
         vote(check),
-        vote(listed, F.lit(False)) if kind == "ip" else vote(listed),
+        # What names no country can't name an unknown one; addresses of either form may lie outside the list.
+        vote(listed, F.lit(False)) if kind == "ip" else vote(listed, x.rlike(r"^(?:\+|00)")) if kind == "phone" else vote(listed),
         vote(left.rlike(GOOD_WORDS[kind]), left.rlike(BAD_WORDS) | left.rlike(r'["=/]$')),
         vote(bounds),
         vote(shape),
@@ -125,15 +166,18 @@ def _votes(kind: str, c: Column) -> list[Column]:
 
 
 def _features(c: Column) -> list[Column]:
-    """Values of few characters each: digits (up to 20), signs (up to 4), and the classes of what stands at the span's bounds."""
+    """Values of few characters each: digits (up to 20), which signs there are, blanks (up to 4), the classes of what stands at the
+    span's bounds, and how it begins."""
     side = lambda s: F.when(s == "", "none").when(s.rlike(r"^\s$"), "space").when(s.rlike(r"^\p{L}$"), "letter").when(s.rlike("^[0-9]$"), "digit").otherwise("sign")
     x = c["x"]
+    marks = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(x, r"[^@.:()+\[\]-]", ""), ""))), "")
     return [
         F.least(F.length(_digits(x)), F.lit(20)).cast("string"),
-        F.least(F.length(F.regexp_replace(x, "[A-Za-z0-9]", "")), F.lit(4)).cast("string"),
+        marks,
+        F.least(F.length(F.regexp_replace(x, "[^ ]", "")), F.lit(4)).cast("string"),
         side(F.right(c["l"], F.lit(1))),
         side(c["r"]),
-        F.when(x.rlike(r"^\+"), "plus").when(x.rlike("^[0-9]"), "digit").when(x.rlike("^[A-Za-z]"), "letter").otherwise("sign"),
+        F.when(x.rlike(r"^\+"), "plus").when(x.rlike("^00"), "zeros").when(x.rlike(r"^\(?0"), "zero").when(x.rlike("^[0-9]"), "digit").when(x.rlike("^[A-Za-z]"), "letter").otherwise("sign"),
     ]
 
 
@@ -150,8 +194,23 @@ def _candidates(kind: str) -> tuple[Column, Column]:
 
 
 def _added(b: Column, w: Column, accepted) -> Column:
-    """The candidates that the classifier accepts and no base span of the kind meets."""
-    return F.filter(w, lambda c: accepted(c) & ~F.exists(b, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])))
+    """The candidates that the classifier accepts and no base span of the kind meets.
+
+    Base spans are in order and apart from one another, so the first that ends behind a candidate's start is found by halving.
+    """
+
+    def meets(c: Column) -> Column:
+        start = F.struct(F.lit(0).alias("lo"), F.size(b).alias("hi"))
+
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+            behind = F.get(b, middle)["e"] > c["s"]
+            return F.when(a["lo"] >= a["hi"], a).otherwise(F.when(behind, F.struct(a["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))))
+
+        first = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(b)))), start, halve, lambda a: a["lo"])
+        return F.coalesce(F.get(b, first)["s"] < c["e"], F.lit(False))
+
+    return F.filter(w, lambda c: accepted(c) & ~meets(c))
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -168,9 +227,13 @@ def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = ROUND
             yes = sum(n * p[v] for v, n in own.items())
             total = sum(own.values())
             prior = (yes + 1) / (total + 2)
-            rate = [{a: ((sum(n * p[v] for v, n in own.items() if v[j] == a) + 1) / (yes + 3), (sum(n * (1 - p[v]) for v, n in own.items() if v[j] == a) + 1) / (total - yes + 3)) for a in (-1, 0, 1)} for j in range(len(VOTES))]
+            rate = []
+            for j in range(len(VOTES)):  # of those that the labeler votes on; where it has no opinion it says nothing
+                on = {v: n for v, n in own.items() if v[j]}
+                good, bad = sum(n * p[v] for v, n in on.items()), sum(n * (1 - p[v]) for v, n in on.items())
+                rate.append({a: ((sum(n * p[v] for v, n in on.items() if v[j] == a) + 1) / (good + 2), (sum(n * (1 - p[v]) for v, n in on.items() if v[j] == a) + 1) / (bad + 2)) for a in (-1, 1)})
             for v in own:
-                odds = math.log(prior / (1 - prior)) + sum(math.log(rate[j][a][0] / rate[j][a][1]) for j, a in enumerate(v))
+                odds = math.log(prior / (1 - prior)) + sum(math.log(rate[j][a][0] / rate[j][a][1]) for j, a in enumerate(v) if a)
                 p[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         out |= {(kind, v): x for v, x in p.items()}
     return out
