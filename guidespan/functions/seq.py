@@ -18,6 +18,18 @@ def pattern(motif: str) -> str:
     return "".join(IUPAC[c] if len(IUPAC[c]) == 1 else f"[{IUPAC[c]}]" for c in motif.upper())
 
 
+def anchor(motif: str, offset: int = 0) -> tuple[int, str] | None:
+    """The longest run of plain bases of a motif that starts at offset, (place, bases); None without any."""
+    runs, codes = [], motif.upper().replace("U", "T")
+    for i, c in enumerate(codes):
+        if c in "ACGT":
+            if i and codes[i - 1] in "ACGT":
+                runs[-1] = (runs[-1][0], runs[-1][1] + c)
+            else:
+                runs.append((offset + i, c))
+    return max(runs, key=lambda r: len(r[1]), default=None)
+
+
 def flipped(motif: str) -> str:
     """The motif as it reads on the other strand."""
     return motif.upper().translate(_PAIR)[::-1]

@@ -51,7 +51,7 @@ def unique_sites(spark, sf_dir):
 def scored_sites(spark, sf_dir):
     """The flagship: sites, one row a sequence, scored and ranked."""
     rows = unique_sites(spark, sf_dir).select("qid", "sequence", "n_positions", F.round(S.gc_fraction(F.col("sequence")) * 100, 6).alias("gc_percent"), F.round(S.activity(F.col("sequence")), 9).alias("score"))
-    rows = numbered(rows, "rank", -F.col("score"), [F.col("score").desc(), F.substring("qid", 6, 20).cast("long")])
+    rows = numbered(rows, "rank", [F.col("score").desc(), F.substring("qid", 6, 20).cast("long")])
     return rows.select("qid", "sequence", "n_positions", "gc_percent", S.gc_hint(F.col("gc_percent")).alias("gc_hint"), "score", "rank")
 
 

@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 BIN = 256
 
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """Touching and overlapping intervals become one. Empty ones and nulls are left out."""
-    order = Window.partitionBy("seq_id").orderBy("start", "end")
-    rows = intervals.select("seq_id", "start", "end").where("start < end")
-    rows = rows.withColumn("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_group", F.sum(F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("seq_id", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
+#: Bases of a stretch whose rows are put in order together.
+SPAN = 1 << 20
+_EARLIER, _LATER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+
+
+def merge(intervals: DataFrame, span: int = SPAN) -> DataFrame:
+    """Touching and overlapping intervals become one. Empty ones and nulls are left out.
+
+    Rows are ordered within stretches of a sequence; how far earlier stretches reach, and how many merged intervals they start, is
+    added from one row a stretch.
+    """
+    rows = intervals.select("seq_id", "start", "end").where("start < end").withColumn("_span", F.floor(F.col("start") / span))
+    inside, along = Window.partitionBy("seq_id", "_span").orderBy("start", "end"), Window.partitionBy("seq_id").orderBy("_span")
+    ends = rows.groupBy("seq_id", "_span").agg(F.max("end").alias("_end"))
+    ends = ends.withColumn("_carried", F.max("_end").over(along.rowsBetween(*_EARLIER))).drop("_end")
+    reach = F.greatest("_carried", F.max("end").over(inside.rowsBetween(*_EARLIER)))
+    rows = rows.join(ends, ["seq_id", "_span"]).withColumn("_reach", reach)
+    rows = rows.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0))
+    starts = rows.groupBy("seq_id", "_span").agg(F.sum("_new").alias("_starts"))
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_starts").over(along.rowsBetween(*_EARLIER)), F.lit(0))).drop("_starts")
+    rows = rows.withColumn("_own", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(starts, ["seq_id", "_span"])
+    return rows.groupBy("seq_id", (F.col("_before") + F.col("_own")).alias("_group")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
 def _binned(intervals: DataFrame, start, end, name: str) -> DataFrame:
@@ -37,17 +52,21 @@ def ranged(left: DataFrame, right: DataFrame, lo, hi, right_pos: str) -> DataFra
     return left.join(right, on).drop("_seq", "_bin", "_left_bin", "_lo", "_hi")
 
 
-def nearest(points: DataFrame, marks: DataFrame, pos: str = "pos", info: str | None = None) -> DataFrame:
+def nearest(points: DataFrame, marks: DataFrame, pos: str = "pos", info: str | None = None, span: int = SPAN) -> DataFrame:
     """Points (seq_id, pos, ...) with the nearest mark of their seq_id (seq_id, mark), null without any: the lower one on ties, or that
     of the lesser ``info``, which then comes along as ``nearest_info``.
 
-    Only distinct bins are put in order along a sequence: each knows its own marks, BIN of them at most, and the next ones outside.
+    Only distinct bins are put in order, within stretches of a sequence: each knows its own marks, BIN of them at most, and the next
+    ones outside, in its stretch or in others, of which there is one row each.
     """
     own = marks.select("seq_id", "mark", (F.col(info) if info else F.lit(0)).alias("i")).groupBy("seq_id", "mark").agg(F.min("i").alias("i"))
     held = own.groupBy("seq_id", F.floor(F.col("mark") / BIN).alias("_bin")).agg(F.collect_list(F.struct("mark", "i")).alias("_marks"))
-    bins = points.select("seq_id", F.floor(F.col(pos) / BIN).alias("_bin")).distinct().join(held, ["seq_id", "_bin"], "full")
-    up, down, before = Window.partitionBy("seq_id").orderBy("_bin"), Window.partitionBy("seq_id").orderBy(F.col("_bin").desc()), (Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_low", F.last(F.array_max("_marks"), True).over(up.rowsBetween(*before))).withColumn("_high", F.last(F.array_min("_marks"), True).over(down.rowsBetween(*before)))
+    bins = points.select("seq_id", F.floor(F.col(pos) / BIN).alias("_bin")).distinct().join(held, ["seq_id", "_bin"], "full").withColumn("_span", F.floor(F.col("_bin") * BIN / span))
+    whole = bins.groupBy("seq_id", "_span").agg(F.max(F.array_max("_marks")).alias("_max"), F.min(F.array_min("_marks")).alias("_min"))
+    along, inside = Window.partitionBy("seq_id").orderBy("_span"), Window.partitionBy("seq_id", "_span").orderBy("_bin")
+    whole = whole.select("seq_id", "_span", F.max("_max").over(along.rowsBetween(*_EARLIER)).alias("_below"), F.min("_min").over(along.rowsBetween(*_LATER)).alias("_above"))
+    bins = bins.withColumn("_low", F.max(F.array_max("_marks")).over(inside.rowsBetween(*_EARLIER))).withColumn("_high", F.min(F.array_min("_marks")).over(inside.rowsBetween(*_LATER)))
+    bins = bins.join(whole, ["seq_id", "_span"]).withColumn("_low", F.coalesce("_low", "_below")).withColumn("_high", F.coalesce("_high", "_above")).drop("_span", "_below", "_above")
     near = F.array_compact(F.concat(F.coalesce("_marks", F.array("_low")), F.array("_low", "_high")))
     best = F.array_min(F.transform(near, lambda m: F.struct(F.abs(m["mark"] - F.col(pos)).alias("d"), m["i"].alias("i"), m["mark"].alias("mark"))))
     rows = points.withColumn("_bin", F.floor(F.col(pos) / BIN)).join(bins, ["seq_id", "_bin"], "left").withColumn("_best", best)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def cut(rows: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the folder that the session names in spark.checkpoint.dir, so that a lost executor loses none.
 
-    Only where that is unset, as in tests, a folder of this machine is used.
+    Only where that is unset and Spark runs on this machine alone, as in tests, a folder of this machine is used.
     """
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return rows.checkpoint()

@@ -5,21 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the leading key; the rows of one are sorted together.
-RANGES = 4096
+from guidespan.operators.lineage import cut
 
+#: Bits of a row's place within its range, as Spark numbers them.
+PLACE_BITS = 33
 
-def numbered(rows: DataFrame, name: str, lead: Column, order: list[Column]) -> DataFrame:
-    """Adds ``name``: the place of each row in the order. ``lead`` is a number that never falls along the order.
 
-    The rows are cut into RANGES equal ranges of it and counted; a row's place is what the ranges before hold and its place in its own.
+def numbered(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """Adds ``name``: the place of each row in the order, which must tell all rows apart.
+
+    The rows are dealt to ranges of the whole order (of equal numbers of rows, tie-breakers included, as sampling finds them) and
+    sorted there; a row's number is what the ranges before hold and its place in its own. Keys may be of any type that has an order.
+    """
+    place = F.col("_place")
+    dealt = cut(rows).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    counts = dealt.groupBy(F.shiftright(place, PLACE_BITS).alias("_range")).agg(F.count("*").alias("_n"))
+    # This window orders one row a range.
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    met = dealt.withColumn("_range", F.shiftright(place, PLACE_BITS)).join(F.broadcast(before), "_range")
+    return met.withColumn(name, F.col("_before") + place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1).drop("_range", "_place", "_before")
+
+
+def summed(rows: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of the weights of the rows before each one, in the order within its group (``by``).
+
+    Works as ``numbered`` does: ranges of the whole order are summed apart, then added up.
     """
-    rows = rows.withColumn("_lead", lead.cast("double"))
-    lo, hi = rows.agg(F.min("_lead"), F.max("_lead")).first()
-    width = (hi - lo) / RANGES if lo is not None and hi > lo else 1.0
-    rows = rows.withColumn("_range", F.floor((F.col("_lead") - (lo or 0.0)) / width).cast("int"))
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    # This window orders RANGES + 1 rows at most.
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return rows.withColumn("_place", place).join(before, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before", "_lead")
+    key = [*map(F.col, by), *order]
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    earlier = (Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(weight).over(Window.partitionBy("_range").orderBy(*key).rowsBetween(*earlier)), F.lit(0))
+    sums = dealt.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    # This window orders one row a range.
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*earlier)), F.lit(0))).drop("_sum")
+    out = dealt.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    if not by:
+        return out
+    first = out.groupBy(*by).agg(F.min(name).alias("_first"))
+    return out.join(F.broadcast(first), by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidespan.operators.lineage import cut
-from guidespan.operators.ordinals import numbered
+from guidespan.operators.ordinals import numbered, summed
 
 
 @dataclass(frozen=True)
@@ -38,9 +38,12 @@ def percentile(rows: DataFrame, score: str, by: list[str], name: str) -> DataFra
     Counted from the distinct scores, so that large groups are summed before they are ordered.
     """
     counts = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    ranks = counts.withColumn(name, F.when(total >= 2, (below + (F.col("_n") + 1) / 2) / total)).drop("_n")
+    counts = summed(counts, by, [F.col(score)], "_n", "_below")
+    if by:
+        counts = counts.join(F.broadcast(counts.groupBy(*by).agg(F.sum("_n").alias("_total"))), by)  # a row a group
+    else:
+        counts = counts.withColumn("_total", F.lit(counts.agg(F.sum("_n")).first()[0]).cast("long"))
+    ranks = counts.withColumn(name, F.when(F.col("_total") >= 2, (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total"))).drop("_n", "_below", "_total")
     return rows.join(ranks, [*by, score], "left")
 
 
@@ -118,10 +121,9 @@ def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
     out = cut(out)  # ranked by four passes
     last = F.lit(float("inf"))
     key = [F.col("risk_class"), F.col("tier"), F.col("burden"), F.coalesce("maximum", last), F.coalesce(F.col("high").cast("double"), last), F.col("disagreement"), F.col("penalty")]
-    # Rejected pairs come last and get no rank. The lead never falls along the key, so that ranges of it can be ranked apart.
+    # Rejected pairs come last and get no rank.
     turn = F.when(F.col("status") == "pass", 0).when(F.col("status") == "conditional", 1).otherwise(2)
-    lead = turn * 9 + F.col("risk_class") * 3 + F.ascii("tier") - 65 + F.col("burden") / (1 + F.col("burden"))
-    out = numbered(out, "_n", lead, [turn, *key, F.col("pair_id")])
+    out = numbered(out, "_n", [turn, *key, F.col("pair_id")])
     first = F.min("_n").over(Window.partitionBy("status", *key))
     counts = out.groupBy("status").agg(F.count("*").alias("_all"))
     passed = F.coalesce(counts.where("status = 'pass'").select("_all").scalar(), F.lit(0))

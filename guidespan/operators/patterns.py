@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guidespan.functions import seq as S
 from guidespan.operators.intervals import ranged
 from guidespan.operators.ordinals import numbered
-from guidespan.sources.contigs import fetch, windows
+from guidespan.sources.contigs import fetch, marked, windows
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,19 @@ def single(contigs: DataFrame, motif: Motif) -> DataFrame:
     Sites of the minus strand are given as they stand on the plus strand, where the flank is on the other side. A site whose flank
     leaves the contig is none. A motif that equals its own reverse complement gives a site for each strand.
     """
-    n, out = len(motif.codes), None
-    for strand, codes, before in (("plus", motif.codes, motif.side == "upstream"), ("minus", S.flipped(motif.codes), motif.side != "upstream")):
-        any_base = f"[A-Z]{{{motif.flank}}}"
-        found = windows(contigs, n + motif.flank, any_base + S.pattern(codes) if before else S.pattern(codes) + any_base)
-        found = found.select("seq_id", F.lit(strand).alias("strand"), (F.col("pos") + (motif.flank if before else 0)).alias("motif_pos"), F.col("pos").alias("window_start"), F.col("window").alias("sequence"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    n, any_base = len(motif.codes), f"[A-Z]{{{motif.flank}}}"
+    before, minus = motif.side == "upstream", S.flipped(motif.codes)
+    wanted = [(any_base + S.pattern(c) if first else S.pattern(c) + any_base, S.anchor(c, motif.flank if first else 0)) for c, first in ((motif.codes, before), (minus, not before))]
+    found = marked(contigs, n + motif.flank, wanted)
+    plus = F.col("which") == 0
+    ahead = F.when(plus, motif.flank if before else 0).otherwise(0 if before else motif.flank)
+    return found.select("seq_id", F.when(plus, "plus").otherwise("minus").alias("strand"), (F.col("pos") + ahead).alias("motif_pos"), F.col("pos").alias("window_start"), F.col("window").alias("sequence"))
+
+
+def both_strands(contigs: DataFrame, codes: str, name: str) -> DataFrame:
+    """(seq_id, pos, motif_seq, strand, order) of a motif on either strand, named by ``name``; order is 0 for plus, 1 for minus."""
+    found = marked(contigs, len(codes), [(S.pattern(c), S.anchor(c)) for c in (codes, S.flipped(codes))])
+    return found.select("seq_id", F.col("pos").alias(f"{name}_pos"), F.col("window").alias(f"{name}_motif_seq"), F.when(F.col("which") == 0, "plus").otherwise("minus").alias(f"{name}_strand"), F.col("which").alias(f"_{name}_order"))
 
 
 def unique(sites: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def unique(sites: DataFrame) -> DataFrame:
     place = F.struct("seq_id", F.when(F.col("strand") == "plus", 0).otherwise(1).alias("minus"), "motif_pos", "window_start")
     groups = sites.groupBy("sequence").agg(F.min(place).alias("_first"), F.count("*").alias("n_positions"), F.array_sort(F.collect_list(place)).alias("_all"))
     text = F.array_join(F.transform("_all", lambda p: F.concat_ws(":", p["seq_id"].cast("string"), F.when(p["minus"] == 0, "plus").otherwise("minus"), p["motif_pos"].cast("string"), p["window_start"].cast("string"))), ";")
-    rows = numbered(groups, "_number", F.col("_first.seq_id"), [F.col("_first")])
+    rows = numbered(groups, "_number", [F.col("_first"), F.col("sequence")])
     return rows.select(F.concat(F.lit("uniq_"), F.col("_number").cast("string")).alias("qid"), "sequence", "n_positions", text.alias("positions"))
 
 
@@ -65,14 +71,7 @@ def gap_pairs(contigs: DataFrame, left: Motif, right: Motif, least: int, most: i
     """
     n, m = len(left.codes), len(right.codes)
 
-    def found(motif: Motif, name: str) -> DataFrame:
-        out = None
-        for order, (strand, codes) in enumerate((("plus", motif.codes), ("minus", S.flipped(motif.codes)))):
-            part = windows(contigs, len(codes), S.pattern(codes)).select("seq_id", F.col("pos").alias(f"{name}_pos"), F.col("window").alias(f"{name}_motif_seq"), F.lit(strand).alias(f"{name}_strand"), F.lit(order).alias(f"_{name}_order"))
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    pairs = ranged(found(left, "left"), found(right, "right"), F.col("left_pos") + n + least, F.col("left_pos") + n + most, "right_pos")
+    pairs = ranged(both_strands(contigs, left.codes, "left"), both_strands(contigs, right.codes, "right"), F.col("left_pos") + n + least, F.col("left_pos") + n + most, "right_pos")
     first = F.row_number().over(Window.partitionBy("seq_id", "left_pos", "right_pos").orderBy("_left_order", "_right_order"))
     pairs = pairs.withColumn("_first", first).where("_first = 1").drop("_first", "_left_order", "_right_order")
     for motif, name, size in ((left, "left", n), (right, "right", m)):
@@ -93,10 +92,8 @@ def centres(contigs: DataFrame, literal: str) -> DataFrame:
 
 def beside_centres(contigs: DataFrame, sites: DataFrame, motif: Motif, nearest: int, farthest: int) -> DataFrame:
     """Motifs that start ``nearest`` to ``farthest`` bases after a centre's end (exclusive), on either strand, with clamped flanks."""
-    n, out = len(motif.codes), None
-    for strand, codes in (("plus", motif.codes), ("minus", S.flipped(motif.codes))):
-        part = windows(contigs, n, S.pattern(codes)).select("seq_id", F.col("pos").alias("motif_start"), F.col("window").alias("motif_seq"), F.lit(strand).alias("motif_strand"))
-        out = part if out is None else out.unionByName(part)
+    n = len(motif.codes)
+    out = both_strands(contigs, motif.codes, "motif").select("seq_id", F.col("motif_pos").alias("motif_start"), F.col("motif_motif_seq").alias("motif_seq"), "motif_strand")
     pairs = ranged(sites, out, F.col("y_end") + nearest, F.col("y_end") + farthest - 1, "motif_start")
     start, end = _flank(F.col("motif_start"), n, motif, F.col("motif_strand"))
     return fetch(pairs, contigs, start, end, "flank_seq", motif.flank).withColumn("distance", F.col("motif_start") - F.col("y_end"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
-from guidespan.sources.contigs import windows
+from guidespan.sources.contigs import marked
 
 
 LOOKED_UP = 1e6
@@ -74,17 +74,16 @@ def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam:
     equal seeds, and meeting pairs, each once, are compared in full. target and pam read in the guide's direction.
     """
     n, p = length, len(pam)
-    sites = None
-    for strand in "+-":
-        own = pam if strand == "+" else S.flipped(pam)
-        last = (side == "3prime") == (strand == "+")
-        bases = f"[ACGT]{{{n}}}"
-        found = windows(contigs, n + p, bases + S.pattern(own) if last else S.pattern(own) + bases)
-        target, near = (F.substring("window", 1, n), F.substring("window", n + 1, p)) if last else (F.substring("window", p + 1, n), F.substring("window", 1, p))
-        if strand == "-":
-            target, near = S.reverse_complement(target), S.reverse_complement(near)
-        found = found.select("seq_id", (F.col("pos") + (0 if last else p)).alias("start"), F.lit(strand).alias("strand"), target.alias("target"), near.alias("pam"))
-        sites = found if sites is None else sites.unionByName(found)
+    bases, last = f"[ACGT]{{{n}}}", side == "3prime"
+    own, other = pam, S.flipped(pam)
+    wanted = [(bases + S.pattern(c) if behind else S.pattern(c) + bases, S.anchor(c, n if behind else 0)) for c, behind in ((own, last), (other, not last))]
+    plus = F.col("which") == 0
+    found = marked(contigs, n + p, wanted)
+    behind = plus if last else ~plus
+    target = F.when(behind, F.substring("window", 1, n)).otherwise(F.substring("window", p + 1, n))
+    near = F.when(behind, F.substring("window", n + 1, p)).otherwise(F.substring("window", 1, p))
+    turned = lambda x: F.when(plus, x).otherwise(S.reverse_complement(x))
+    sites = found.select("seq_id", (F.col("pos") + F.when(behind, 0).otherwise(p)).alias("start"), F.when(plus, "+").otherwise("-").alias("strand"), turned(target).alias("target"), turned(near).alias("pam"))
     plan = seed_plan(n, budget)
     seeds = F.array(*(F.struct(F.lit(k).alias("segment"), F.substring("target", s + 1, size).alias("seed")) for k, (s, size) in enumerate(plan.segments)))
     # Equal targets are compared once: places are joined back after the comparison.
