@@ -12,6 +12,20 @@ PAM_WEIGHTS = {"AA": 0.0, "AC": 0.0, "AG": 0.259259259, "AT": 0.0, "CA": 0.0, "C
 #: Seed (first, last position, from 1) and penalty of each of its mismatches; without a seed, identity alone counts.
 SEEDS = {"cas12a": (1, 6, 0.25), "cas12b": (1, 20, 1.0), "cas14a": (9, 16, 0.25)}
 
+#: The published logistic model of windows of 30 bases (4 before the guide, 20 of it, NGG, 3 after): what is added where
+#: these bases stand at this place (from 0), the constant, and the terms for less and for more than half G and C.
+LOGISTIC = {
+    (1, "G"): -0.2753771, (2, "A"): -0.3238875, (2, "C"): 0.17212887, (3, "C"): -0.1006662, (4, "C"): -0.2018029, (4, "G"): 0.24595663, (5, "A"): 0.03644004, (5, "C"): 0.09837684, (6, "C"): -0.7411813, (6, "G"): -0.3932644,
+    (11, "A"): -0.466099, (14, "A"): 0.08537695, (14, "C"): -0.013814, (15, "A"): 0.27262051, (15, "T"): -0.2859442, (15, "C"): 0.1190226, (16, "A"): 0.09745459, (16, "G"): -0.1755462, (17, "C"): -0.3457955, (17, "G"): -0.6780964,
+    (18, "A"): 0.22508903, (18, "C"): -0.5077941, (19, "T"): -0.054307, (19, "G"): -0.4173736, (20, "T"): -0.0907126, (20, "G"): 0.37989937, (21, "T"): -0.5305673, (21, "C"): 0.05782332, (22, "T"): -0.8770074, (23, "T"): -0.4031022,
+    (23, "C"): -0.8762358, (23, "G"): 0.27891626, (24, "A"): -0.0773007, (24, "T"): -0.2216372, (24, "C"): 0.28793562, (27, "T"): 0.11787758, (27, "G"): -0.6890167, (28, "C"): -0.1604453, (29, "G"): 0.38634258,
+    (1, "GT"): -0.6257787, (4, "GC"): 0.30004332, (5, "AA"): -0.8348362, (5, "TA"): 0.76062777, (6, "GG"): -0.4908167, (11, "TA"): 0.7092612, (11, "TT"): -0.5868739, (11, "TC"): 0.49629861, (11, "GG"): -1.5169074, (12, "GG"): -0.3345637,
+    (13, "GA"): 0.76384993, (13, "GC"): -0.5370252, (16, "TG"): -0.7981461, (18, "TC"): 0.35318325, (18, "GG"): -0.6668087, (19, "TG"): -0.3672668, (19, "CC"): 0.74807209, (20, "AC"): 0.56820913, (20, "CG"): 0.32907207, (20, "GA"): -0.8364568,
+    (20, "GG"): -0.7822076, (21, "TC"): -1.029693, (22, "CT"): -0.4632077, (22, "CG"): 0.85619782, (23, "AA"): -0.5794924, (23, "AG"): 0.64907554, (24, "AG"): -0.0773007, (24, "TG"): -0.2216372, (24, "CG"): 0.28793562, (26, "GT"): 0.11787758,
+    (28, "GG"): -0.69774,
+}
+INTERCEPT, LOW_GC, HIGH_GC = 0.59763615, -0.2026259, -0.1665878
+
 
 def rule_weights(length: int = 20) -> list[float]:
     """Weights of mismatches, 16 a position (bases ACGT of the guide times those of the target): they fall along the guide, and those of
@@ -109,10 +123,10 @@ def compact_activity(seq: Column, repeat: str | None = None) -> Column:
     return total / weight
 
 
-def logistic(seq: Column, weights: dict[tuple[int, str], float], intercept: float, low_gc: float, high_gc: float, length: int = 30) -> Column:
+def logistic(seq: Column, weights: dict[tuple[int, str], float] = LOGISTIC, intercept: float = INTERCEPT, low_gc: float = LOW_GC, high_gc: float = HIGH_GC, length: int = 30) -> Column:
     """Logistic model of a window: the weights (place from 0, bases) that hold there, and one of two terms for its share of G and C.
 
-    The weights are a parameter. Windows of another length or with bases other than ACGT give null.
+    Another model of the same form can be given. Windows of another length or with bases other than ACGT give null.
     """
     z = F.lit(intercept) + F.when(S.gc_fraction(seq) < 0.5, low_gc).otherwise(high_gc)
     for (place, bases), w in weights.items():

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
 from guidespan.operators import export, intervals, pairs, patterns, search
-from guidespan.operators.alignment import aligned
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
 
@@ -148,17 +147,17 @@ def fasta_lines(spark, sf_dir):
     return export.fasta(unique_sites(spark, sf_dir), "qid", "sequence")
 
 
-def gapped_hits(spark, sf_dir):
-    """Guides aligned, with one gap at most, to the stretches of their length that share the first or the last ten bases with them."""
+def bulge_alignments(spark, sf_dir):
+    """Every place beside a PAM where a guide aligns with two mismatches and one bulge at most."""
     held = contigs(spark, sf_dir)
-    targets = C.windows(held, 20).select(F.col("window").alias("target")).distinct()
-    seeds = lambda c: F.explode(F.array(F.concat(F.lit("a"), F.substring(c, 1, 10)), F.concat(F.lit("b"), F.substring(c, 11, 10))))
-    met = guides(held).withColumn("seed", seeds("guide")).join(targets.withColumn("seed", seeds("target")), "seed").select("qid", "guide", "target").distinct()
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("mismatch") + F.col("rna_bulges") + F.col("dna_bulges"), "target"))
-    return aligned(met, 2, 2).withColumn("_n", best).where("_n <= 20").drop("_n")
+    return search.bulge_search(held, guides(held), 20, 2, 1)
 
 
-QUERIES = {f.__name__: f for f in (scored_sites, contig_summary, kmer_postings, single_motif_sites, unique_sites, search_hits, top_hits, guide_summary, merged_intervals, masked_hits, forbidden_hits, gap_pairs, centre_sites, centre_flanks, pair_ranking, hit_annotations, batch_units, batch_status, bed_lines, fasta_lines, gapped_hits)}
+def bulge_hits(spark, sf_dir):
+    return bulge_alignments(spark, sf_dir).select("qid", "guide", "seq_id", "start", "target_end", "strand", "target", "pam", "mismatch", "rna_bulges", "dna_bulges", "bitscore")
+
+
+QUERIES = {f.__name__: f for f in (scored_sites, contig_summary, kmer_postings, single_motif_sites, unique_sites, search_hits, top_hits, guide_summary, merged_intervals, masked_hits, forbidden_hits, gap_pairs, centre_sites, centre_flanks, pair_ranking, hit_annotations, batch_units, batch_status, bed_lines, fasta_lines, bulge_hits, bulge_alignments)}
 
 # SQL: common table expressions, each by name with those that it needs.
 
@@ -246,8 +245,24 @@ def _seed_mm(n: int, start: int, end: int) -> str:
     return "list_sum([" + ", ".join(f"CAST(substr(guide, {i}, 1) <> substr(target, {i}, 1) AS INTEGER)" for i in range(start, end + 1)) + "])"
 
 
+def _bulge_sites(n: int) -> str:
+    """Targets of n bases beside their PAM, with the border between both."""
+    bases, near = f"[ACGT]{{{n}}}", f"substr(w, 1, {n})"
+    return f"""SELECT seq_id, pos AS start, pos + {n} AS border, '+' AS strand, {near} AS target, substr(w, {n + 1}, 3) AS pam FROM ({_windows(n + 3, _match(n + 3, bases + S.pattern('NGG')))})
+      UNION ALL SELECT seq_id, pos + 3, pos + 3, '-', {_RC.format(f'substr(w, 4, {n})')}, {_RC.format('substr(w, 1, 3)')} FROM ({_windows(n + 3, _match(n + 3, S.pattern('CCN') + bases))})"""
+
+
+def _skip(x: str) -> str:
+    return f"substr({x}, 1, i - 1) || substr({x}, i + 1)"
+
+
+_BULGES = f"""SELECT *, CASE length(target) WHEN 20 THEN hamming(guide, target) WHEN 19 THEN list_min(list_transform(range(1, 21), lambda i: hamming({_skip('guide')}, target))) ELSE list_min(list_transform(range(1, 22), lambda i: hamming(guide, {_skip('target')}))) END AS mm
+  FROM g CROSS JOIN ({' UNION ALL '.join(map(_bulge_sites, (19, 20, 21)))})"""
 _RISK = "round(1 - least(left_score, right_score), 6)"
 SQL = {
+    # With one bulge: leave out each base of the longer one in turn.
+    "bulge_hits": _sql("g", f"""SELECT qid, guide, seq_id, start, start + length(target) AS target_end, strand, target, pam, CAST(mm AS INTEGER) AS mismatch, CAST(length(target) = 19 AS INTEGER) AS rna_bulges, CAST(length(target) = 21 AS INTEGER) AS dna_bulges,
+      100.0::DOUBLE - mm * 12 - CASE WHEN length(target) = 20 THEN 0 ELSE 18 END AS bitscore FROM (SELECT *, row_number() OVER (PARTITION BY qid, seq_id, strand, border ORDER BY 2 * mm + CASE WHEN length(target) = 20 THEN 0 ELSE 3 END, mm, length(target) <> 20, length(target)) AS k FROM ({_BULGES}) WHERE mm <= 2) WHERE k = 1"""),
     "contig_summary": _sql("", f"SELECT seq_id, length(seq) AS n_bases, round({_gc('seq')} * 100, 6) AS gc_percent, CAST(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) AS BIGINT) AS longest_run, CAST(len(list_distinct(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2)))) AS BIGINT) AS dinucleotides, {_RC.format('substr(seq, 1, 30)')} AS head_flipped, {_hint(_gc('seq') + ' * 100')} AS gc_hint FROM c"),
     "kmer_postings": _sql("", f"SELECT w AS kmer, CAST(list_sum(list_transform(range(0, 8), lambda i: CAST(pow(4, 7 - i) AS BIGINT) * (instr('ACGT', substr(w, i + 1, 1)) - 1))) AS BIGINT) AS code, count(*) AS n, min((seq_id, pos))[1] AS first_seq_id, min((seq_id, pos))[2] AS first_pos FROM ({_windows(8)}) GROUP BY w"),
     "single_motif_sites": _sql("sites", "SELECT * FROM sites"),

@@ -11,9 +11,6 @@ from guidespan.operators import batches, library, pairs
 from guidespan.sources import contigs as C
 
 WEIGHTS = V.rule_weights(20)
-#: Weights of the logistic model that the query uses, by a rule: G counts more, and T less, the nearer the window's end.
-LOGISTIC = {(p, "G"): (p - 15) / 50 for p in range(30)} | {(p, "T"): -p / 100 for p in range(30)} | {(p, "GG"): -0.05 for p in range(29)}
-INTERCEPT, LOW, HIGH = 0.5, -0.2, -0.1
 LONG_MOTIF = "GAT"
 
 
@@ -47,7 +44,7 @@ def guide_activities(spark, sf_dir):
 
 def best_windows(spark, sf_dir):
     """The best window of each contig by the logistic model: 25 bases, GG and three more."""
-    rows = C.windows(Q.contigs(spark, sf_dir), 30, "[ACGT]{25}GG[ACGT]{3}").withColumn("score", F.round(V.logistic(F.col("window"), LOGISTIC, INTERCEPT, LOW, HIGH), 9))
+    rows = C.windows(Q.contigs(spark, sf_dir), 30, "[ACGT]{25}GG[ACGT]{3}").withColumn("score", F.round(V.logistic(F.col("window")), 9))
     return rows.groupBy("seq_id").agg(F.count("*").alias("n_windows"), F.max("score").alias("score"), F.min_by("pos", F.struct((-F.col("score")).alias("a"), "pos")).alias("pos"))
 
 
@@ -70,9 +67,8 @@ def library_summary(spark, sf_dir):
 
 
 def _prior(spark, sf_dir):
-    """A manifest of an earlier run: units of every third contig, all done but for those of contigs divisible by 6."""
-    rows = Q.batch_units(spark, sf_dir).where("seq_id % 3 = 0")
-    return rows.select("unit_id", "seq_id", "pattern", F.when(F.col("seq_id") % 6 == 0, "failed").otherwise("done").alias("status"))
+    """The manifest of an earlier run of all units: it failed where a unit has more than twenty sites."""
+    return Q.batch_units(spark, sf_dir).select("unit_id", "seq_id", "pattern", F.when(F.col("n_sites") > 20, "failed").otherwise(F.col("status")).alias("status"))
 
 
 def batch_remaining(spark, sf_dir):
@@ -80,8 +76,8 @@ def batch_remaining(spark, sf_dir):
 
 
 def batch_manifest(spark, sf_dir):
-    """The manifest after a run of the units of even contigs."""
-    new = Q.batch_units(spark, sf_dir).where("seq_id % 2 = 0").select("unit_id", "seq_id", "pattern", "status", "n_sites")
+    """The manifest after the units that the earlier run left have been run."""
+    new = Q.batch_units(spark, sf_dir).join(batch_remaining(spark, sf_dir).select("unit_id"), "unit_id", "left_semi").select("unit_id", "seq_id", "pattern", "status", "n_sites")
     return batches.merged(new, _prior(spark, sf_dir)).fillna(-1, ["n_sites"])
 
 
@@ -158,21 +154,21 @@ def _hairpin(x: str) -> str:
 
 
 _COMPACT = f"0.30 * 1.0 + 0.25 * (1 - least(greatest((hairpin - 3) / 6, 0.0), 1.0)) + 0.20 * greatest(0.0, 1 - abs({Q._gc('guide')} - 0.5) / 0.3)"
-_Z = " + ".join(f"CASE WHEN substr(w, {p + 1}, {len(b)}) = '{b}' THEN {w} ELSE 0.0 END" for (p, b), w in LOGISTIC.items() if w)
-_PRIOR = "SELECT unit_id, seq_id, pattern, CASE WHEN seq_id % 6 = 0 THEN 'failed' ELSE 'done' END AS status FROM units WHERE seq_id % 3 = 0"
+_Z = " + ".join(f"CASE WHEN substr(w, {p + 1}, {len(b)}) = '{b}' THEN {w} ELSE 0.0 END" for (p, b), w in V.LOGISTIC.items())
+_PRIOR = "SELECT unit_id, seq_id, pattern, CASE WHEN n_sites > 20 THEN 'failed' ELSE status END AS status FROM units"
 SQL = {
     "weighted_hits": Q._sql("h", f"SELECT * EXCLUDE (pam, mismatch) FROM ({_W})"),
     "specificities": Q._sql("h", f"SELECT qid, count(*) AS n_hits, {', '.join(f'{_spec(c)} AS {c}' for c in ('weighted', *V.SEEDS))} FROM ({_W}) GROUP BY qid"),
     "flanked_specificity": Q._sql("h", f"SELECT qid, {_spec('x', 'mismatch = 0')} AS specificity FROM (SELECT qid, mismatch, (20 - mismatch) / 20 * CASE WHEN right(pam, 1) = 'G' THEN 0.25 ELSE 1.0 END AS x FROM h) GROUP BY qid"),
     "guide_activities": Q._sql("", f"""SELECT guide, u_rich, a_rich, round(0.35 * CASE WHEN guide LIKE 'G%' THEN 0.25 ELSE 1.0 END + 0.65 * raw, 9) AS flanked, hairpin, round(({_COMPACT}) / 0.75, 9) AS compact, round({_COMPACT} + 0.25 * least({_hairpin("'GATTACAGTAATC'")} / 6, 1.0), 9) AS compact_repeat
       FROM (SELECT guide, raw, round(raw, 9) AS u_rich, round({_bias('guide', 'A', "'AA', 'TA'")}, 9) AS a_rich, {_hairpin('guide')} AS hairpin FROM (SELECT guide, {_bias('guide', 'T', "'TT', 'AT'")} AS raw FROM (SELECT DISTINCT guide_seq AS guide FROM ({_found(16, 'TTG', '5prime')}))))"""),
-    "best_windows": Q._sql("", f"SELECT seq_id, count(*) AS n_windows, max(score) AS score, arg_min(pos, (-score, pos)) AS pos FROM (SELECT seq_id, pos, round(1 / (1 + exp(-({INTERCEPT} + CASE WHEN {Q._gc('w')} < 0.5 THEN {LOW} ELSE {HIGH} END + {_Z}))), 9) AS score FROM ({Q._windows(30, Q._match(30, '[ACGT]{25}GG[ACGT]{3}'))})) GROUP BY seq_id"),
+    "best_windows": Q._sql("", f"SELECT seq_id, count(*) AS n_windows, max(score) AS score, arg_min(pos, (-score, pos)) AS pos FROM (SELECT seq_id, pos, round(1 / (1 + exp(-({V.INTERCEPT} + CASE WHEN {Q._gc('w')} < 0.5 THEN {V.LOW_GC} ELSE {V.HIGH_GC} END + {_Z}))), 9) AS score FROM ({Q._windows(30, Q._match(30, '[ACGT]{25}GG[ACGT]{3}'))})) GROUP BY seq_id"),
     "library_candidates": Q._sql("", _LIB),
     "all_stretches": Q._sql("", f"SELECT seq_id, strand, count(*) AS n, count(*) FILTER (motif_overlap > 0) AS n_overlap, max(spacer_end) AS last_end FROM ({_found(20, '', '3prime', LONG_MOTIF)}) GROUP BY ALL"),
     "library_guides": Q._sql("", f"SELECT guide_seq, gc, f[1] AS seq_id, f[3] AS strand, f[2] AS spacer_start, occurrence_count, n_regions FROM (SELECT guide_seq, min(gc) AS gc, min((seq_id, spacer_start, strand)) AS f, count(*) AS occurrence_count, count(DISTINCT seq_id) AS n_regions FROM ({_LIB}) GROUP BY guide_seq)"),
     "library_summary": Q._sql("", f"SELECT count(*) AS candidate_count, count(DISTINCT guide_seq) AS unique_guide_count, round(avg(gc), 4) AS gc_mean, round(min(gc), 4) AS gc_min, round(max(gc), 4) AS gc_max FROM ({_LIB})"),
-    "batch_remaining": Q._sql("units", f"SELECT unit_id, seq_id, pattern FROM units WHERE unit_id NOT IN (SELECT unit_id FROM ({_PRIOR}) WHERE status = 'done')"),
-    "batch_manifest": Q._sql("units", f"SELECT unit_id, seq_id, pattern, status, n_sites FROM units WHERE seq_id % 2 = 0 UNION ALL SELECT unit_id, seq_id, pattern, status, -1 FROM ({_PRIOR}) WHERE seq_id % 2 <> 0"),
+    "batch_remaining": Q._sql("units", f"SELECT unit_id, seq_id, pattern FROM units WHERE n_sites > 20"),
+    "batch_manifest": Q._sql("units", f"SELECT unit_id, seq_id, pattern, status, n_sites FROM units WHERE n_sites > 20 UNION ALL SELECT unit_id, seq_id, pattern, status, -1 FROM ({_PRIOR}) WHERE status <> 'failed'"),
     "batch_union": Q._sql("sites y", "SELECT 'all' AS batch_label, seq_id || '__motif' AS unit_id, seq_id AS scope_id, 'motif' AS pattern_id, seq_id, strand, motif_pos, sequence, -1::BIGINT AS y_start FROM sites UNION ALL SELECT 'all', seq_id || '__centre', seq_id, 'centre', seq_id, strand, -1, '', y_start FROM y"),
     "model_provenance": Q._sql("sites", """SELECT model, count(*) AS n_rows, count(*) FILTER (note <> '') AS n_fallback, coalesce(string_agg(DISTINCT nullif(note, ''), '; ' ORDER BY nullif(note, '')), '') AS notes FROM (
       SELECT CASE WHEN window_start >= 4 AND window_start + 26 <= length(seq) THEN 'logistic' ELSE 'rule' END AS model, CASE WHEN window_start >= 4 AND window_start + 26 <= length(seq) THEN '' WHEN window_start < 4 THEN 'window cut at the start' ELSE 'window cut at the end' END AS note FROM sites JOIN c USING (seq_id)) GROUP BY model"""),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISMATCH, GAP = 2, 3
 
@@ -53,17 +57,31 @@ def align(query: str, target: str, most_gaps: int) -> tuple[int, int, int, str]
     return ops.count("X"), ops.count("I"), ops.count("D"), "".join(f"{k}{op}" for k, op in runs)
 
 
+def strings(query: str, target: str, cigar: str) -> tuple[str, str]:
+    """Query and target as the operations align them, with dashes for bases that are missing."""
+    i = j = 0
+    a, b = [], []
+    for n, op in re.findall(r"([0-9]+)([MXID])", cigar):
+        k = int(n)
+        a.append("-" * k if op == "D" else query[i : i + k])
+        b.append("-" * k if op == "I" else target[j : j + k])
+        i, j = i + k * (op != "D"), j + k * (op != "I")
+    return "".join(a), "".join(b)
+
+
 def aligned(pairs: DataFrame, most_mismatches: int, most_gaps: int) -> DataFrame:
-    """Pairs (guide, target, ...) that align within the budgets, with mismatch, rna_bulges, dna_bulges and cigar."""
+    """Pairs (guide, target, ...) that align within the budgets, with mismatch, rna_bulges, dna_bulges, cigar and aligned strings.
+
+    Pairs with more edits than both budgets together are left out in the JVM; only near ones come to Python. Nulls align with nothing.
+    """
+    pairs = pairs.where(F.levenshtein("guide", "target", most_mismatches + most_gaps) >= 0)
 
     def run(frames):
         for frame in frames:
             got = [align(a, b, most_gaps) if a is not None and b is not None else None for a, b in zip(frame["guide"], frame["target"], strict=True)]
             keep = [g is not None and g[0] <= most_mismatches for g in got]
-            rows = [g for g, k in zip(got, keep, strict=True) if k]
-            yield frame[keep].assign(**{name: pd.Series([r[i] for r in rows], index=frame.index[keep], dtype=kind) for i, (name, kind) in enumerate((("mismatch", "int32"), ("rna_bulges", "int32"), ("dna_bulges", "int32"), ("cigar", "object")))})
-
-    from pyspark.sql import types as T
+            rows = [(*g, *strings(a, b, g[3])) for g, k, a, b in zip(got, keep, frame["guide"], frame["target"], strict=True) if k]
+            yield frame[keep].assign(**{f.name: pd.Series([r[i] for r in rows], index=frame.index[keep], dtype="int32" if i < 3 else "object") for i, f in enumerate(extra)})
 
-    extra = [T.StructField(n, T.IntegerType()) for n in ("mismatch", "rna_bulges", "dna_bulges")] + [T.StructField("cigar", T.StringType())]
+    extra = [T.StructField(n, T.IntegerType()) for n in ("mismatch", "rna_bulges", "dna_bulges")] + [T.StructField(n, T.StringType()) for n in ("cigar", "aligned_guide", "aligned_target")]
     return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, *extra]))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
+from guidespan.operators.alignment import aligned
+from guidespan.operators.lineage import cut
 from guidespan.sources.contigs import marked
 
 
@@ -23,19 +25,20 @@ class SeedPlan:
     changes: int
 
 
-def seed_plan(length: int, budget: int, most_variants: int = 500_000) -> SeedPlan:
-    """The plan of the fewest expected lookups: n segments, one of which has budget // n mismatches or fewer.
+def seed_plan(length: int, budget: int, most_variants: int = 500_000, bulges: int = 0) -> SeedPlan:
+    """The plan of the fewest expected lookups: n segments, more than there are bulges. Of the n - bulges that no bulge touches one
+    has budget // (n - bulges) mismatches or fewer.
 
     A variant of a seed costs one lookup and what it finds: a share of LOOKED_UP random targets.
     """
-    if length < 1 or budget < 0 or budget >= length:
+    if length < 1 or budget < 0 or bulges < 0 or budget + bulges >= length:
         raise ValueError("no plan finds such sites")
     best = None
-    for n in range(1, min(length, budget + 1) + 1):
+    for n in range(bulges + 1, min(length, budget + bulges + 1) + 1):
         size, more = divmod(length, n)
         starts = [i * size + min(i, more) for i in range(n)]
         segments = tuple((s, size + (i < more)) for i, s in enumerate(starts))
-        changes = budget // n
+        changes = budget // (n - bulges)
         variants = sum(comb(k, c) * 3**c for _, k in segments for c in range(min(changes, k) + 1))
         cost = sum(sum(comb(k, c) * 3**c for c in range(min(changes, k) + 1)) * (1 + LOOKED_UP / 4.0**k) for _, k in segments)
         if variants <= most_variants and (best is None or (cost, n) < best[0]):
@@ -93,6 +96,52 @@ def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam:
     return sites.join(pairs, "target").select("qid", "guide", "seq_id", "start", "strand", "target", "pam", "mismatch")
 
 
+def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, bulges: int, pam: str = "NGG", side: str = "3prime") -> DataFrame:
+    """All places beside a PAM, on both strands, where a guide aligns with so many mismatches and so many bulges at most.
+
+    One row a guide and PAM place: the best target of length - bulges to length + bulges bases that ends at the PAM, by cost (two a
+    mismatch, three a bulge), then fewer mismatches, bulges, a length nearer the guide's, the shorter one. start and target_end
+    are places on the plus strand; target, pam and the aligned strings read in the guide's direction. bitscore falls from 100 by
+    12 a mismatch and 18 a bulge.
+
+    Stretches beside PAMs are cut once. A guide's seeds meet those of the distinct stretches at every shift that bulges allow, so
+    that no alignment within the budgets is missed; then each pair that meets is aligned in full.
+    """
+    n, p, room = length, len(pam), length + bulges
+    # Bases outside the contig are N, so that sites near its ends have their shorter targets.
+    edge = F.lit("N" * bulges)
+    padded = contigs.select("seq_id", F.concat(edge, "seq", edge).alias("seq"))
+    last = side == "3prime"
+    far, near = f"[A-Z]{{{2 * bulges}}}", f"[ACGT]{{{n - bulges}}}"
+    wanted = [(far + near + S.pattern(c) if behind else S.pattern(c) + near + far, S.anchor(c, room if behind else 0)) for c, behind in ((pam, last), (S.flipped(pam), not last))]
+    plus = F.col("which") == 0
+    behind = plus if last else ~plus
+    turned = lambda x: F.when(plus, x).otherwise(S.reverse_complement(x))
+    found = marked(padded, room + p, wanted)
+    beside = F.when(behind, F.substring("window", 1, room)).otherwise(F.substring("window", p + 1, room))
+    own_pam = F.when(behind, F.substring("window", room + 1, p)).otherwise(F.substring("window", 1, p))
+    sites = found.select("seq_id", F.when(plus, "+").otherwise("-").alias("strand"), (F.col("pos") - bulges + F.when(behind, room).otherwise(p)).alias("_border"), turned(beside).alias("_beside"), turned(own_pam).alias("pam"))
+    sites = cut(sites)
+    plan = seed_plan(n, budget, bulges=bulges)
+    # Places of a seed count from the PAM: bulges between both shift it.
+    shifts = range(-bulges, bulges + 1)
+    begin = lambda s, size, d: (room - n + s - d if last else s + d) + 1
+    seeds = F.array(*(F.struct(F.lit(k).alias("segment"), F.substring("_beside", begin(s, size, d), size).alias("seed")) for k, (s, size) in enumerate(plan.segments) for d in shifts if 0 < begin(s, size, d) <= room - size + 1))
+    stretches = sites.select("_beside").distinct()
+    met = stretches.withColumn("_s", F.explode(seeds)).select("_beside", "_s.segment", "_s.seed").join(_seed_variants(guides, plan), ["segment", "seed"])
+    pairs = met.select("qid", "guide", "_beside").distinct()
+    part = (lambda size: F.right("_beside", F.lit(size))) if last else (lambda size: F.left("_beside", F.lit(size)))
+    pairs = pairs.withColumn("target", F.explode(F.array(*(part(size) for size in range(n - bulges, room + 1))))).where(~F.col("target").contains("N"))
+    gaps = F.col("rna_bulges") + F.col("dna_bulges")
+    key = F.struct((2 * F.col("mismatch") + 3 * gaps).alias("cost"), "mismatch", gaps.alias("indel"), F.abs(F.length("target") - n).alias("drift"), F.length("target").alias("n_target"), "target", "rna_bulges", "dna_bulges", "cigar", "aligned_guide", "aligned_target")
+    best = aligned(pairs, budget, bulges).groupBy("qid", "guide", "_beside").agg(F.min(key).alias("_best"))
+    rows = sites.join(best, "_beside")
+    ends_there = (F.col("strand") == "+") if last else (F.col("strand") == "-")
+    start = F.when(ends_there, F.col("_border") - F.col("_best.n_target")).otherwise(F.col("_border"))
+    rows = rows.select("qid", "guide", "seq_id", start.alias("start"), (start + F.col("_best.n_target")).alias("target_end"), "strand", "_best.target", "pam", "_best.mismatch", "_best.indel", "_best.rna_bulges", "_best.dna_bulges", "_best.cigar", "_best.aligned_guide", "_best.aligned_target")
+    return rows.withColumn("bitscore", F.greatest(F.lit(0.0), F.lit(100.0) - F.col("mismatch") * 12.0 - F.col("indel") * 18.0))
+
+
 def top(hits: DataFrame, n: int) -> DataFrame:
     """The n best hits of each guide, by mismatches, then place."""
     order = Window.partitionBy("qid").orderBy("mismatch", "seq_id", "start", "strand")
