@@ -5,6 +5,9 @@ window); a window with at most e edits shares at least L - q + 1 - e q of its q-
 stands, all within e diagonals. So a worker looks up the document's q-grams in the items' index, counts the hits of each window in
 overlapping bands of diagonals, keeps the bands that reach the bound, and verifies those by banded alignment. What has no q-gram
 count to filter by (windows shorter than q) is looked for literally.
+
+So a document counts as contaminated if it holds a window of an item within the window's edits: any stretch of WINDOW + STRIDE - 1
+characters of an item, letter by letter, is found, wherever it starts, and every item that is no longer than a window.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guidespan.llm.common import append, pieces, written
+from guidespan.llm.common import append, fresh, pieces, written
 
 Q = 9
-#: Characters of a window, and the edits allowed in one, as a share of its length.
-WINDOW, EDITS = 128, 0.08
+#: Characters of a window, from one window's start to the next, and the edits allowed in one, as a share of its length.
+WINDOW, STRIDE, EDITS = 64, 16, 0.08
 #: Half the width of a band of diagonals; no window may have more edits.
-HALF = 16
-#: Characters of items that are sent to the workers at once. A larger benchmark is taken in several passes.
-PASS_CHARS = 16 << 20
+HALF = 8
+#: Characters of items that are sent to the workers at once: each worker's index takes about 40 bytes a character. A larger benchmark
+#: is taken in several passes.
+PASS_CHARS = 4 << 20
 
 
 def normal(text: str | None) -> str:
@@ -50,14 +54,6 @@ def grams(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(text: str) -> list[str]:
-    """The windows of a normal text: WINDOW characters, half overlapping, the last at its end."""
-    if len(text) <= WINDOW:
-        return [text] if text else []
-    starts = list(range(0, len(text) - WINDOW, WINDOW // 2)) + [len(text) - WINDOW]
-    return [text[s : s + WINDOW] for s in starts]
-
-
 def budget(length: int) -> tuple[int, int]:
     """(edits allowed, q-grams that must be shared) of a window."""
     e = min(int(length * EDITS), HALF)
@@ -67,62 +63,84 @@ def budget(length: int) -> tuple[int, int]:
 
 
 class Index:
-    """The q-grams of some items' windows."""
+    """The q-grams of some items. Items are named by their number in the order of their ids."""
 
     def __init__(self, items: tuple[tuple[int, str], ...]):
-        self.item, self.text, self.short = [], [], []
-        seen = set()
-        for item, text in items:
-            for w in windows(normal(text)):
-                if len(w) < Q:
-                    self.short.append((item, w))
-                elif (item, w) not in seen:
-                    seen.add((item, w))
-                    self.item.append(item)
-                    self.text.append(codes(w))
-        self.edits, self.bound = (np.array(x, np.int64) for x in zip(*(budget(len(t)) for t in self.text), strict=True)) if self.text else (np.zeros(0, np.int64),) * 2
+        held = sorted({(item, t) for item, text in items if (t := normal(text))})
+        self.short = [(item, t) for item, t in held if len(t) < Q]
+        held = [(item, t) for item, t in held if len(t) >= Q]
+        self.item = np.array([item for item, _ in held], np.int64)
+        self.text = [codes(t) for _, t in held]
+        length = np.array([len(t) for t in self.text], np.int64)
+        #: For each item its windows' length, number, edits and bound; a window's number counts from its item's first.
+        self.width = np.minimum(length, WINDOW)
+        self.windows = 1 + -(-(length - self.width) // STRIDE)
+        self.start = np.cumsum(self.windows) - self.windows
+        self.last = length - self.width
+        self.edits, self.bound = (np.array(x, np.int64) for x in zip(*(budget(int(w)) for w in self.width), strict=True)) if held else (np.zeros(0, np.int64),) * 2
         g = [grams(t) for t in self.text]
         gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self.gram, self.first = np.unique(gram[order], return_index=True)
-        self.last = np.append(self.first[1:], len(gram))
-        self.window, self.place = window[order], place[order]
+        self.end = np.append(self.first[1:], len(gram))
+        self.owner = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g])[order]
+        self.place = (np.concatenate([np.arange(len(x), dtype=np.int32) for x in g]) if g else np.zeros(0, np.int32))[order]
         self.bits = max(16, min(24, int(len(self.gram) * 16).bit_length()))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.gram >> np.uint64(64 - self.bits)] = True
 
-    def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first diagonal of the band) of the bands that share enough q-grams."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def window(self, item: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Where a window starts in its item."""
+        return np.minimum(number * STRIDE, self.last[item])
+
+    def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, window's number in it, first diagonal of the band) of the bands that share enough q-grams.
+
+        A diagonal is the place in c less the place in the item.
+        """
+        none = np.zeros(0, np.int64)
         h = grams(c)
-        at = np.nonzero(self.maybe[h >> np.uint64(64 - self.bits)])[0] if len(h) and len(self.gram) else none[0]
+        at = np.nonzero(self.maybe[h >> np.uint64(64 - self.bits)])[0] if len(h) and len(self.gram) else none
         if not len(at):
-            return none
+            return none, none, none
         k = np.searchsorted(self.gram, h[at])
         k[k == len(self.gram)] = 0
         at, k = (x[self.gram[k] == h[at]] for x in (at, k))
-        times = self.last[k] - self.first[k]
+        times = self.end[k] - self.first[k]
         posting = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        window, diagonal = self.window[posting], np.repeat(at, times) - self.place[posting] + WINDOW
-        out = []
+        item, place = self.owner[posting].astype(np.int64), self.place[posting].astype(np.int64)
+        diagonal = np.repeat(at, times) - place
+        # The windows that hold the q-gram: the last that starts before it and those before that one, and the item's last.
+        items, numbers, diagonals = [], [], []
+        for back in range(-(-WINDOW // STRIDE) + 1):
+            number = np.minimum(place // STRIDE, self.windows[item] - 1) - back
+            begin = self.window(item, number)
+            ok = (number >= 0) & (begin <= place) & (place + Q <= begin + self.width[item])
+            items.append(item[ok])
+            numbers.append(number[ok])
+            diagonals.append(diagonal[ok])
+        item, number, diagonal = np.concatenate(items), np.concatenate(numbers), np.concatenate(diagonals)
+        window, out = self.start[item] + number, []
+        least = int(diagonal.min()) if len(diagonal) else 0
         for shift in (0, HALF):
-            key, n = np.unique((window << 40) | ((diagonal + shift) // (2 * HALF)), return_counts=True)
-            key = key[n >= self.bound[key >> 40]]
-            out.append((key >> 40, (key & ((1 << 40) - 1)) * 2 * HALF - shift - WINDOW))
-        return np.concatenate([w for w, _ in out]), np.concatenate([d for _, d in out])
-
-    def distance(self, c: np.ndarray, window: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least edits between each window and a stretch of c[lo:hi] whose diagonals are in the band, or a little beside it."""
-        out = np.zeros(len(window), np.int64)
+            band = (diagonal - least + shift) // (2 * HALF)
+            key, n = np.unique((window << 32) | band, return_counts=True)
+            own = np.searchsorted(self.start, key >> 32, side="right") - 1
+            enough = n >= self.bound[own]
+            key, own = key[enough], own[enough]
+            out.append((own, (key >> 32) - self.start[own], (key & ((1 << 32) - 1)) * 2 * HALF - shift + least))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def distance(self, c: np.ndarray, item: np.ndarray, begin: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least edits between each window (from begin in its item) and a stretch of c[lo:hi] in the band, or a little beside it."""
+        out = np.zeros(len(item), np.int64)
         width = 4 * HALF
-        for length in np.unique([len(self.text[w]) for w in window]):
-            own = np.nonzero(np.array([len(self.text[w]) for w in window]) == length)[0]
-            for part in (own[i : i + 2048] for i in range(0, len(own), 2048)):
-                pattern = np.stack([self.text[w] for w in window[part]])
-                place = diagonal[part, None] - HALF + np.arange(width)
-                steps = np.arange(width)
+        steps = np.arange(width)
+        for length in np.unique(self.width[item]):
+            own = np.nonzero(self.width[item] == length)[0]
+            for part in (own[i : i + 4096] for i in range(0, len(own), 4096)):
+                pattern = np.stack([self.text[t][b : b + length] for t, b in zip(item[part], begin[part], strict=True)])
+                place = (diagonal + begin)[part, None] - HALF + steps
                 now = np.zeros((len(part), width), np.int32)
                 for j in range(length):
                     at = place + j
@@ -143,14 +161,15 @@ class Index:
         c = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
         ends = np.cumsum([len(p) + 1 for p in parts])
         starts = ends - [len(p) + 1 for p in parts]
-        window, diagonal = self.candidates(c)
-        if len(window):
-            middle = np.clip(diagonal + HALF + np.array([len(self.text[w]) // 2 for w in window]), 0, len(c) - 1)
+        item, number, diagonal = self.candidates(c)
+        if len(item):
+            begin, width = self.window(item, number), self.width[item]
+            middle = np.clip(diagonal + begin + HALF + width // 2, 0, len(c) - 1)
             doc = np.searchsorted(ends, middle, side="right")
-            edits = self.distance(c, window, diagonal, starts[doc], ends[doc] - 1)
-            for i in np.nonzero(edits <= self.edits[window])[0].tolist():
-                w, d = int(window[i]), int(diagonal[i] - starts[doc[i]])
-                found[doc[i]].append((int(edits[i]), self.item[w], max(0, d), d + 2 * HALF + len(self.text[w])))
+            edits = self.distance(c, item, begin, diagonal, starts[doc], ends[doc] - 1)
+            for i in np.nonzero(edits <= self.edits[item])[0].tolist():
+                d = int(diagonal[i] + begin[i] - starts[doc[i]])
+                found[doc[i]].append((int(edits[i]), int(self.item[item[i]]), max(0, d), d + 2 * HALF + int(width[i])))
         for item, text in self.short:
             for k, t in enumerate(normals):
                 if (at := f" {t} ".find(f" {text} ")) >= 0:
@@ -165,23 +184,33 @@ def _index(items: tuple[tuple[int, str], ...]) -> Index:
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
     """The items that can be looked for, and how many passes they take."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     return items, max(1, -(-total // PASS_CHARS))
 
 
-def _held(items: DataFrame, k: int, passes: int) -> tuple[tuple[int, str], ...]:
-    """The items of pass k, about PASS_CHARS characters; all texts of an item's id, so that it counts once."""
-    return tuple(sorted((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()))
+def _held(items: DataFrame, k: int, passes: int) -> tuple[list, tuple[tuple[int, str], ...]]:
+    """The ids of pass k in order, null first, and its items by the number of their id: about PASS_CHARS characters.
+
+    All texts of an id are in one pass, so that it counts once.
+    """
+    rows = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()]
+    ids = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i if i is not None else 0))
+    number = {i: n for n, i in enumerate(ids)}
+    return ids, tuple(sorted((number[i], t) for i, t in rows))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Null and empty texts hold nothing, so they stay; repeated rows stay or go together; an empty table on either side changes nothing.
+    """
     items, passes = _items(benchmark, item_col, item_text_col)
     for k in range(passes):
-        sent = docs.sparkSession.sparkContext.broadcast(_held(items, k, passes))
-        found = append(docs, text_col, [("found", T.BooleanType())], lambda texts, sent=sent: [[bool(f) for f in _index(sent.value).find(texts)]])
-        docs = found.where("not _new_found").drop("_new_found")
+        sent = docs.sparkSession.sparkContext.broadcast(_held(items, k, passes)[1])
+        (name,) = fresh(docs, "found")
+        found = append(docs, text_col, [(name, T.BooleanType())], lambda texts, sent=sent: [[bool(f) for f in _index(sent.value).find(texts)]])
+        docs = found.where(~F.col(name)).drop(name)
     return docs
 
 
@@ -189,8 +218,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Return, for every row of docs, id, contaminated, n_items (items found), item_id (of the fewest edits, then the least), edits and
     start (about where, in the lower-case text with single spaces).
 
-    Null and empty texts hold nothing; null and empty items are found nowhere; repeated items count once for each id. Repeated rows
-    are rows of their own; an empty table on either side finds nothing. Other columns are not read.
+    Null and empty texts hold nothing; null and empty items are found nowhere; repeated items count once for each id; items of a null
+    id are one item, which item_id then names by null. Ids of items may be of any type that has an order. Repeated rows are rows of
+    their own; an empty table on either side finds nothing. Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -198,28 +228,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = rows.schema[0].dataType
     id_type = to_arrow_type(kind)
     items, passes = _items(benchmark, item_col, item_text_col)
+    item_kind = items.schema[0].dataType
+    item_type = to_arrow_type(item_kind)
     # Ids may be null or shared, so where several passes are put together each row has its own key, written once.
     rows = rows.withColumn("_row", F.monotonically_increasing_id()) if passes > 1 else rows.withColumn("_row", F.lit(0).cast("long"))
     rows = written(rows) if passes > 1 else rows
 
-    def one(held: tuple[tuple[int, str], ...]) -> DataFrame:
+    def one(held: tuple[list, tuple[tuple[int, str], ...]]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(held)  # PASS_CHARS characters, about
 
         def run(batches):
-            index = _index(sent.value)
+            names, items = sent.value
+            index = _index(items)
             for ids, texts, own in pieces(batches):
                 found = index.find(texts)
                 best = [min(f, default=None) for f in found]
-                columns = [pa.array(ids, id_type), pa.array(own, pa.int64()), pa.array([len({m[1] for m in f}) for f in found], pa.int64())]
-                columns += [pa.array([b and b[i] for b in best], pa.int64()) for i in (1, 0, 2)]
+                columns = [pa.array(ids, id_type), pa.array(own, pa.int64()), pa.array([len({m[1] for m in f}) for f in found], pa.int64()), pa.array([b and names[b[1]] for b in best], item_type)]
+                columns += [pa.array([b and b[i] for b in best], pa.int64()) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "_row", "n_items", "item_id", "edits", "start"])
 
-        return rows.mapInArrow(run, f"_id {kind.simpleString()}, _row long, n_items long, item_id long, edits long, start long")
+        return rows.mapInArrow(run, f"_id {kind.simpleString()}, _row long, n_items long, item_id {item_kind.simpleString()}, edits long, start long")
 
     out = one(_held(items, 0, passes))
     if passes > 1:
         for k in range(1, passes):
             out = out.unionByName(one(_held(items, k, passes)))
-        best = F.min(F.when(F.col("item_id").isNotNull(), F.struct("edits", "item_id", "start"))).alias("b")
+        best = F.min(F.when(F.col("edits").isNotNull(), F.struct("edits", "item_id", "start"))).alias("b")
         out = out.groupBy("_row").agg(F.first("_id").alias("_id"), F.sum("n_items").alias("n_items"), best).select("_id", "n_items", "b.item_id", "b.edits", "b.start")
     return out.select(F.col("_id").alias(id_col), (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "edits", "start")
