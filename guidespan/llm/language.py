@@ -1,8 +1,10 @@
 """Language identification by the nearest of several centroids per language.
 
 A text is the normalised TF-IDF vector of its hashed byte n-grams (letters only, lower case). The labelled sample is clustered
-within each language; a text gets the language of the centroid with the largest cosine, and is rejected if even that one is farther
-than nearly all texts of the sample are from theirs.
+within each language, one task a language; a text gets the language of the centroid with the largest cosine. It is rejected if even
+that one is too far. Cosines rise with the length of a text, so there is a limit for each class of lengths: a little above the cosine
+that nearly all texts of the sample stay below when they are held against the centroids of the other languages. That is how texts
+of a language that was not learned look, and texts of random letters or one repeated word.
 """
 
 from __future__ import annotations
@@ -11,21 +13,27 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guidespan.llm.common import append, pieces
+from guidespan.llm.common import append, cut, fresh, pieces
 
 DIMS_BITS = 12
 DIMS = 1 << DIMS_BITS
 ORDERS = (2, 3, 4)
 CENTROIDS = 4
-#: Labelled rows of each language, and languages, that the model is fitted on at most.
-SAMPLE, LANGUAGES = 800, 200
-#: A text is rejected below this part of the cosine that all but this share of the sample reach.
-REJECT_PART, REJECT_SHARE = 0.35, 0.002
+#: Labelled rows of each language that the model is fitted on at most; a cluster of a smaller share of them is no centroid.
+SAMPLE, LEAST_SHARE = 800, 0.02
+#: Upper bounds of the classes of lengths, in n-grams; a class of fewer sample texts than LEAST has the limit of the one below.
+LENGTHS, LEAST = (100, 400, 1600, 6400, 25600), 20
+#: The limit: this quantile of the cosines with other languages, and this part of the way from there to the median with the own one.
+#: With one language: this part of that median.
+FOREIGN, MARGIN, ALONE = 0.95, 0.2, 0.5
+#: Cosines are counted in so many steps.
+STEPS = 500
 NO_LANGUAGE = "und"
 _letter = re.compile(r"[^\W\d_]")
 #: Bytes that are no ASCII letters and no part of a longer character become spaces.
@@ -57,7 +65,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    least: float
+    least: np.ndarray  # the limit of each class of lengths
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         x = np.log1p(rows.astype(np.float32)) * self.idf
@@ -66,7 +74,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, largest cosine, rejected."""
         found, score, out = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        rows, at = [], []
+        rows, at, rows_at = [], [], {}
 
         def put() -> None:
             if rows:
@@ -75,7 +83,7 @@ class Model:
                     if len(cosines):
                         best = int(cosines.argmax())
                         found[k], score[k] = self.languages[best], float(min(1.0, max(0.0, cosines[best])))
-                        out[k] = score[k] < self.least
+                        out[k] = score[k] < self.least[np.searchsorted(LENGTHS, rows_at[k], side="right")]
                 rows.clear()
                 at.clear()
 
@@ -83,6 +91,7 @@ class Model:
             if (c := counts(text)) is not None:
                 rows.append(c)
                 at.append(k)
+                rows_at[k] = int(c.sum())
                 if len(rows) == 256:
                     put()
         put()
@@ -99,50 +108,93 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = np.stack(centers)
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
-        sums = np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
+        # Starts may be outliers: clusters of few texts are given up, but for the largest.
+        held = np.bincount(own, minlength=len(c))
+        keep = [i for i in range(len(c)) if held[i] >= LEAST_SHARE * len(x) or i == held.argmax()]
+        sums = np.stack([x[own == i].sum(axis=0) for i in keep])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     return c
 
 
-def fit_rows(languages: list[str], rows: np.ndarray) -> Model:
-    """A model from the n-gram counts of labelled texts."""
-    if not len(languages):
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], 0.0)
-    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, DIMS), np.float32), [], 0.0)
-    x, names = model.vectors(rows), np.array(languages)
-    centroids = []
-    for name in sorted(set(languages)):
-        c = clusters(x[names == name], CENTROIDS)
-        centroids.append(c)
-        model.languages += [name] * len(c)
-    model.centroids = np.concatenate(centroids).astype(np.float32)
-    nearest = (x @ model.centroids.T).max(axis=1)
-    model.least = float(REJECT_PART * np.quantile(nearest, REJECT_SHARE))
-    return model
+def _quantile(counts: np.ndarray, share: float) -> float:
+    """The cosine that this share of the counted ones stays below."""
+    return float(np.searchsorted(np.cumsum(counts), share * counts.sum())) / STEPS
+
+
+def limits(own: np.ndarray, foreign: np.ndarray) -> np.ndarray:
+    """The limit of each class of lengths, from counts (class, step) of cosines with the own language and with others."""
+    out = np.zeros(len(own))
+    for k, (mine, theirs) in enumerate(zip(own, foreign, strict=True)):
+        if mine.sum() < LEAST:
+            out[k] = out[k - 1] if k else 0.0
+        elif not theirs.sum():
+            out[k] = ALONE * _quantile(mine, 0.5)
+        else:
+            far, near = _quantile(theirs, FOREIGN), _quantile(mine, 0.5)
+            out[k] = far + MARGIN * (near - far) if near > far else 0.0
+    return out
+
+
+def _unpack(column) -> np.ndarray:
+    return np.stack([np.frombuffer(c, "<u4") for c in column])
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows where ``train`` holds and the language is known, SAMPLE of each language (by a hash of the id) at most.
+    """Fit on the rows where ``train`` holds and the language is known, SAMPLE different ones of each language (by a hash) at most.
 
-    Languages beyond the first LANGUAGES by code point are left out. The workers count the n-grams, of whole texts.
+    The workers count the n-grams, of whole texts, and cluster each language; only centroids, document frequencies and counts of
+    cosines come to the driver. Without any such row the model has no language and rejects all.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    names = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(F.col(id_col)).alias("_hash"))
-    known = names.groupBy("_lang").agg(F.count("*").alias("_rows")).orderBy("_lang").limit(LANGUAGES)
+    rows = rows.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("_hash"))
+    known = rows.groupBy("_lang").agg(F.count("*").alias("_rows"))
     # A share of each language's hashes holds about SAMPLE rows and some more; of these the first SAMPLE are taken.
     share = (F.pmod("_hash", F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-    few = names.join(F.broadcast(known), "_lang").where(share * F.col("_rows") <= 1.2 * SAMPLE + 50)
-    picked = few.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))).where(F.col("_n") <= SAMPLE).select("_id").distinct()
-    chosen = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id", "left_semi")
+    few = rows.select("_lang", "_hash").join(F.broadcast(known), "_lang").where(share * F.col("_rows") <= 1.2 * SAMPLE + 50).select("_lang", "_hash").distinct()
+    picked = few.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))).where(F.col("_n") <= SAMPLE).select("_lang", "_hash")
 
     def run(batches):
-        for langs, texts in pieces(batches):
-            got = [(lang, c) for lang, t in zip(langs, texts, strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], ["lang", "counts"])
-
-    got = sorted(chosen.select("_lang", "_text").mapInArrow(run, "lang string, counts binary").collect())
-    return fit_rows([r["lang"] for r in got], np.stack([np.frombuffer(r["counts"], "<u4") for r in got]) if got else np.zeros((0, DIMS), np.uint32))
+        for langs, texts, hashes in pieces(batches):
+            got = [(lang, h, c) for lang, t, h in zip(langs, texts, hashes, strict=True) if (c := counts(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in got], pa.string()), pa.array([h for _, h, _ in got], pa.int64()), pa.array([c.astype("<u4").tobytes() for _, _, c in got], pa.binary())], ["lang", "hash", "counts"])
+
+    counted = rows.join(F.broadcast(picked), ["_lang", "_hash"], "left_semi").select("_lang", "_text", "_hash").mapInArrow(run, "lang string, hash long, counts binary")
+    sample = cut(counted.groupBy("lang", "hash").agg(F.min("counts").alias("counts")))  # repeated rows are one
+
+    def frequencies(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(group)], "df": [(_unpack(group["counts"]) > 0).sum(axis=0).astype("<i8").tobytes()]})
+
+    seen = sample.groupBy("lang").applyInPandas(frequencies, "n long, df binary").collect()  # a row a language
+    if not seen:
+        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(len(LENGTHS) + 1))
+    idf = (np.log((1 + sum(r["n"] for r in seen)) / (1 + sum(np.frombuffer(r["df"], "<i8") for r in seen))) + 1).astype(np.float32)
+    model = Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(len(LENGTHS) + 1))
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("hash")
+        c = clusters(model.vectors(_unpack(group["counts"])), CENTROIDS)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(c), "k": range(len(c)), "c": [x.astype("<f4").tobytes() for x in c]})
+
+    got = sorted(map(tuple, sample.groupBy("lang").applyInPandas(cluster, "lang string, k long, c binary").collect()))  # CENTROIDS rows a language
+    model = Model(idf, np.stack([np.frombuffer(c, "<f4") for _, _, c in got]), [lang for lang, _, _ in got], np.zeros(len(LENGTHS) + 1))
+    names = np.array(model.languages)
+
+    def cosines(frames):
+        for frame in frames:
+            if len(frame):
+                near = model.vectors(_unpack(frame["counts"])) @ model.centroids.T
+                own = frame["lang"].to_numpy()[:, None] == names[None, :]
+                mine, theirs = np.where(own, near, 0).max(axis=1), np.where(own, -1, near).max(axis=1)
+                yield pd.DataFrame({"k": np.searchsorted(LENGTHS, _unpack(frame["counts"]).sum(axis=1), side="right"), "own": (mine * STEPS).astype(np.int64), "other": np.floor(theirs * STEPS).astype(np.int64)})
+
+    spread = sample.select("lang", "counts").mapInPandas(cosines, "k long, own long, other long")
+    own, foreign = np.zeros((len(LENGTHS) + 1, STEPS + 1)), np.zeros((len(LENGTHS) + 1, STEPS + 1))
+    for r in spread.groupBy("k", "own", "other").agg(F.count("*").alias("n")).collect():  # classes * STEPS * STEPS rows at most
+        own[r["k"], min(STEPS, max(0, r["own"]))] += r["n"]
+        if r["other"] >= 0:
+            foreign[r["k"], min(STEPS, r["other"])] += r["n"]
+    model.least = limits(own, foreign)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +209,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema[0].dataType
     id_type = to_arrow_type(kind)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES * CENTROIDS vectors at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS vectors a language
 
     def run(batches):
         for ids, texts in pieces(batches):
@@ -168,7 +220,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the model doesn't reject, with all their columns.
+
+    Texts that are null or have no letter go; repeated rows stay or go together; an empty table gives an empty result. A model of
+    no language (nothing labelled to learn from) can't tell anything and would empty the table, so that is an error if it has rows.
+    """
+    if not model.languages:
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no labelled text to learn languages from")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    found = append(docs, text_col, [("rejected", T.BooleanType())], lambda texts: [sent.value.predict(texts)[2]])
-    return found.where("not _new_rejected").drop("_new_rejected")
+    (name,) = fresh(docs, "rejected")
+    found = append(docs, text_col, [(name, T.BooleanType())], lambda texts: [sent.value.predict(texts)[2]])
+    return found.where(~F.col(name)).drop(name)
