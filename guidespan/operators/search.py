@@ -109,7 +109,7 @@ def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int
     """
     n, p, room = length, len(pam), length + bulges
     # Bases outside the contig are N, so that sites near its ends have their shorter targets.
-    edge = F.lit("N" * bulges)
+    edge = F.lit("N" * (2 * bulges))
     padded = contigs.select("seq_id", F.concat(edge, "seq", edge).alias("seq"))
     last = side == "3prime"
     far, near = f"[A-Z]{{{2 * bulges}}}", f"[ACGT]{{{n - bulges}}}"
@@ -120,7 +120,7 @@ def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int
     found = marked(padded, room + p, wanted)
     beside = F.when(behind, F.substring("window", 1, room)).otherwise(F.substring("window", p + 1, room))
     own_pam = F.when(behind, F.substring("window", room + 1, p)).otherwise(F.substring("window", 1, p))
-    sites = found.select("seq_id", F.when(plus, "+").otherwise("-").alias("strand"), (F.col("pos") - bulges + F.when(behind, room).otherwise(p)).alias("_border"), turned(beside).alias("_beside"), turned(own_pam).alias("pam"))
+    sites = found.select("seq_id", F.when(plus, "+").otherwise("-").alias("strand"), (F.col("pos") - 2 * bulges + F.when(behind, room).otherwise(p)).alias("_border"), turned(beside).alias("_beside"), turned(own_pam).alias("pam"))
     sites = cut(sites)
     plan = seed_plan(n, budget, bulges=bulges)
     # Places of a seed count from the PAM: bulges between both shift it.

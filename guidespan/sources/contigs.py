@@ -13,14 +13,22 @@ def from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return docs.select(F.col(id_col).alias("seq_id"), F.upper(F.regexp_replace(text_col, "[^acgtACGT]", "")).alias("seq")).where(F.length("seq") >= shortest)
 
 
-def from_fasta(spark: SparkSession, path: str) -> DataFrame:
+def from_fasta(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """(seq_id, seq) of FASTA files, compressed or not: the id is the first word of the header; sequences are upper case.
 
-    Each record is one row of the text reader, which splits at the header sign.
+    Each record is one row of the text reader, which splits at the header sign. names: only these records.
     """
     record = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
     lines = F.split("value", r"\r?\n", 2)
-    return record.select(F.element_at(F.split(F.trim(lines[0]), r"\s+"), 1).alias("seq_id"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), r"\s", "")).alias("seq"))
+    rows = record.select(F.element_at(F.split(F.trim(lines[0]), r"\s+"), 1).alias("seq_id"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), r"\s", "")).alias("seq")).where("seq_id <> ''")
+    return rows if names is None else rows.where(F.col("seq_id").isin(names))
+
+
+def checked(contigs: DataFrame) -> DataFrame:
+    """The contigs; an error if there is none."""
+    if contigs.isEmpty():
+        raise ValueError("no sequence records")
+    return contigs
 
 
 def from_bed(spark: SparkSession, path: str) -> DataFrame:

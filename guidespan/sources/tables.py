@@ -22,7 +22,7 @@ def read(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
 
 def remarks(spark: SparkSession, path: str) -> dict[str, str]:
     """What the comment lines of a table say, as key=value words."""
-    words = spark.read.text(path).where("value like '#%'").select(F.explode(F.split(F.regexp_replace("value", "^#+", ""), r"\\s+")).alias("w")).where("w like '%=%'")
+    words = spark.read.text(path).where("value like '#%'").select(F.explode(F.split(F.regexp_replace("value", "^#+", ""), r"\s+")).alias("w")).where("w like '%=%'")
     return {r["k"]: r["v"] for r in words.select(F.substring_index("w", "=", 1).alias("k"), F.expr("substring(w, instr(w, '=') + 1)").alias("v")).distinct().limit(1000).collect()}  # settings, not data
 
 
