@@ -1,9 +1,10 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained together in numpy.
 
-A word is the mean of the vectors of its hashed character n-grams, so a misspelt word lies near the right one. A segment of a few
-words is the mean of its words, and the softmax of it says how likely it is toxic. Labels are given to documents only, so training
-goes on with the segments that the model itself finds worst in each document. A last logistic layer weighs the worst segment, the
-mean of the worst few, and how many are toxic.
+A word is the mean of the vectors of its hashed character n-grams, so a misspelt word lies near the right one. A text is the mean of a
+bag of its words, and the softmax of this mean says how likely it is toxic. A few bad words make a long text toxic, so the bag holds
+those words of it that the model itself finds worst: WORST, and half of a short text's at most. Training starts with all words of
+each text in its bag and goes on with the worst ones, chosen anew several times. As labels are sampled evenly and toxic texts are
+rare, two numbers, fitted last, stretch and shift the softmax's margin to the share of toxic texts.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from guidespan.llm.common import pieces
 BUCKET_BITS, WIDTH = 16, 8
 BUCKETS = 1 << BUCKET_BITS
 SHORTEST, LONGEST = 3, 6
-#: Words of a segment, and the worst segments of a document that training and scoring look at.
-SEGMENT, WORST = 1, 4
+#: Words of a text's bag at most.
+WORST = 4
 #: Labelled rows of each label that the model is fitted on at most, and the longest text (in characters) taken for that.
 SAMPLE, SAMPLE_CHARS = 700, 12_000
-#: Gradient steps on all segments, then phases, each of so many steps on the segments that it finds worst.
+#: Gradient steps on all words, then phases, each of so many steps on bags of the words that it finds worst.
 STEPS, PHASES, PHASE_STEPS = 4, 4, 8
 #: What each step takes off the vectors, so that rare n-grams don't learn texts by heart.
 DECAY = 0.03
@@ -55,11 +56,16 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes)[np.argsort(owners, kind="stable")].astype(np.int64), np.bincount(owners, minlength=len(words))
 
 
+def bag(words: int) -> int:
+    """How many words the bag of a text of so many holds."""
+    return min(WORST, (words + 1) // 2)
+
+
 @dataclass
 class Model:
     logit: np.ndarray  # of each bucket: its vector times the difference of the two output vectors
     bias: float
-    last: np.ndarray  # weights of the last layer
+    last: np.ndarray  # what stretches and shifts the margin
     base: float
     seen: dict = field(default_factory=dict)
 
@@ -82,16 +88,13 @@ class Model:
         return np.array([seen[w] for w in words])
 
     def raw(self, text: str | None) -> np.ndarray | None:
-        """What the last layer weighs: the worst segment's logit, the mean of the worst, and how many and which share are toxic."""
+        """The margin of the text's bag, and 1; None without words."""
         words = words_of(text)
         if not words:
             return None
-        starts = np.arange(0, len(words), SEGMENT)
-        logit = np.add.reduceat(self.values(words), starts) / np.minimum(SEGMENT, len(words) - starts) + self.bias
-        few = min(WORST, (len(logit) + 1) // 2)  # half of a short text at most
-        worst = np.partition(logit, len(logit) - few)[-few:]
-        toxic = float((logit > 0).sum())
-        return np.array([worst.max(), worst.mean(), np.log1p(toxic), toxic / len(logit), 1.0])
+        logit = self.values(words)
+        few = bag(len(words))
+        return np.array([np.partition(logit, len(logit) - few)[-few:].mean() + self.bias, 1.0])
 
     def score(self, text: str | None) -> float:
         raw = self.raw(text)
@@ -99,7 +102,7 @@ class Model:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The weights of the last layer, by Newton's steps with a small ridge."""
+    """The two numbers of the margin, by Newton's steps with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -109,43 +112,39 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_texts(texts: list[str], labels: list[int], share: float | None = None) -> Model:
-    """Train on whole labelled texts: gradient steps on all segments, then on the worst ones, with Adam's step sizes.
+    """Train on whole labelled texts: gradient steps on all words, then on bags of the worst ones, with Adam's step sizes.
 
-    share: of toxic texts among all, where the sample has another; the last layer is weighted by it.
+    share: of toxic texts among all, where the sample has another; the two last numbers are weighted by it.
     """
     y = np.array(labels, np.float64)
     own = (y.sum() + 1) / (len(y) + 2)
     base = float(own if share is None else share)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 0.0, np.array([0, 0, 0, 0, np.log(base / (1 - base))]), base)
+        return Model(np.zeros(BUCKETS), 0.0, np.array([0, np.log(base / (1 - base))]), base)
     ids: dict[str, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
     if not ids:
-        return Model(np.zeros(BUCKETS), 0.0, np.array([0, 0, 0, 0, np.log(base / (1 - base))]), base)
+        return Model(np.zeros(BUCKETS), 0.0, np.array([0, np.log(base / (1 - base))]), base)
     flat, size = buckets(list(ids))
     at, size = np.cumsum(size) - size, size.astype(np.float32)
-    words = np.concatenate(docs)
-    per = np.array([-(-len(d) // SEGMENT) for d in docs])
+    words, per = np.concatenate(docs), np.array([len(d) for d in docs])
     owner = np.repeat(np.arange(len(docs)), per)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    first = np.repeat(np.cumsum([0, *map(len, docs)])[:-1], per) + place * SEGMENT
-    length = np.diff(np.append(first, len(words))).astype(np.float32)
-    target = y[owner].astype(np.float32)
-    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))[owner].astype(np.float32)
+    few = np.array([bag(n) for n in per])
+    balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
     rng = np.random.default_rng(0)
     values = [rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
 
     def margins() -> np.ndarray:
+        """Of each word by itself."""
         table, out, bias = values
-        word = np.add.reduceat((table @ (out[:, 1] - out[:, 0]))[flat], at) / size
-        return np.add.reduceat(word[words], first) / length + bias[1] - bias[0]
+        return (np.add.reduceat((table @ (out[:, 1] - out[:, 0]))[flat], at) / size)[words] + bias[1] - bias[0]
 
-    def steps(pick: np.ndarray, weight: np.ndarray, done: int, count: int) -> None:
-        """Gradient steps on the picked segments."""
-        n = length[pick].astype(np.int64)
+    def steps(pick: np.ndarray, of: np.ndarray, weight: np.ndarray, done: int, count: int) -> None:
+        """Gradient steps on bags: words (indexes, by bag), and the document and the weight of each bag."""
+        inner, bags = words[pick], np.unique(of, return_counts=True)
+        n, target = bags[1], y[bags[0] % len(docs)].astype(np.float32)
         start = np.cumsum(n) - n
-        inner = words[np.repeat(first[pick] - start, n) + np.arange(n.sum())]
         own, inner = np.unique(inner, return_inverse=True)
         m = size[own].astype(np.int64)
         begin = np.cumsum(m) - m
@@ -155,7 +154,7 @@ def fit_texts(texts: list[str], labels: list[int], share: float | None = None) -
             vectors = np.add.reduceat(table[gram][which], begin, axis=0) / size[own, None]
             mean = np.add.reduceat(vectors[inner], start, axis=0) / n[:, None].astype(np.float32)
             z = mean @ out + bias
-            g = (1 / (1 + np.exp(z[:, 0] - z[:, 1])) - target[pick]) * weight
+            g = (1 / (1 + np.exp(z[:, 0] - z[:, 1])) - target) * weight[bags[0] % len(docs)]
             both = np.stack([-g, g], axis=1)
             d_word = np.repeat(both @ out.T / n[:, None], n, axis=0)
             d_word = np.stack([np.bincount(inner, c, len(own)) for c in d_word.T], axis=1) / size[own, None]
@@ -168,17 +167,18 @@ def fit_texts(texts: list[str], labels: list[int], share: float | None = None) -
                 value *= 1 - DECAY
                 value -= 0.03 * (mo / (1 - 0.9**step)) / (np.sqrt(sq / (1 - 0.99**step)) + 1e-8)
 
-    everything = np.arange(len(owner))
-    steps(everything, balance / per[owner], 0, STEPS)
+    steps(np.arange(len(words)), owner, balance, 0, STEPS)
+    first = np.cumsum(per) - per
     for phase in range(PHASES):
         order = np.lexsort((-margins(), owner))
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(per) - per, per)
-        # Of a toxic document the worst segments; of a clean one the worst, and others for balance.
-        pick = everything[(rank < WORST) | (target == 0) & (rng.random(len(owner)) < 0.05)]
-        steps(pick, balance[pick] / np.minimum(per[owner[pick]], WORST), STEPS + phase * PHASE_STEPS, PHASE_STEPS)
+        rank[order] = np.arange(len(order)) - np.repeat(first, per)
+        worst = np.nonzero(rank < few[owner])[0]
+        # Clean documents give a second bag, of words at random, for balance.
+        other = np.nonzero((y[owner] == 0) & (rng.permutation(len(owner)) % 20 == 0))[0] if len(owner) > 20 else worst[:0]
+        steps(np.concatenate([worst, other]), np.concatenate([owner[worst], owner[other] + len(docs)]), balance, STEPS + phase * PHASE_STEPS, PHASE_STEPS)
     table, out, bias = values
-    model = Model(table.astype(np.float64) @ (out[:, 1] - out[:, 0]).astype(np.float64), float(bias[1] - bias[0]), np.zeros(5), base)
+    model = Model(table.astype(np.float64) @ (out[:, 1] - out[:, 0]).astype(np.float64), float(bias[1] - bias[0]), np.zeros(2), base)
     rows = [(r, t) for r, t in zip(map(model.raw, texts), y, strict=True) if r is not None]
     model.last = _calibrate(np.stack([r for r, _ in rows]), np.array([t for _, t in rows]), np.array([base / own if t else (1 - base) / (1 - own) for _, t in rows]))
     return model
@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     picked = one(0).unionByName(one(1))
     toxic, known = rows.agg(F.sum("_label"), F.count("*")).first()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS))
-    got = texts.join(F.broadcast(picked), "_id").select("_hash", "_id", "_label", "_text").collect()  # two times SAMPLE rows at most
-    got = sorted(set(map(tuple, got)))
+    # Of an id that several rows have, the least text: two times SAMPLE rows at most.
+    got = texts.join(F.broadcast(picked), "_id").groupBy("_hash", "_id", "_label").agg(F.min("_text").alias("_text")).collect()
+    got = sorted(map(tuple, got))
     return fit_texts([r[3] for r in got], [r[2] for r in got], ((toxic or 0) + 1) / (known + 2))
 
 
