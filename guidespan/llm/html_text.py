@@ -1,13 +1,13 @@
 """Main text of web pages by a bidirectional LSTM over the sequence of text blocks.
 
-A page becomes its sequence of leaf blocks. Each block is read as the mean vector of its tag path (tag names, class and id words),
-the mean vector of its hashed words, and a few numbers; the two directions of the network let every block be judged by the whole
-page. The blocks judged to be the article are joined.
+A page becomes its sequence of leaf blocks. Each block is read as the mean vector of the different words of its whole tag path (tag
+names, class and id words), the mean vector of its hashed words, and a few numbers; the two directions of the network let every block
+be judged by the whole page. The blocks judged to be the article are joined.
 
 The pages have no labels, so the network is trained on weak ones: a bounded sample of pages whose own tags (article, nav, footer,
 ...) tell what is what, each also rewritten in several layouts: with plain containers and usual class names instead of those tags, and
 with sidebars, forms, notices and reader comments put in. Part of the path words are left out at random in training, so that the
-network learns to use the neighbours and the words too.
+network learns to use the neighbours and the words too. Where no page's tags tell, the layouts are made of plain sentences instead.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ HASH_BITS, PATH_WIDTH, WORD_WIDTH, NUMBERS, HIDDEN = 12, 16, 8, 6, 16
 EPOCHS, BATCH, RATE, DROP = 10, 48, 0.012, 0.15
 
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "textarea", "select", "button"}
+#: What may stand in the head of a page; any other tag, and any text, ends it.
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
 #: Tags that an opening tag of the same group closes.
@@ -57,24 +59,32 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
+        self.open: dict[str, int] = {}  # how often each path word is open, in the order of the stack
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, [w for _, words in self.stack for w in words], self.linked))
+                self.blocks.append(Block(text, list(self.open), self.linked))
             self.parts, self.linked = [], 0
 
     def pop(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for gone, _ in self.stack[i:]:
-                    self.silent -= gone in SILENT
-                    self.links -= gone == "a"
-                del self.stack[i:]
+        """Close the innermost open tag of this name and all within it; nothing if none is open."""
+        while self.open.get(f"t:{tag}"):
+            gone, words = self.stack.pop()
+            self.silent -= gone in SILENT
+            self.links -= gone == "a"
+            for word in words:
+                if self.open[word] == 1:
+                    del self.open[word]
+                else:
+                    self.open[word] -= 1
+            if gone == tag:
                 return
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD and self.open.get("t:head"):
+            self.pop("head")
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.parts.append(" ")
@@ -83,13 +93,10 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE and tag not in SILENT:
             self.flush()
-            if tag in ENDS_P and any(t == "p" for t, _ in self.stack[-6:]):
+            if tag in ENDS_P and self.open.get("t:p"):
                 self.pop("p")
             elif tag in CLOSES and self.stack and self.stack[-1][0] in CLOSES[tag]:
                 self.pop(self.stack[-1][0])
-            if tag == "body":
-                while any(t == "head" for t, _ in self.stack):
-                    self.pop("head")
         words = [f"t:{tag}"]
         for name, value in attrs:
             if name in ("class", "id", "role", "itemprop", "aria-label") and value:
@@ -97,6 +104,8 @@ class Blocks(HTMLParser):
             elif name in ("hidden", "aria-hidden"):
                 words.append("c:hidden")
         self.stack.append((tag, words))
+        for word in words:
+            self.open[word] = self.open.get(word, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -109,6 +118,8 @@ class Blocks(HTMLParser):
         self.pop(tag)
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.pop("head")
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -205,7 +216,7 @@ def _ids(block: Block, cache: dict[str, int]) -> tuple[list[int], list[int], lis
         return n
 
     words = block.text.lower().split()
-    path = block.path[-24:] or ["t:none"]
+    path = block.path or ["t:none"]
     n = len(block.text)
     return [number(w) for w in path], [number(w) for w in words], [np.log1p(n) / 8, np.log1p(len(words)) / 6, block.linked / n, float(block.text[-1] in ".!?…:;»\"'"), sum(map(block.text.count, ".,;:!?")) / n * 10, len(words) < 6]
 
@@ -351,23 +362,42 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Ta
     """Fit on SAMPLE pages at most, by a hash of the id, of SAMPLE_CHARS characters at most (extraction takes all, whole)."""
     rows = pages.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_hash"), F.col(html_col).cast("string").alias("_html")).where(F.length("_html").between(1, SAMPLE_CHARS))
     # The ids first, so that no task sends SAMPLE whole pages.
-    picked = rows.select("_hash", "_id").orderBy("_hash", "_id").limit(SAMPLE).select("_id").distinct()
-    got = rows.join(F.broadcast(picked), "_id", "left_semi").select("_hash", "_html").collect()
-    got = [h for _, h in sorted(set(map(tuple, got)))][:SAMPLE]
-    return fit_pages(got)
+    picked = rows.select("_hash").distinct().orderBy("_hash").limit(SAMPLE)
+    # Of an id that several rows have, the least page.
+    got = rows.join(F.broadcast(picked), "_hash").groupBy("_hash").agg(F.min("_html").alias("_html")).collect()
+    return fit_pages([h for _, h in sorted(map(tuple, got))])
+
+
+def _made_pages(texts: list[str], rng: random.Random, count: int = 120) -> list[list[tuple[Block, int]]]:
+    """Pages of a heading and paragraphs each, their words dealt from texts: for tables in which no page's own tags tell the article."""
+    words = [w for t in texts for w in t.split()] or ["word"]
+    deal = lambda n: " ".join(rng.choice(words) for _ in range(n)).strip(".,;:!? ")
+    sentence = lambda: deal(rng.randint(6, 16)).capitalize() + rng.choice([".", ".", ".", "!", "?"])
+    pages = []
+    for _ in range(count):
+        page = [(Block(deal(rng.randint(2, 7)).capitalize() or "A", ["t:html", "t:body", "t:h1"]), 1)]
+        page += [(Block(" ".join(sentence() for _ in range(rng.randint(1, 6))), ["t:html", "t:body", rng.choice(["t:p", "t:p", "t:div"])]), 1) for _ in range(rng.randint(2, 8))]
+        pages.append(page)
+    return pages
 
 
 def fit_pages(htmls: list[str]) -> Tagger:
-    rng, known = random.Random(0), []
+    """Train on pages whose tags tell the article, and their layouts; without any such page, on layouts of made ones."""
+    rng, known, seen = random.Random(0), [], []
     for html in htmls:
-        labelled = [(b, weak_label(b)) for b in blocks_of(html)]
+        blocks = blocks_of(html)
+        seen += [b.text for b in blocks]
+        labelled = [(b, weak_label(b)) for b in blocks]
         labelled = [(b, label) for b, label in labelled if label is not None]
         if any(label for _, label in labelled):
             known.append(labelled)
-    spare = [b.text for page in known for b, _ in page] or ["a"]
     tagger = Tagger()
     if known:
+        spare = [b.text for page in known for b, _ in page]
         tagger.fit(2 * known + [layout(page, spare, rng) for page in known for _ in range(LAYOUTS)])
+    else:
+        made = _made_pages(seen, rng)
+        tagger.fit([layout(page, [b.text for p in made for b, _ in p], rng) for page in made for _ in range(3 * LAYOUTS)])
     return tagger
 
 
