@@ -124,11 +124,10 @@ def hit_annotations(spark, sf_dir):
 
 def batch_units(spark, sf_dir):
     """Scopes (contigs) times patterns: one unit each, with its id, status and number of sites."""
-    held, found = contigs(spark, sf_dir), None
+    held = contigs(spark, sf_dir)
     motifs = [MOTIF, patterns.Motif("TTTV", 12, "upstream"), patterns.Motif("ACGT", 6)]
-    for motif in motifs:
-        part = patterns.single(held, motif).groupBy("seq_id").agg(F.count("*").alias("n_sites")).withColumn("pattern", F.lit(motif.codes))
-        found = part if found is None else found.unionByName(part)
+    name = F.get(F.array(*(F.lit(m.codes) for m in motifs)), F.col("motif"))
+    found = patterns.several(held, motifs).groupBy("seq_id", name.alias("pattern")).agg(F.count("*").alias("n_sites"))
     units = held.select("seq_id", F.explode(F.array(*(F.lit(m.codes) for m in motifs))).alias("pattern"))
     rows = units.join(found, ["seq_id", "pattern"], "left").withColumn("n_sites", F.coalesce("n_sites", F.lit(0)))
     return rows.select("seq_id", "pattern", "n_sites", F.md5(F.concat_ws("/", F.col("seq_id").cast("string"), "pattern").cast("binary")).alias("unit_id"), F.when(F.col("n_sites") > 0, "done").otherwise("empty").alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
-from guidespan.sources.contigs import windows
+from guidespan.sources.contigs import marked
 
 
 def find_guides(contigs: DataFrame, spacer: int = 20, pam: str = "", side: str = "3prime", motif: str = "", both: bool = True) -> DataFrame:
@@ -15,18 +15,20 @@ def find_guides(contigs: DataFrame, spacer: int = 20, pam: str = "", side: str =
     guide_seq reads along the plus strand on either strand, pam_seq along its own. Places are half-open on the plus strand; without a PAM
     every stretch counts, and its PAM's places are -1. motif_overlap: the motif's length if it or its reverse complement is inside, else 0.
     """
-    out, p = None, len(pam)
+    p, wanted = len(pam), []
     for strand in "+-" if both else "+":
-        own = pam if strand == "+" else S.flipped(pam)
+        codes = pam if strand == "+" else S.flipped(pam)
+        near = S.pattern(codes) if pam else ""
         last = (side == "3prime") == (strand == "+")  # the PAM is to the right
-        near = S.pattern(own) if pam else ""
-        found = windows(contigs, spacer + p, f"[ACGT]{{{spacer}}}{near}" if last else f"{near}[ACGT]{{{spacer}}}")
-        start = F.col("pos") + (0 if last else p)
-        beside = F.substring("window", spacer + 1 if last else 1, p) if pam else F.lit("")
-        guide = F.substring("window", 1 if last else p + 1, spacer)
-        at = F.col("pos") + (spacer if last else 0) if pam else F.lit(-1).cast("long")
-        rows = found.select("seq_id", F.lit(strand).alias("strand"), guide.alias("guide_seq"), (beside if strand == "+" else S.reverse_complement(beside)).alias("pam_seq"), start.alias("spacer_start"), (start + spacer).alias("spacer_end"), at.alias("pam_start"), (at + p if pam else at).alias("pam_end"))
-        out = rows if out is None else out.unionByName(rows)
+        bases = f"[ACGT]{{{spacer}}}"
+        wanted.append((spacer + p, bases + near if last else near + bases, S.anchor(codes, spacer if last else 0) if pam else None))
+    found, plus = marked(contigs, wanted), F.col("which") == 0
+    last = plus if side == "3prime" else ~plus
+    start = F.col("pos") + F.when(last, 0).otherwise(p)
+    beside = F.when(last, F.substring("window", spacer + 1, p)).otherwise(F.substring("window", 1, p)) if pam else F.lit("")
+    at = F.col("pos") + F.when(last, spacer).otherwise(0) if pam else F.lit(-1).cast("long")
+    guide = F.when(last, F.substring("window", 1, spacer)).otherwise(F.substring("window", p + 1, spacer))
+    out = found.select("seq_id", F.when(plus, "+").otherwise("-").alias("strand"), guide.alias("guide_seq"), F.when(plus, beside).otherwise(S.reverse_complement(beside)).alias("pam_seq"), start.alias("spacer_start"), (start + spacer).alias("spacer_end"), at.alias("pam_start"), (at + p if pam else at).alias("pam_end"))
     own = motif.upper().replace("U", "T")
     inside = F.when(F.contains("guide_seq", F.lit(own)) | F.contains("guide_seq", F.lit(S.flipped(own))), len(own)).otherwise(0) if own else F.lit(0)
     return out.withColumn("motif_overlap", inside).withColumn("gc", F.round(S.gc_fraction(F.col("guide_seq")), 4))

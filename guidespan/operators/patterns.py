@@ -33,18 +33,25 @@ def single(contigs: DataFrame, motif: Motif) -> DataFrame:
     Sites of the minus strand are given as they stand on the plus strand, where the flank is on the other side. A site whose flank
     leaves the contig is none. A motif that equals its own reverse complement gives a site for each strand.
     """
-    n, any_base = len(motif.codes), f"[A-Z]{{{motif.flank}}}"
-    before, minus = motif.side == "upstream", S.flipped(motif.codes)
-    wanted = [(any_base + S.pattern(c) if first else S.pattern(c) + any_base, S.anchor(c, motif.flank if first else 0)) for c, first in ((motif.codes, before), (minus, not before))]
-    found = marked(contigs, n + motif.flank, wanted)
-    plus = F.col("which") == 0
-    ahead = F.when(plus, motif.flank if before else 0).otherwise(0 if before else motif.flank)
-    return found.select("seq_id", F.when(plus, "plus").otherwise("minus").alias("strand"), (F.col("pos") + ahead).alias("motif_pos"), F.col("pos").alias("window_start"), F.col("window").alias("sequence"))
+    return several(contigs, [motif]).drop("motif")
+
+
+def several(contigs: DataFrame, motifs: list[Motif]) -> DataFrame:
+    """The sites of several motifs, found in one scan, with the place of their motif in the list as ``motif``."""
+    wanted, ahead, plus = [], [], F.col("which") % 2 == 0
+    for m in motifs:
+        any_base = f"[A-Z]{{{m.flank}}}"
+        for codes, first in ((m.codes, m.side == "upstream"), (S.flipped(m.codes), m.side != "upstream")):
+            wanted.append((len(codes) + m.flank, any_base + S.pattern(codes) if first else S.pattern(codes) + any_base, S.anchor(codes, m.flank if first else 0)))
+            ahead.append(m.flank if first else 0)
+    found = marked(contigs, wanted)
+    start = F.col("pos") + F.get(F.array(*map(F.lit, ahead)), F.col("which"))
+    return found.select("seq_id", F.when(plus, "plus").otherwise("minus").alias("strand"), start.alias("motif_pos"), F.col("pos").alias("window_start"), F.col("window").alias("sequence"), F.shiftright("which", 1).alias("motif"))
 
 
 def both_strands(contigs: DataFrame, codes: str, name: str) -> DataFrame:
     """(seq_id, pos, motif_seq, strand, order) of a motif on either strand, named by ``name``; order is 0 for plus, 1 for minus."""
-    found = marked(contigs, len(codes), [(S.pattern(c), S.anchor(c)) for c in (codes, S.flipped(codes))])
+    found = marked(contigs, [(len(codes), S.pattern(c), S.anchor(c)) for c in (codes, S.flipped(codes))])
     return found.select("seq_id", F.col("pos").alias(f"{name}_pos"), F.col("window").alias(f"{name}_motif_seq"), F.when(F.col("which") == 0, "plus").otherwise("minus").alias(f"{name}_strand"), F.col("which").alias(f"_{name}_order"))
 
 

@@ -79,9 +79,9 @@ def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam:
     n, p = length, len(pam)
     bases, last = f"[ACGT]{{{n}}}", side == "3prime"
     own, other = pam, S.flipped(pam)
-    wanted = [(bases + S.pattern(c) if behind else S.pattern(c) + bases, S.anchor(c, n if behind else 0)) for c, behind in ((own, last), (other, not last))]
+    wanted = [(n + p, bases + S.pattern(c) if behind else S.pattern(c) + bases, S.anchor(c, n if behind else 0)) for c, behind in ((own, last), (other, not last))]
     plus = F.col("which") == 0
-    found = marked(contigs, n + p, wanted)
+    found = marked(contigs, wanted)
     behind = plus if last else ~plus
     target = F.when(behind, F.substring("window", 1, n)).otherwise(F.substring("window", p + 1, n))
     near = F.when(behind, F.substring("window", n + 1, p)).otherwise(F.substring("window", 1, p))
@@ -113,11 +113,11 @@ def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int
     padded = contigs.select("seq_id", F.concat(edge, "seq", edge).alias("seq"))
     last = side == "3prime"
     far, near = f"[A-Z]{{{2 * bulges}}}", f"[ACGT]{{{n - bulges}}}"
-    wanted = [(far + near + S.pattern(c) if behind else S.pattern(c) + near + far, S.anchor(c, room if behind else 0)) for c, behind in ((pam, last), (S.flipped(pam), not last))]
+    wanted = [(room + p, far + near + S.pattern(c) if behind else S.pattern(c) + near + far, S.anchor(c, room if behind else 0)) for c, behind in ((pam, last), (S.flipped(pam), not last))]
     plus = F.col("which") == 0
     behind = plus if last else ~plus
     turned = lambda x: F.when(plus, x).otherwise(S.reverse_complement(x))
-    found = marked(padded, room + p, wanted)
+    found = marked(padded, wanted)
     beside = F.when(behind, F.substring("window", 1, room)).otherwise(F.substring("window", p + 1, room))
     own_pam = F.when(behind, F.substring("window", room + 1, p)).otherwise(F.substring("window", 1, p))
     sites = found.select("seq_id", F.when(plus, "+").otherwise("-").alias("strand"), (F.col("pos") - 2 * bulges + F.when(behind, room).otherwise(p)).alias("_border"), turned(beside).alias("_beside"), turned(own_pam).alias("pam"))

@@ -50,14 +50,14 @@ def chunks(contigs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     return cut.select("seq_id", F.posexplode(F.expr(f"transform(_parts, (c, i) -> named_struct('c', c, 'n', coalesce(left(get(_parts, i + 1), {overlap}), '')))"))).select("seq_id", (F.col("pos") * size).cast("long").alias("chunk_start"), F.length("col.c").alias("own"), F.concat("col.c", "col.n").alias("chunk"))
 
 
-def marked(contigs: DataFrame, length: int, wanted: list[tuple[str, tuple[int, str] | None]]) -> DataFrame:
-    """(seq_id, pos, window, which): every stretch of ``length`` bases that matches a pattern, with the pattern's place in ``wanted``.
+def marked(contigs: DataFrame, wanted: list[tuple[int, str, tuple[int, str] | None]]) -> DataFrame:
+    """(seq_id, pos, window, which): every stretch of so many bases that matches a pattern, with its place in ``wanted``.
 
-    All patterns are looked for in one scan. A pattern may come with an anchor, (offset, text) that each of its matches has there, so
+    All of these (length, pattern, anchor) are looked for in one scan. A pattern may come with an anchor, (offset, text) that each of its matches has there, so
     that most places are left out by comparing a few letters and only the others are cut out and matched.
     """
 
-    def matches(k: int, pattern: str, anchor: tuple[int, str] | None) -> Column:
+    def matches(k: int, length: int, pattern: str, anchor: tuple[int, str] | None) -> Column:
         places = F.sequence(F.lit(0), F.col("own") - 1)
         if anchor:
             offset, text = anchor
@@ -66,13 +66,13 @@ def marked(contigs: DataFrame, length: int, wanted: list[tuple[str, tuple[int, s
         return F.filter(cut, lambda w: w["window"].rlike(f"^(?:{pattern})$"))
 
     found = [matches(k, *one) for k, one in enumerate(wanted)]
-    return chunks(contigs, length - 1).select("seq_id", F.explode(F.concat(*found)).alias("w")).select("seq_id", "w.pos", "w.window", "w.which")
+    return chunks(contigs, max(length for length, _, _ in wanted) - 1).select("seq_id", F.explode(F.concat(*found)).alias("w")).select("seq_id", "w.pos", "w.window", "w.which")
 
 
 def windows(contigs: DataFrame, length: int, pattern: str | None = None) -> DataFrame:
     """(seq_id, pos, window): every stretch of ``length`` bases (overlapping ones too), if given only those that match the pattern."""
     if pattern:
-        return marked(contigs, length, [(pattern, None)]).drop("which")
+        return marked(contigs, [(length, pattern, None)]).drop("which")
     found = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: F.struct((F.col("chunk_start") + i).alias("pos"), F.substring("chunk", i + 1, F.lit(length)).alias("window")))
     return chunks(contigs, length - 1).select("seq_id", F.explode(F.filter(found, lambda w: F.length(w["window"]) == length)).alias("w")).select("seq_id", "w.pos", "w.window")
 
