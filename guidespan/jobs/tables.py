@@ -11,8 +11,9 @@ from guidespan.functions import scores as V
 from guidespan.functions import seq as S
 from guidespan.jobs import annotation as A
 from guidespan.jobs import queries as Q
-from guidespan.jobs.scoring import WEIGHTS
-from guidespan.operators import export, hits, windows
+from guidespan.jobs.scoring import SQL as SCORING_SQL
+from guidespan.jobs.scoring import WEIGHTS, pair_evaluation
+from guidespan.operators import export, hits, pairs, search, windows
 from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
@@ -141,7 +142,62 @@ def side_guides(spark, sf_dir):
     return rows.select("seq_id", "y_start", "motif_start", "motif_strand", guide.alias("guide"), formats.slug(F.concat_ws(" / ", F.col("seq_id").cast("string"), F.col("y_start").cast("string"), "motif_strand")).alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, side_guides)}
+def scanned_hits(spark, sf_dir):
+    """What the seeded search finds, by comparing everything."""
+    held = Q.contigs(spark, sf_dir)
+    return search.scan(held, Q.guides(held), 20, Q.BUDGET)
+
+
+def kmer_index(spark, sf_dir):
+    """Every place of every stretch of eight plain bases, by its code."""
+    return C.windows(Q.contigs(spark, sf_dir), 8, "[ACGT]{8}").select(S.kmer_code(F.col("window")).alias("code"), "seq_id", "pos")
+
+
+def hit_activities(spark, sf_dir):
+    """Hits, bulges included, by each model."""
+    rows = hits.activities(hits.normalised(Q.bulge_alignments(spark, sf_dir), "bulges"), WEIGHTS)
+    return rows.select("qid", "target", "start", "strand", "target_end", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in rows.columns if c.startswith("activity_") and c != "activity_model"), "activity", "activity_model")
+
+
+def passing_sites(spark, sf_dir):
+    """Scored sites whose share of G and C passes."""
+    return hits.hard_filtered(Q.scored_sites(spark, sf_dir), True).select("qid", "gc_percent", "score")
+
+
+def edit_counts(spark, sf_dir):
+    """Edit distance of each guide and each target of its hits."""
+    return Q.bulge_alignments(spark, sf_dir).select("qid", "target", F.levenshtein("guide", "target").alias("edits"), "mismatch", "indel").distinct()
+
+
+def _pairs(spark, sf_dir):
+    ids = F.concat_ws(":", *(F.col(c).cast("string") for c in ("seq_id", "left_pos", "right_pos")))
+    score = lambda name: F.round(S.activity(F.col(f"{name}_flank_seq")), 9)
+    wide = {f"{n}_on_target_score_rule": score(n) for n in ("left", "right")} | {f"{n}_on_target_score_balance": F.round(S.gc_fraction(F.col(f"{n}_flank_seq")), 6) for n in ("left", "right")}
+    wide |= {f"{n}_on_target_model_balance": F.lit("gc_heuristic") for n in ("left", "right")} | {"calibration_status": F.when(F.col("gap") < 8, "calibrated_reference").otherwise("uncalibrated")}
+    return Q.gap_pairs(spark, sf_dir).withColumn("pair_id", ids).withColumns(wide)
+
+
+def pair_models(spark, sf_dir):
+    """The models of both sides of each pair, collected from columns by their names."""
+    rows = _pairs(spark, sf_dir)
+    of = lambda side: F.transform(pairs.model_records(rows, side), lambda m: F.struct(F.lit(side).alias("side"), m.alias("m")))
+    both = F.concat(of("left"), of("right"))
+    return rows.select("pair_id", F.explode(both).alias("x")).select("pair_id", "x.side", "x.m.name", "x.m.score", "x.m.calibrated", "x.m.is_fallback", "x.m.reference_only")
+
+
+def pair_compatibility(spark, sf_dir):
+    """Why pairs can't go together: their gap, and the side that their left flank lies on."""
+    side = F.when(F.col("left_strand") == "plus", "upstream").otherwise("downstream")
+    return Q.gap_pairs(spark, sf_dir).select("seq_id", "left_pos", "right_pos", F.concat_ws(";", pairs.gap_reasons(F.col("gap"), 5, 10, {"left": (side, "upstream")})).alias("reasons"))
+
+
+def ranked_pairs(spark, sf_dir):
+    """Pairs with their evaluation."""
+    rows = _pairs(spark, sf_dir).where("gap <> 6").select("pair_id", "gap", F.lit("old").alias("status"))
+    return pairs.attached(rows, pair_evaluation(spark, sf_dir).select("pair_id", "status", "tier", "pair_rank"))
+
+
+QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, side_guides, scanned_hits, kmer_index, hit_activities, passing_sites, edit_counts, pair_models, pair_compatibility, ranked_pairs)}
 
 # SQL
 
@@ -193,4 +249,14 @@ SQL = {
     "guides_read_back": Q._sql("u", "SELECT qid, substr(sequence, 1, 20) AS guide, 20::BIGINT AS n_bases FROM u"),
     "side_guides": Q.SQL["centre_flanks"].replace("SELECT y.seq_id, y_start", "SELECT seq_id, y_start, motif_start, motif_strand, flank_seq AS guide, seq_id || '_' || y_start || '_' || motif_strand AS label FROM (SELECT y.seq_id, y_start", 1) + ") WHERE flank_seq <> ''",
     "annotation_with_utrs": A._sql("SELECT concat_ws(chr(9), seq_id, 'inferred', type, start, \"end\", '.', strand, '.', 'Parent=' || transcript_id) AS value FROM utrs" + "".join(f" UNION ALL SELECT concat_ws(chr(9), seq_id, 'made', '{kind}', {a.replace('div', '//')}, {b.replace('div', '//')}, '.', strand, '.', {attrs}) FROM n" for kind, a, b, attrs in A._PARTS)),
+    "scanned_hits": Q.SQL["search_hits"],
+    "kmer_index": Q._sql("", f"SELECT CAST(list_sum(list_transform(range(0, 8), lambda i: CAST(pow(4, 7 - i) AS BIGINT) * (instr('ACGT', substr(w, i + 1, 1)) - 1))) AS BIGINT) AS code, seq_id, pos FROM ({Q._windows(8)})"),
+    "hit_activities": Q._sql("g", f"""SELECT *, CASE WHEN activity_cfd >= 0 THEN activity_cfd ELSE activity_bulge END AS activity, CASE WHEN activity_cfd >= 0 THEN 'cfd' ELSE '{hits.BULGE_METHOD}' END AS activity_model FROM (SELECT qid, seq_id AS target, start, strand, start + length(target) AS target_end,
+      CASE WHEN length(target) = 20 THEN round({_weighted()}, 9) ELSE -1.0 END AS activity_cfd, CASE WHEN length(target) = 20 THEN round((20 - mm) / 20, 9) ELSE -1.0 END AS activity_identity, """ + ", ".join(f"CASE WHEN length(target) = 20 THEN round((20 - mm) / 20 * pow({p}, list_sum(list_transform(range({a}, {b} + 1), lambda i: CAST(substr(guide, i, 1) <> substr(target, i, 1) AS INTEGER)))), 9) ELSE -1.0 END AS activity_{name}" for name, (a, b, p) in V.SEEDS.items()) + f""",
+      CASE WHEN length(target) <> 20 THEN round(least(greatest((least(length(target), 20) - mm) / least(length(target), 20)::DOUBLE * 0.5 * pow(0.75, mm), 0.01), 1.0), 9) ELSE -1.0 END AS activity_bulge FROM ({_B}))"""),
+    "passing_sites": "SELECT qid, gc_percent, score FROM (" + Q.SQL["scored_sites"] + ") WHERE gc_hint = 'pass'",
+    "edit_counts": Q._sql("g", f"SELECT DISTINCT qid, target, CAST(levenshtein(guide, target) AS INTEGER) AS edits, CAST(mm AS INTEGER) AS mismatch, CASE WHEN length(target) = 20 THEN 0 ELSE 1 END AS indel FROM ({_B})"),
+    "pair_models": Q._sql("p", f"""SELECT pair_id, side, name, score, calibrated AND NOT is_fallback AS calibrated, is_fallback, false AS reference_only FROM (SELECT seq_id || ':' || left_pos || ':' || right_pos AS pair_id, gap < 8 AS calibrated, unnest([{', '.join(f"{{'side': '{n}', 'name': '{m}', 'score': {x}, 'is_fallback': {f}}}" for n in ('left', 'right') for m, x, f in (('balance', f"round({Q._gc(f'coalesce({n}_flank_seq, chr(0))').replace('chr(0)', chr(39) * 2)}, 6)", 'true'), ('rule', f"round({Q._activity(f'coalesce({n}_flank_seq, chr(0))').replace('chr(0)', chr(39) * 2)}, 9)", 'false')))}], recursive := true) FROM p)"""),
+    "pair_compatibility": Q._sql("p", "SELECT seq_id, left_pos, right_pos, concat_ws(';', CASE WHEN gap < 5 THEN 'gap_below_min:' || gap || '.0' END, CASE WHEN gap > 10 THEN 'gap_above_max:' || gap || '.0' END, CASE WHEN left_strand <> 'plus' THEN 'direction_mismatch:left:upstream:downstream' END) AS reasons FROM p"),
+    "ranked_pairs": "SELECT e.pair_id, gap, status, tier, pair_rank FROM (" + SCORING_SQL["pair_evaluation"] + ") e JOIN (" + Q._sql("p", "SELECT seq_id || ':' || left_pos || ':' || right_pos AS pair_id, gap FROM p WHERE gap <> 6") + ") USING (pair_id)",
 }

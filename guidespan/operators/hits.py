@@ -121,3 +121,21 @@ def first_rows(rows: DataFrame, key: str, order: list[Column], count: str) -> Da
     """The first row of each key in the order, and how many rows the key has."""
     place, held = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order))), F.struct(*(c for c in rows.columns if c != key))
     return rows.groupBy(key).agg(F.min_by(held, place).alias("_row"), F.count("*").alias(count)).select(key, "_row.*", count)
+
+
+def activities(hits: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """Hits (normalised) with one column a model, null where a model can't score them, and the activity that counts with its model.
+
+    Weighted similarity and those by preset take hits without bulges; the cautious risk takes those with.
+    """
+    g, t, bulge = F.col("guide"), F.col("aligned_target"), F.col("indel") > 0
+    plain = lambda c: F.when(~bulge, F.round(c, 9))
+    risk = V.bulge_risk(F.col("aligned_guide"), t, F.col("mismatch"), F.col("rna_bulges"), F.col("dna_bulges"), F.col("indel"))
+    out = hits.withColumns({"activity_cfd": plain(V.weighted_similarity(g, t, weights or V.rule_weights(), F.col("pam"))), "activity_identity": plain(V.identity(g, t)), **{f"activity_{n}": plain(V.seeded_similarity(g, t, *s)) for n, s in V.SEEDS.items()}, "activity_bulge": F.when(bulge, F.round(risk, 9))})
+    return out.withColumn("activity", F.coalesce("activity_cfd", "activity_bulge")).withColumn("activity_model", F.when(bulge, BULGE_METHOD).otherwise("cfd"))
+
+
+def hard_filtered(rows: DataFrame, asked: bool, gc_hint: str = "gc_hint", repeat_hint: str | None = None) -> DataFrame:
+    """Rows whose hints pass, if that is asked for; else all."""
+    kept = F.col(gc_hint) == "pass"
+    return rows.where(kept & (F.col(repeat_hint) == "pass") if repeat_hint else kept) if asked else rows

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guidespan.functions import formats
 from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered, summed
 
@@ -128,3 +129,49 @@ def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
     counts = out.groupBy("status").agg(F.count("*").alias("_all"))
     passed = F.coalesce(counts.where("status = 'pass'").select("_all").scalar(), F.lit(0))
     return out.select("*", F.when(F.col("status") == "pass", first).alias("pair_rank"), F.when(F.col("status") == "conditional", first - passed).alias("conditional_rank")).drop("_n")
+
+
+def model_records(rows: DataFrame, side: str, calibration: str = "calibration_status") -> Column:
+    """Array of the on-target models of a side (name, score, applicable, calibrated, is_fallback, reference_only) of wide rows.
+
+    Each column <side>_on_target_score_<name>, or without any such on_target_score_<name>, is a model; its label, in
+    <side>_on_target_model_<name>, tells whether it stands in for another or is for reference only. Without any, the columns without
+    a name at the end are one. Scores that are null give no record.
+    """
+    has = set(rows.columns)
+    marks = [f"{side}_on_target_score_", "on_target_score_"]
+    names = sorted({c[len(m) :] for m in marks for c in has if c.startswith(m)})
+    first = lambda *columns: F.coalesce(*(F.col(c) for c in columns if c in has)) if has & set(columns) else F.lit(None).cast("string")
+    status = F.lower(F.trim(first(f"{side}_{calibration}", calibration)))
+    own_reference = F.coalesce(first(f"{side}_reference_only").cast("boolean"), F.lit(False))
+
+    def record(name: str | None) -> Column:
+        tail = f"_{name}" if name else ""
+        score = first(f"{side}_on_target_score{tail}", f"on_target_score{tail}").cast("double")
+        label = F.coalesce(first(f"{side}_on_target_model{tail}", f"on_target_model{tail}"), F.lit(name or "primary"))
+        other, reference = formats.is_fallback(label), own_reference | formats.is_reference_only(label)
+        calibrated = F.coalesce(status == "calibrated_reference", F.lit(False)) & ~other & ~reference
+        return F.when(score.isNotNull(), F.struct((F.lit(name) if name else label).alias("name"), score.alias("score"), F.lit(True).alias("applicable"), calibrated.alias("calibrated"), other.alias("is_fallback"), reference.alias("reference_only")))
+
+    return F.array_compact(F.array(*map(record, names or [None])))
+
+
+def attached(rows: DataFrame, evaluation: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Rows with the evaluation of their pair; those without one are rejected, for no result. Columns of one name are the evaluation's."""
+    clash = [c for c in evaluation.columns if c != key and c in rows.columns]
+    out = rows.drop(*clash).join(evaluation, key, "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("rejected")))
+
+
+def gap_reasons(gap: Column, least: float | None, most: float | None, sides: dict[str, tuple[Column, str]] | None = None) -> Column:
+    """Array of the hard reasons of a pair's gap and of the sides that its flanks lie on: {left or right: (actual, expected)}."""
+    value = gap.cast("double")
+    out = [F.when(value.isNull(), "gap_missing")] if least is not None or most is not None else []
+    if least is not None:
+        out.append(F.when(value < least, F.concat(F.lit("gap_below_min:"), value.cast("string"))))
+    if most is not None:
+        out.append(F.when(value > most, F.concat(F.lit("gap_above_max:"), value.cast("string"))))
+    for name, (actual, expected) in (sides or {}).items():
+        held = F.coalesce(F.nullif(F.trim(actual), F.lit("")), F.lit("missing"))
+        out.append(F.when(held != expected, F.concat(F.lit(f"direction_mismatch:{name}:{expected}:"), held)))
+    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")

@@ -70,12 +70,8 @@ def _seed_variants(guides: DataFrame, plan: SeedPlan) -> DataFrame:
     return out
 
 
-def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam: str = "NGG", side: str = "3prime") -> DataFrame:
-    """(qid, guide, seq_id, start, strand, target, pam, mismatch): all sites within the budget beside a PAM, on both strands.
-
-    guides: (qid, guide), all of one length. The PAM is tested in the scan, before anything is joined; sites then meet guides on
-    equal seeds, and meeting pairs, each once, are compared in full. target and pam read in the guide's direction.
-    """
+def beside_pam(contigs: DataFrame, length: int, pam: str = "NGG", side: str = "3prime") -> DataFrame:
+    """(seq_id, start, strand, target, pam) of all stretches of this length beside a PAM, on both strands, in the guide's direction."""
     n, p = length, len(pam)
     bases, last = f"[ACGT]{{{n}}}", side == "3prime"
     own, other = pam, S.flipped(pam)
@@ -87,7 +83,17 @@ def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam:
     near = F.when(behind, F.substring("window", n + 1, p)).otherwise(F.substring("window", 1, p))
     turned = lambda x: F.when(plus, x).otherwise(S.reverse_complement(x))
     sites = found.select("seq_id", (F.col("pos") + F.when(behind, 0).otherwise(p)).alias("start"), F.when(plus, "+").otherwise("-").alias("strand"), turned(target).alias("target"), turned(near).alias("pam"))
-    plan = seed_plan(n, budget)
+    return sites
+
+
+def search(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam: str = "NGG", side: str = "3prime") -> DataFrame:
+    """(qid, guide, seq_id, start, strand, target, pam, mismatch): all sites within the budget beside a PAM, on both strands.
+
+    guides: (qid, guide), all of one length. The PAM is tested in the scan, before anything is joined; sites then meet guides on
+    equal seeds, and meeting pairs, each once, are compared in full. target and pam read in the guide's direction.
+    """
+    sites = beside_pam(contigs, length, pam, side)
+    plan = seed_plan(length, budget)
     seeds = F.array(*(F.struct(F.lit(k).alias("segment"), F.substring("target", s + 1, size).alias("seed")) for k, (s, size) in enumerate(plan.segments)))
     # Equal targets are compared once: places are joined back after the comparison.
     targets = sites.select("target").distinct()
@@ -142,6 +148,29 @@ def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int
     return rows.withColumn("bitscore", F.greatest(F.lit(0.0), F.lit(100.0) - F.col("mismatch") * 12.0 - F.col("indel") * 18.0))
 
 
+#: Guides that a scan without seeds takes at most.
+MOST_SCANNED = 10_000
+
+
+def scan(contigs: DataFrame, guides: DataFrame, length: int, budget: int, pam: str = "NGG", side: str = "3prime") -> DataFrame:
+    """What ``search`` returns, by comparing every distinct stretch beside a PAM with every guide: for budgets that no seed plan serves.
+
+    The guides are the stated query set; each stretch is compared with all of them where it stands. More than MOST_SCANNED of them
+    are an error.
+    """
+    held = [(r["qid"], r["guide"]) for r in guides.select("qid", "guide").distinct().limit(MOST_SCANNED + 1).collect()]
+    if len(held) > MOST_SCANNED:
+        raise ValueError("too many guides for a scan: search by seeds")
+    sites = beside_pam(contigs, length, pam, side)
+    if not held:
+        return sites.where("1 = 0").select(F.lit("").alias("qid"), F.lit("").alias("guide"), "seq_id", "start", "strand", "target", "pam", F.lit(0).alias("mismatch"))
+    # Few distinct letters differ in most pairs, so the built-in distance with a limit ends early; then places are compared.
+    near = F.filter(F.array(*(F.struct(F.lit(q).alias("qid"), F.lit(g).alias("guide")) for q, g in sorted(held))), lambda g: F.levenshtein(g["guide"], F.col("target"), budget) >= 0)
+    pairs = sites.select("target").distinct().select("target", F.explode(near).alias("g")).select("target", "g.qid", "g.guide")
+    pairs = pairs.withColumn("mismatch", S.mismatches(F.col("guide"), F.col("target"))).where(F.col("mismatch") <= budget)
+    return sites.join(pairs, "target").select("qid", "guide", "seq_id", "start", "strand", "target", "pam", "mismatch")
+
+
 def top(hits: DataFrame, n: int) -> DataFrame:
     """The n best hits of each guide, by mismatches, then place."""
     order = Window.partitionBy("qid").orderBy("mismatch", "seq_id", "start", "strand")
