@@ -27,7 +27,8 @@ ORDERS = (2, 3, 4)
 CENTROIDS = 4
 #: Labelled rows of each language that the model is fitted on at most; a cluster of a smaller share of them is no centroid.
 SAMPLE, LEAST_SHARE = 800, 0.02
-#: Upper bounds of the classes of lengths, in n-grams; a class of fewer sample texts than LEAST has the limit of the one below.
+#: Upper bounds of the classes of lengths, in n-grams; a class of fewer sample texts than LEAST has the limit of the one below. Texts of the
+#: first class (about 35 letters) tell too little to be rejected by their distance.
 LENGTHS, LEAST = (100, 400, 1600, 6400, 25600), 20
 #: The limit: this quantile of the cosines with other languages, and this part of the way from there to the median with the own one.
 #: With one language: this part of that median.
@@ -125,8 +126,10 @@ def limits(own: np.ndarray, foreign: np.ndarray) -> np.ndarray:
     """The limit of each class of lengths, from counts (class, step) of cosines with the own language and with others."""
     out = np.zeros(len(own))
     for k, (mine, theirs) in enumerate(zip(own, foreign, strict=True)):
+        if not k:
+            continue
         if mine.sum() < LEAST:
-            out[k] = out[k - 1] if k else 0.0
+            out[k] = out[k - 1]
         elif not theirs.sum():
             out[k] = ALONE * _quantile(mine, 0.5)
         else:
