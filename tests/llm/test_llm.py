@@ -607,7 +607,7 @@ def test_runs_of_an_item_are_found_wherever_they_start(spark):
 
 
 def test_passes_keep_rows_of_one_id_apart(spark):
-    items = spark.createDataFrame([(k, " ".join(f"item{k}word{i}" for i in range(14))) for k in range(6)], "item_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(f"{'abcdef'[k] * 4}word{i}" for i in range(14))) for k in range(6)], "item_id long, text string")
     text = {r.item_id: r.text for r in items.collect()}
     docs = spark.createDataFrame([(None, text[0] + " " + text[1]), (None, "clean"), (None, text[2]), (5, text[3]), (5, "clean too"), (5, text[4] + " " + text[5])], "doc_id long, text string")
     want = sorted((r.doc_id or 0, r.contaminated, r.n_items, r.item_id or 0) for r in decontam.contamination(docs, items).collect())
