@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidespan.llm import audio, decontam, html_text, language, mixing, ngram_join, pii, sharding, tokens, toxicity
+from guidespan.llm import audio, decontam, fill_middle, html_text, language, mixing, ngram_join, phrases, pii, sharding, tokens, toxicity
 from guidespan.llm.common import id_crc, table
 
 
@@ -56,7 +56,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding)}
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.describe(table(spark, sf_dir, "documents"), 7, 100, 50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), 10, 50, 2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding, op12_fill_middle, op13_collocations)}
 
 SQL: dict[str, str] = {
     # The slots of the points are ranked within their source; rank r takes block r of the source's words, repeated to its target.
@@ -79,4 +87,31 @@ p AS (SELECT k.doc_id, k.size, m.sid, m.source_size, m.target, m.block, m.goal,
 SELECT doc_id, size, source_size, p.target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(place + size, goal % source_size) - place) END AS BIGINT) AS taken,
   CASE WHEN size > 0 AND place < goal THEN slot END AS first_slot
 FROM p LEFT JOIN z ON z.sid = p.sid AND z.rank = p.place // p.block""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS x, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS y,
+      text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM u),
+p AS (SELECT *, array_to_string(units[1:x], '') AS a, array_to_string(units[x + 1:y], '') AS b, array_to_string(units[y + 1:], '') AS e FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN h4 % 100 < 50 THEN '<S>' || e || '<P>' || a || '<M>' || b ELSE '<P>' || a || '<S>' || e || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
+    "op13_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+i AS (SELECT lang, unnest(list_zip(w, w[2:], w[3:])) AS z FROM w WHERE len(w) > 0),
+j AS (SELECT lang, z[1] AS w1, z[2] AS w2, z[3] AS w3 FROM i),
+g AS (SELECT lang, w1, NULL AS w2, NULL AS w3 FROM j UNION ALL SELECT lang, w1, w2, NULL FROM j WHERE w2 IS NOT NULL UNION ALL SELECT * FROM j WHERE w3 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, w1, w2, w3, concat_ws(' ', w1, w2, w3) AS phrase, CAST(count(*) AS HUGEINT) AS n FROM g GROUP BY lang, w1, w2, w3),
+s AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE w2 IS NULL GROUP BY lang),
+c AS (SELECT lang, phrase, w3, n AS a, 1 AS k, w1 AS lp, concat_ws(' ', w2, w3) AS rp FROM f WHERE w2 IS NOT NULL AND n >= 10
+      UNION ALL SELECT lang, phrase, w3, n, 2, w1 || ' ' || w2, w3 FROM f WHERE w3 IS NOT NULL AND n >= 10),
+y AS MATERIALIZED (SELECT c.*, f.n AS l FROM c JOIN f ON f.lang = c.lang AND f.phrase = lp),
+x AS (SELECT y.*, f.n AS r, 1000000 * a * a // (l * f.n) AS score FROM y JOIN f ON f.lang = y.lang AND f.phrase = rp),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM x),
+z AS (SELECT lang, phrase, max(n) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS phrase, n FROM f WHERE w3 IS NOT NULL AND n >= 10 UNION ALL SELECT lang, w2 || ' ' || w3, n FROM f WHERE w3 IS NOT NULL AND n >= 10) GROUP BY lang, phrase),
+k AS (SELECT b.* FROM b LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase WHERE best = 1 AND (w3 IS NOT NULL OR longer IS NULL OR 100 * longer < 50 * a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, s.n AS n, CAST(score AS BIGINT) AS score FROM o JOIN s ON s.lang = o.lang WHERE rank <= 2000""",
 }
