@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidespan.llm import audio, decontam, fill_middle, html_text, language, mixing, ngram_join, phrases, pii, sharding, tokens, toxicity
+from guidespan.llm import audio, decontam, fill_middle, html_text, language, mixing, near_dedup, ngram_join, phrases, pii, sharding, tokens, toxicity
 from guidespan.llm.common import id_crc, table
 
 
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 80)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.describe(table(spark, sf_dir, "documents"), 7, 100, 50)
 
@@ -64,7 +68,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), 10, 50, 2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding, op12_fill_middle, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_language, op3_mixing, op4_toxicity, op5_pii, op6_ngram_join, op7_media, op8_tokens, op9_decontamination, op10_sharding, op11_near_dedup, op12_fill_middle, op13_collocations)}
 
 SQL: dict[str, str] = {
     # The slots of the points are ranked within their source; rank r takes block r of the source's words, repeated to its target.
