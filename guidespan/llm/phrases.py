@@ -1,11 +1,14 @@
 """Phrase collocations, their counts made by a HAT-trie.
 
-1. A worker counts phrases of one to three words in a trie over word numbers: below each first word hangs a hash container of its
-   phrases, and a container that grows large bursts into one container for each second word. When the trie holds too many entries,
-   whole subtrees, the largest first, leave it as runs in the order of their words, which are written to the shared folder.
-2. The runs are dealt out by ranges of prefixes (Spark finds ranges of equal size, so a frequent prefix is spread over several), and
-   merged there: a phrase is one row a run at most.
-3. Phrases that are frequent enough are joined with the counts of their parts, which are frequent too, and scored in whole numbers.
+1. A worker counts phrases in a trie over word numbers: below each first word hangs a hash container of its phrases, and a container
+   that grows large bursts into one container for each second word. When the trie holds too many entries, whole subtrees, the
+   largest first, leave it as runs in the order of their words.
+2. The runs are dealt out by their prefix, the first two words, and merged there; the phrases of a prefix that is a large share of all
+   are dealt by the third word too. A phrase is one row a run at most.
+3. Words and pairs are counted first. A phrase of three words is as frequent as asked for only if both its pairs are, so the second
+   pass counts those whose pairs stand in a filter of the frequent ones. The filter has a fixed most size; if it fills up it lets
+   more phrases pass, never fewer.
+4. Frequent phrases are joined with the counts of their parts, which are frequent too, and scored in whole numbers.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +27,12 @@ from guidespan.llm.common import pieces, written
 #: Words of the longest phrase, and bits of a word's number.
 WORDS, BITS = 3, 21
 #: Entries of a container that bursts; entries, and words, that a worker's tries hold at most.
-BURST, ENTRIES, VOCABULARY = 4096, 1_000_000, 300_000
+BURST, ENTRIES, VOCABULARY = 4096, 1_500_000, 400_000
 #: Rows of an Arrow batch that leaves a worker.
 ROWS = 1 << 16
 UNKNOWN = "und"
+#: Bits of the filter of pairs; pairs that are more than one in LARGE of all words are dealt by the third word too.
+LEAST_BITS, MOST_BITS, LARGE = 20, 27, 1024
 #: Parts of a language that are ranked apart before their best are ranked together.
 PARTS = 256
 _MASK = (1 << BITS) - 1
@@ -48,26 +54,56 @@ def words_of(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
     return held.dictionary_encode(), np.cumsum(kind == 2)[starts]
 
 
-def phrase_codes(ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, times) of the phrases in a sequence of word numbers from 1, in the order of the codes; a shorter phrase ends in zeros."""
-    found, code = [], ids << (BITS * (WORDS - 1))
-    for more in range(WORDS):
-        if more:
-            same = piece[more:] == piece[:-more] if more < len(piece) else np.zeros(0, bool)
-            code = code[: len(same)] | ids[more:] << (BITS * (WORDS - 1 - more))
-        found.append(code[same] if more else code)
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+class Filter:
+    """Pairs of words, by two bits of their hash in an array of fixed size; and the pairs that are a large share of all words."""
+
+    def __init__(self, words: dict[int, int] | None, bits: int, large: frozenset[int] = frozenset()):
+        self.bits, self.large = bits, np.array(sorted(large), np.uint64)
+        self.words = None
+        if words is not None:
+            self.words = np.zeros(1 << (bits - 6), np.uint64)
+            for at, held in words.items():
+                self.words[at] = held & ((1 << 64) - 1)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes >> np.uint64(64 - self.bits), mix(hashes) >> np.uint64(64 - self.bits)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if self.words is None:
+            return np.ones(len(hashes), bool)
+        one, two = (((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool) for at in self.places(hashes))
+        return one & two
+
+
+def phrase_codes(ids: np.ndarray, piece: np.ndarray, sizes: tuple[int, ...], pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, times) of the phrases of these sizes in a sequence of word numbers from 1, in the order of the codes; a shorter phrase
+    ends in zeros. pairs: whether a phrase of three words may hold the pair that begins at each place."""
+    found = []
+    for size in sizes:
+        n = max(0, len(ids) - size + 1)
+        code = sum(ids[i : i + n] << (BITS * (WORDS - 1 - i)) for i in range(size))
+        same = piece[size - 1 :] == piece[:n] if size > 1 else np.ones(n, bool)
+        if size == WORDS and pairs is not None:
+            same &= pairs[:n] & pairs[1 : n + 1]
+        found.append(code[same])
     return np.unique(np.concatenate(found), return_counts=True)
 
 
 class Trie:
     """Counts of phrases, by first word: a container {code: times}, or, once that has burst, a container for each second word."""
 
-    def __init__(self, burst: int = BURST):
-        self.burst, self.size, self.total = burst, 0, 0
+    def __init__(self, lang: str, sizes: tuple[int, ...], pairs: Filter, burst: int = BURST):
+        self.lang, self.sizes, self.pairs, self.burst, self.size, self.total = xxhash.xxh3_64_intdigest(lang), sizes, pairs, burst, 0, 0
         self.roots: dict[int, dict] = {}
         self.split: set[int] = set()  # the first words whose container has burst
         self.number: dict[bytes, int] = {}
         self.words: list[bytes] = [b""]
+        self.hashes = np.zeros(1, np.uint64)
 
     def add(self, texts: list[str | None]) -> None:
         words, piece = words_of(texts)
@@ -80,8 +116,17 @@ class Trie:
                 k = self.number[word] = len(new)
                 new.append(word)
             number[i] = k
-        self.total += len(words)
-        self.put(*phrase_codes(number[words.indices.to_numpy()], piece))
+        self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new[len(self.hashes) :]), np.uint64))
+        ids = number[words.indices.to_numpy()]
+        self.total += len(ids)
+        frequent = None
+        if WORDS in self.sizes and self.pairs.words is not None:
+            frequent = self.pairs(self.prefix(ids[:-1], ids[1:]))
+        self.put(*phrase_codes(ids, piece, self.sizes, frequent))
+
+    def prefix(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """A hash of the language and the words with these numbers, the same in every worker. No word: number 0."""
+        return mix(mix(self.hashes[first] + np.uint64(self.lang)) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[second])
 
     def put(self, codes: np.ndarray, times: np.ndarray) -> None:
         """Add sorted codes."""
@@ -131,32 +176,48 @@ class Trie:
         return np.array(codes, np.int64), np.array(times, np.int64)
 
     def run(self, codes: np.ndarray, times: np.ndarray) -> list[pa.Array]:
-        """Three columns of words (null after the phrase's last) and one of times, in the order of the words' bytes."""
-        parts = [codes >> (2 * BITS), (codes >> BITS) & _MASK, codes & _MASK]
-        used, at = np.unique(np.concatenate(parts), return_inverse=True)
+        """Columns (hash of the prefix, words of the phrase, phrase, times) of these codes, in the order of the words' bytes."""
+        parts = np.stack([codes >> (2 * BITS), (codes >> BITS) & _MASK, codes & _MASK])
+        held = np.zeros(len(self.words), bool)
+        held[parts.ravel()] = True
+        used = np.nonzero(held)[0]
         words = pa.array([self.words[i] for i in used.tolist()], pa.binary())
         order = pc.sort_indices(words).to_numpy()
-        rank = np.empty(len(used), np.int64)
-        rank[order] = np.arange(len(used))
-        ranks = rank[at].reshape(3, -1)
-        by = np.argsort((ranks[0] << (2 * BITS)) | (ranks[1] << BITS) | ranks[2], kind="stable")
+        rank = np.zeros(len(self.words), np.int64)
+        rank[used[order]] = np.arange(len(used))
+        by = np.argsort((rank[parts[0]] << (2 * BITS)) | (rank[parts[1]] << BITS) | rank[parts[2]], kind="stable")
+        parts = parts[:, by]
         texts = words.take(pa.array(order)).cast(pa.string())
-        return [texts.take(pa.array(r[by], mask=p[by] == 0)) for r, p in zip(ranks, parts, strict=True)] + [pa.array(times[by])]
+        columns = [texts.take(pa.array(rank[p])) for p in parts]
+        size = (parts > 0).sum(axis=0)
+        phrase = columns[0]
+        for k in (1, 2):
+            longer = pc.binary_join_element_wise(phrase, columns[k], " ")
+            phrase = longer if (size > k).all() else phrase if not (size > k).any() else pc.if_else(pa.array(size > k), longer, phrase)
+        prefix = self.prefix(parts[0], parts[1])
+        large = np.isin(prefix, self.pairs.large) & (size == WORDS)
+        prefix = np.where(large, mix(prefix + self.hashes[parts[2]]), prefix)
+        return [pa.array(prefix.astype(np.int64)), pa.array(size.astype(np.int32)), phrase, pa.array(times[by])]
 
 
-def _runs(batches, entries: int, burst: int) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, w1, w2, w3, n) of the runs; a row without words has all words of a language."""
+NAMES = ["prefix", "lang", "words", "phrase", "n"]
+
+
+def _runs(batches, sizes: tuple[int, ...], pairs: Filter, entries: int, burst: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the runs; a row of no words has all words of a language."""
     tries: dict[str, Trie] = {}
 
     def put(lang: str, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], ["lang", "w1", "w2", "w3", "n"])
+        langs = pa.DictionaryArray.from_arrays(np.zeros(len(columns[0]), np.int8), [lang]).cast(pa.string())
+        whole = pa.RecordBatch.from_arrays([columns[0], langs, *columns[1:]], NAMES)
         for i in range(0, len(columns[0]), ROWS):
             yield whole.slice(i, ROWS)
 
     def end(lang: str) -> Iterator[pa.RecordBatch]:
         trie = tries.pop(lang)
-        if trie.total:
-            yield from put(lang, [pa.nulls(1, pa.string())] * 3 + [pa.array([trie.total])])
+        if trie.total and 1 in sizes:
+            yield from put(lang, [pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([""]), pa.array([trie.total])])
+        if trie.size:
             yield from put(lang, trie.run(*trie.spill()))
 
     for langs, texts in pieces(batches):
@@ -164,7 +225,7 @@ def _runs(batches, entries: int, burst: int) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(langs, texts, strict=True):
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
-            trie = tries.setdefault(lang, Trie(burst))
+            trie = tries.setdefault(lang, Trie(lang, sizes, pairs, burst))
             trie.add(own)
             if len(trie.words) > VOCABULARY:
                 yield from end(lang)
@@ -175,17 +236,43 @@ def _runs(batches, entries: int, burst: int) -> Iterator[pa.RecordBatch]:
         yield from end(lang)
 
 
+def _counted(rows: DataFrame, sizes: tuple[int, ...], pairs: Filter, least: int, entries: int, burst: int) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(pairs)  # 2**MOST_BITS bits, and fewer than LARGE hashes
+    runs = rows.mapInArrow(lambda batches: _runs(batches, sizes, sent.value, entries, burst), "prefix long, lang string, words int, phrase string, n long")
+    merged = runs.repartition("prefix").groupBy("prefix", "lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return written(merged.where((F.col("n") >= least) | (F.col("words") == 0)))
+
+
+def _filter(found: DataFrame, least: int) -> Filter:
+    """The filter of the pairs of ``found``: of each array word that is not zero one row comes to the driver, 2**(MOST_BITS - 6) at most."""
+    pairs = found.where("words = 2")
+    total = found.where("words = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = frozenset(r[0] & ((1 << 64) - 1) for r in pairs.where(F.col("n") * LARGE > total).select("prefix").collect())
+    if least <= 1:
+        return Filter(None, MOST_BITS, large)
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * pairs.count()).bit_length()))
+    one = Filter(None, bits)
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(one.places(batch.column(0).to_numpy().astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((at & np.uint64(63)).astype(np.int32))], ["at", "bit"])
+
+    bit = F.expr("bit_or(shiftleft(1L, bit))")
+    words = pairs.select("prefix").mapInArrow(places, "at int, bit int").groupBy("at").agg(bit.alias("held")).toArrow()
+    return Filter(dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist(), strict=True)), bits, large)
+
+
 def counts(docs: DataFrame, least: int = 1, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """(lang, w1, w2, w3, n): how often each phrase of one to three words occurs in its language, if ``least`` times or more; the row
-    of a language whose words are all null has the number of its words.
+    """(lang, words, phrase, n): how often each phrase of one to three words occurs in its language, if ``least`` times or more; a row of
+    0 words has the number of all words of a language.
 
     Phrases end at ``. , ; : ! ?`` and line breaks. A null language is ``und``; null and empty texts have no words; repeated rows
-    count again; an empty table gives an empty result.
+    count again; an empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("_lang"), F.col(text_col).cast("string").alias("_text")).where("_text <> ''")
-    runs = written(rows.mapInArrow(lambda batches: _runs(batches, entries, burst), "lang string, w1 string, w2 string, w3 string, n long"))
-    key = ["lang", "w1", "w2", "w3"]
-    return runs.repartitionByRange(*key).groupBy(*key).agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("w1").isNull())
+    short = _counted(rows, (1, 2), Filter(None, MOST_BITS), least, entries, burst)
+    return short.unionByName(_counted(rows, (3,), _filter(short, least), least, entries, burst)).drop("prefix")
 
 
 def collocations(docs: DataFrame, least: int = 10, inside: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -195,10 +282,9 @@ def collocations(docs: DataFrame, least: int = 10, inside: int = 50, top: int =
     score: floor(1,000,000 a a / (l r)), exactly; of equal cuts the first. Phrases within a longer frequent one that occurs at least
     ``inside`` percent as often are left out. Order: score, a, phrase by bytes. Nulls, empty and repeated rows as in ``counts``.
     """
-    phrase = F.concat_ws(" ", "w1", "w2", "w3")
-    found = written(counts(docs, least, text_col, lang_col).select("lang", phrase.alias("phrase"), "w1", "w2", "w3", "n"))
-    words = found.where("w1 is null").select("lang", F.col("n").alias("_all"))
-    known = found.where("w1 is not null")
+    found = counts(docs, least, text_col, lang_col)
+    words = found.where("words = 0").select("lang", F.col("n").alias("_all"))
+    known = found.where("words > 0").withColumn("_w", F.split("phrase", " ")).withColumns({f"w{i + 1}": F.try_element_at("_w", F.lit(i + 1)) for i in range(WORDS)}).drop("_w")
     cut = lambda k, *parts: F.struct(F.lit(k).alias("k"), *(F.concat_ws(" ", *p).alias(name) for name, p in zip(("left", "right"), parts, strict=True)))
     cuts = F.when(F.col("w3").isNull(), F.array(cut(1, ["w1"], ["w2"]))).otherwise(F.array(cut(1, ["w1"], ["w2", "w3"]), cut(2, ["w1", "w2"], ["w3"])))
     rows = known.where("w2 is not null").select("lang", "phrase", F.col("n").alias("a"), F.col("w3").isNull().alias("_two"), F.inline(cuts))
