@@ -1,7 +1,7 @@
 """Phrase collocations, their counts made by a HAT-trie.
 
 1. A worker counts phrases in a trie over word numbers: below each first word hangs a hash container of its phrases, and a container
-   that grows large bursts into one container for each second word. When the trie holds too many entries, whole subtrees, the
+   that grows large bursts into containers for neighbouring second words. When the trie holds too many entries, whole subtrees, the
    largest first, leave it as runs in the order of their words.
 2. The runs are dealt out by their prefix, the first two words, and merged there; the phrases of a prefix that is a large share of all
    are dealt by the third word too. A phrase is one row a run at most.
@@ -26,6 +26,10 @@ from guidespan.llm.common import pieces, written
 
 #: Words of the longest phrase, and bits of a word's number.
 WORDS, BITS = 3, 21
+#: Second words of neighbouring numbers that share a container share all but so many bits.
+SPAN = 8
+#: Characters of one language that are counted at a time.
+HELD_CHARS = 4 << 20
 #: Entries of a container that bursts; entries, and words, that a worker's tries hold at most.
 BURST, ENTRIES, VOCABULARY = 4096, 1_500_000, 400_000
 #: Rows of an Arrow batch that leaves a worker.
@@ -95,7 +99,8 @@ def phrase_codes(ids: np.ndarray, piece: np.ndarray, sizes: tuple[int, ...], pai
 
 
 class Trie:
-    """Counts of phrases, by first word: a container {code: times}, or, once that has burst, a container for each second word."""
+    """Counts of phrases, by first word: a container {code: times}, or, once that has burst, containers by the high bits of
+    the second word's number."""
 
     def __init__(self, lang: str, sizes: tuple[int, ...], pairs: Filter, burst: int = BURST):
         self.lang, self.sizes, self.pairs, self.burst, self.size, self.total = xxhash.xxh3_64_intdigest(lang), sizes, pairs, burst, 0, 0
@@ -133,28 +138,36 @@ class Trie:
         first = codes >> (2 * BITS)
         bounds = np.append(np.nonzero(np.diff(first, prepend=-1))[0], len(codes)).tolist()
         codes, times, first = codes.tolist(), times.tolist(), first.tolist()
+        roots, split, shift = self.roots, self.split, BITS + SPAN
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            root = self.roots.setdefault(first[lo], {})
-            if first[lo] in self.split:
+            word = first[lo]
+            root = roots.get(word)
+            if root is None:
+                root = roots[word] = dict(zip(codes[lo:hi], times[lo:hi], strict=True))
+                self.size += hi - lo
+            elif word in split:
                 for code, n in zip(codes[lo:hi], times[lo:hi], strict=True):
-                    box = root.setdefault(code >> BITS, {})
+                    box = root.get(code >> shift)
+                    if box is None:
+                        box = root[code >> shift] = {}
                     old = box.get(code, 0)
                     self.size += not old
                     box[code] = old + n
                 continue
-            before = len(root)
-            for code, n in zip(codes[lo:hi], times[lo:hi], strict=True):
-                root[code] = root.get(code, 0) + n
-            self.size += len(root) - before
+            else:
+                before, get = len(root), root.get
+                for code, n in zip(codes[lo:hi], times[lo:hi], strict=True):
+                    root[code] = get(code, 0) + n
+                self.size += len(root) - before
             if len(root) > self.burst:
                 boxes: dict[int, dict] = {}
                 for code, n in root.items():
-                    boxes.setdefault(code >> BITS, {})[code] = n
-                self.roots[first[lo]] = boxes
-                self.split.add(first[lo])
+                    boxes.setdefault(code >> shift, {})[code] = n
+                roots[word] = boxes
+                split.add(word)
 
     def subtrees(self) -> list[tuple[int, int, int | None]]:
-        """(entries, first word, second word or None) of every container."""
+        """(entries, first word, what its second words share or None) of every container."""
         out = []
         for word, root in self.roots.items():
             out += [(len(box), word, second) for second, box in root.items()] if word in self.split else [(len(root), word, None)]
@@ -220,18 +233,27 @@ def _runs(batches, sizes: tuple[int, ...], pairs: Filter, entries: int, burst: i
         if trie.size:
             yield from put(lang, trie.run(*trie.spill()))
 
+    held: dict[str, list[str]] = {}
+    chars: dict[str, int] = {}
+
+    def count(lang: str) -> Iterator[pa.RecordBatch]:
+        trie = tries.setdefault(lang, Trie(lang, sizes, pairs, burst))
+        trie.add(held.pop(lang))
+        del chars[lang]
+        if len(trie.words) > VOCABULARY:
+            yield from end(lang)
+        while sum(t.size for t in tries.values()) > entries:
+            largest = max(tries, key=lambda k: tries[k].size)
+            yield from put(largest, tries[largest].run(*tries[largest].spill(tries[largest].size // 2)))
+
     for langs, texts in pieces(batches):
-        by: dict[str, list[str]] = {}
         for lang, text in zip(langs, texts, strict=True):
-            by.setdefault(lang, []).append(text)
-        for lang, own in by.items():
-            trie = tries.setdefault(lang, Trie(lang, sizes, pairs, burst))
-            trie.add(own)
-            if len(trie.words) > VOCABULARY:
-                yield from end(lang)
-            while sum(t.size for t in tries.values()) > entries:
-                largest = max(tries, key=lambda k: tries[k].size)
-                yield from put(largest, tries[largest].run(*tries[largest].spill(tries[largest].size // 2)))
+            held.setdefault(lang, []).append(text)
+            chars[lang] = chars.get(lang, 0) + len(text)
+        while sum(chars.values()) > 2 * HELD_CHARS or max(chars.values(), default=0) > HELD_CHARS:
+            yield from count(max(chars, key=chars.get))
+    for lang in list(held):
+        yield from count(lang)
     for lang in list(tries):
         yield from end(lang)
 
