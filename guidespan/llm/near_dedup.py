@@ -5,9 +5,10 @@
 2. The differing places of two signatures are counted by exclusive or and bit counts. Places of unlike sets agree by chance too, once
    in 2**BITS, which the estimate of the similarity corrects. Pairs whose estimate is far below the threshold (by MARGIN standard
    deviations) are put aside; all others are confirmed on their full sets, which meet as arrays in a join.
-3. First every text of a bucket meets the bucket's least text. Buckets whose texts are then of one class are done. In the others each
-   text outside the bucket's largest class takes, round by round, its next best partners of other classes, fourfold as many each
-   time, until no pair is left that was not tested. So rows grow with texts, unless unlike texts look alike by estimate.
+3. First every text of a bucket meets the bucket's least text, then, in buckets of several classes, each text outside the bucket's
+   largest class the one of another class that its estimate puts nearest. Where several classes are left, blocks of the texts
+   outside the largest class meet blocks of all, each set sent once to a pair of blocks, and all pairs of different classes that
+   the estimate lets pass are confirmed there. So rows grow with texts; the square of what stays apart is left, in blocks.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from guidespan.llm.common import HOT, cut, met, pieces, written
 from guidespan.llm.components import components
-from guidespan.llm.ngram_join import _mix, _row, _seeds, bands_for, word_hashes
+from guidespan.llm.ngram_join import _mix, _row, _seeds, bands_for, shared, word_hashes
 
 WORDS = 2
 #: Low bits kept of each minimum, and how many standard deviations an estimate may lie below the threshold.
 BITS, MARGIN = 2, 4.5
-#: Texts of a bucket that are compared in one task, on either side.
-BLOCK = 1024
+#: Texts of a bucket, and shingles of theirs, that are compared in one task, on either side, about.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 #: Links of a text that meet one copy of its set, and n-grams of their sets, about.
 PARTNERS, PARTNER_GRAMS = 512, 1 << 21
 _PER = 64 // BITS
@@ -131,24 +132,41 @@ def _groups(frames) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _best(frames, most: int, partners: int) -> Iterator[pd.DataFrame]:
-    """For each text of the left side its best partners on the right that are of another class and were not tested."""
+def _best(frames, most: int) -> Iterator[pd.DataFrame]:
+    """For each text of the left side the nearest on the right of another class, by estimate."""
     for group in _groups(frames):
         side = group["left"].to_numpy()
         left, right = group[side], group[~side]
         if left.empty or right.empty:
             continue
-        sig = [np.stack(x["sig"].to_numpy()).astype(np.uint64) for x in (left, right)]
-        far, node = _differing(*sig), right["node"].to_numpy()
+        far = _differing(*(np.stack(x["sig"].to_numpy()).astype(np.uint64) for x in (left, right)))
         far[left["root"].to_numpy()[:, None] == right["root"].to_numpy()[None, :]] = most + 1
-        for row, tested in enumerate(left["tested"]):
-            if tested is not None and len(tested):
-                far[row, np.isin(node, tested)] = most + 1
-        order = np.argsort(far, axis=1, kind="stable")[:, :partners]
-        i, j = np.nonzero(np.take_along_axis(far, order, axis=1) <= most)
-        j = order[i, j]
+        j = far.argmin(axis=1)
+        i = np.nonzero(far[np.arange(len(left)), j] <= most)[0]
         if len(i):
-            yield pd.DataFrame({"a": left["node"].to_numpy()[i], "b": node[j], "root_a": left["root"].to_numpy()[i], "root_b": right["root"].to_numpy()[j]})
+            yield pd.DataFrame({"a": left["node"].to_numpy()[i], "b": right["node"].to_numpy()[j[i]], "root_a": left["root"].to_numpy()[i], "root_b": right["root"].to_numpy()[j[i]]})
+
+
+def _exact(frames, most: int, percent: int) -> Iterator[pd.DataFrame]:
+    """The classes that the pairs of two blocks link, of all pairs whose estimate is near enough, on their full sets."""
+    for group in _groups(frames):
+        side = group["left"].to_numpy()
+        left, right = group[side], group[~side]
+        if left.empty or right.empty:
+            continue
+        near = _differing(*(np.stack(x["sig"].to_numpy()).astype(np.uint64) for x in (left, right))) <= most
+        roots = [x["root"].to_numpy() for x in (left, right)]
+        near &= roots[0][:, None] != roots[1][None, :]
+        i, j = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
+        if not len(i):
+            continue
+        sets = [left["grams"].iloc[k] for k in i] + [right["grams"].iloc[k] for k in j]
+        both = shared(sets, np.arange(len(i)), np.arange(len(i), len(sets)))
+        size = np.array([len(x) for x in sets], np.float64)
+        total = size[: len(i), None] + size[None, len(i) :]
+        one, two = np.nonzero(near[np.ix_(i, j)] & (both * (100 + percent) >= total * percent))
+        if len(one):
+            yield pd.DataFrame({"a": roots[0][i[one]], "b": roots[1][j[two]]}).drop_duplicates()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,10 +175,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The set of a text that has many partners is sent in several copies, one for so many of them.
     """
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("_size")), "a")
-    spread = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("_size") / PARTNER_GRAMS)).cast("int").alias("_parts"), F.count("*").alias("_n"))
+    spread = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("_size") / PARTNER_GRAMS)).cast("int").alias("_parts"))
     spread = cut(spread)
-    total = spread.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    dealt = met(pairs, spread, "b", "_n", total).withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")).drop("_parts")
+    dealt = pairs.join(spread, "b").withColumn("_part", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int")).drop("_parts")
     right = spread.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("_right")), "b").select("b", "_right", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     both = dealt.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_left")), "a").join(right, ["b", "_part"])
     shared = F.size(F.array_intersect("_left", "_right"))
@@ -198,36 +215,36 @@ def _classes(texts: DataFrame, source: DataFrame, percent: int, places: int, dis
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array([len(g) for g in grams], pa.int64())], ["node", "grams", "size"])
 
     sets = written(found.groupBy("node").agg(F.first("_text").alias("_text")).mapInArrow(full, "node long, grams array<long>, size long"))
-    partners, links = 4, components(_confirmed(tested, sets, percent))
-    roots = cut(roots.drop("root").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    placed = placed.join(texts.select("node", "sig", "size"), "node")
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to")).where("root <> _to")
+        return cut(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+
+    roots = merged(roots, _confirmed(tested, sets, percent))
     # In a bucket of two texts all pairs are tested now.
-    open_rows = placed.where("n > 2").select("band", "node")
-    while True:
-        now = open_rows.join(roots, "node")
-        classes = now.groupBy("band", "root").agg(F.count("*").alias("n"))
-        main = classes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-        main = cut(main.select("band", F.col("main.root").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("m"), F.col("n").alias("_n")))
-        open_rows = cut(met(now, main, "band", "_n", distinct_texts))
-        if open_rows.isEmpty():
-            return roots
-        mine = tested.select(F.col("a").alias("node"), "b").unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.collect_set("b").alias("tested"))
-        block = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "node"), F.ceil(F.col(n) / BLOCK)).cast("int")
-        blocks = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
-        left = open_rows.where("root <> main").join(mine, "node", "left").withColumn("one", block("one", "m")).withColumn("two", blocks("n")).withColumn("left", F.lit(True))
-        right = open_rows.withColumn("two", block("two", "n")).withColumn("one", blocks("m")).withColumn("left", F.lit(False)).withColumn("tested", F.lit(None).cast("array<long>"))
-        columns = ["band", "one", "two", "left", "node", "root", "sig", "tested"]
-        sides = left.join(signature, "node").select(*columns).unionByName(right.join(signature, "node").select(*columns))
-        sides = sides.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-        pairs = sides.mapInPandas(lambda frames, k=partners: _best(frames, most, k), "a long, b long, root_a long, root_b long")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b")).distinct()
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return roots
-        joined = components(_confirmed(pairs, sets, percent).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("_to")).where("root <> _to")
-        roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
-        tested = cut(tested.unionByName(pairs.select("a", "b")))
-        open_rows, partners = open_rows.select("band", "node"), partners * 4
+    sides = _sides(placed.where("n > 2"), roots)
+    pairs = sides.mapInPandas(lambda frames: _best(frames, most), "a long, b long, root_a long, root_b long").distinct()
+    roots = merged(roots, _confirmed(cut(pairs), sets, percent).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    sides = _sides(placed.where("n > 2"), roots, sets.select("node", "grams"))
+    return merged(roots, sides.mapInPandas(lambda frames: _exact(frames, most, percent), "a long, b long").distinct())
+
+
+def _sides(placed: DataFrame, roots: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The texts of buckets of several classes, by blocks: those outside the largest class (left) and all, (band, one, two) together."""
+    now = placed.join(roots, "node")
+    classes = now.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    main = classes.groupBy("band").agg(F.max(F.struct("n", "root", "grams")).alias("main"), F.sum("n").alias("all"), F.sum("grams").alias("grams"), F.count("*").alias("classes")).where("classes > 1")
+    count = lambda n, grams: F.greatest(F.ceil(n / BLOCK), F.ceil(grams / BLOCK_GRAMS), F.lit(1)).cast("int")
+    main = main.select("band", F.col("main.root").alias("main"), count(F.col("all") - F.col("main.n"), F.col("grams") - F.col("main.grams")).alias("ones"), count(F.col("all"), F.col("grams")).alias("twos"))
+    rows = cut(now.join(main, "band").select("band", "node", "root", "sig", "main", "ones", "twos"))
+    block = lambda name: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(name)).cast("int")
+    blocks = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    rows = rows if sets is None else rows.join(sets, "node")
+    left = rows.where("root <> main").withColumn("one", block("ones")).withColumn("two", blocks("twos")).withColumn("left", F.lit(True))
+    right = rows.withColumn("two", block("twos")).withColumn("one", blocks("ones")).withColumn("left", F.lit(False))
+    columns = ["band", "one", "two", "left", "node", "root", "sig", *(["grams"] if sets is not None else [])]
+    return left.select(*columns).unionByName(right.select(*columns)).repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
