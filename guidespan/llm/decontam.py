@@ -6,6 +6,11 @@ stands, all within e diagonals. So a worker looks up the document's q-grams in t
 overlapping bands of diagonals, keeps the bands that reach the bound, and verifies those by banded alignment. What has no q-gram
 count to filter by (windows shorter than q) is looked for literally.
 
+Benchmarks repeat lines (a preamble that all items share). Equal windows are therefore one, with a list of their items, and q-grams
+are looked up in equal blocks of the items, which are one too: the hits of a block are counted once and then added to the windows
+that hold it. A long text is taken in slices of bounded work, and a stretch of text that was compared with a window before is not
+compared again.
+
 So a document counts as contaminated if it holds a window of an item within the window's edits: any stretch of WINDOW + STRIDE - 1
 characters of an item, letter by letter, is found, wherever it starts, and every item that is no longer than a window.
 """
@@ -27,6 +32,10 @@ Q = 9
 WINDOW, STRIDE, EDITS = 64, 16, 0.08
 #: Half the width of a band of diagonals; no window may have more edits.
 HALF = 8
+#: Hits are looked up in slices that add so many windows at most (or reach over so many places, the longest that a window and its band
+#: take); compared stretches that a worker remembers.
+COST, REACH, SEEN = 1 << 22, WINDOW + STRIDE + Q + 4 * HALF, 1 << 22
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of items that are sent to the workers at once: each worker's index takes about 40 bytes a character. A larger benchmark
 #: is taken in several passes.
 PASS_CHARS = 4 << 20
@@ -62,85 +71,119 @@ def budget(length: int) -> tuple[int, int]:
     return e, length - Q + 1 - e * Q
 
 
+def ranges(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (times[0] of them), first[1], ... in one array."""
+    return np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+
+
 class Index:
     """The q-grams of some items. Items are named by their number in the order of their ids."""
 
     def __init__(self, items: tuple[tuple[int, str], ...]):
         held = sorted({(item, t) for item, text in items if (t := normal(text))})
         self.short = [(item, t) for item, t in held if len(t) < Q]
-        held = [(item, t) for item, t in held if len(t) >= Q]
-        self.item = np.array([item for item, _ in held], np.int64)
-        self.text = [codes(t) for _, t in held]
-        length = np.array([len(t) for t in self.text], np.int64)
-        #: For each item its windows' length, number, edits and bound; a window's number counts from its item's first.
-        self.width = np.minimum(length, WINDOW)
-        self.windows = 1 + -(-(length - self.width) // STRIDE)
-        self.start = np.cumsum(self.windows) - self.windows
-        self.last = length - self.width
-        self.edits, self.bound = (np.array(x, np.int64) for x in zip(*(budget(int(w)) for w in self.width), strict=True)) if held else (np.zeros(0, np.int64),) * 2
-        g = [grams(t) for t in self.text]
+        blocks: dict[bytes, int] = {}
+        windows: dict[bytes, int] = {}
+        owners: list[tuple[int, int, int]] = []  # (window, item, start)
+        members: list[tuple[int, int, int]] = []  # (block, window, start of the block less that of the window)
+        for item, text in held:
+            if len(text) < Q:
+                continue
+            data = codes(text).tobytes()
+            width = min(len(text), WINDOW)
+            last = len(text) - width
+            for begin in sorted({*range(0, last, STRIDE), last}):
+                window = data[4 * begin : 4 * (begin + width)]
+                if (number := windows.get(window)) is None:
+                    number = windows[window] = len(windows)
+                    # A block may reach beyond the window: more is counted than the window holds, never less.
+                    for at in range(begin // STRIDE * STRIDE, begin + width - Q + 1, STRIDE):
+                        block = blocks.setdefault(data[4 * at : 4 * (at + STRIDE + Q - 1)], len(blocks))
+                        members.append((block, number, at - begin))
+                owners.append((number, item, begin))
+        owners.sort()
+        self.items = np.array([x[1] for x in owners], np.int64)
+        self.starts = np.array([x[2] for x in owners], np.int64)
+        self.owned = np.searchsorted([x[0] for x in owners], np.arange(len(windows) + 1)) if owners else np.zeros(1, np.int64)
+        members.sort()
+        self.window = np.array([x[1] for x in members], np.int64)
+        self.offset = np.array([x[2] for x in members], np.int64)
+        self.held = np.searchsorted([x[0] for x in members], np.arange(len(blocks) + 1)) if members else np.zeros(1, np.int64)
+        self.width = np.array([len(w) // 4 for w in windows], np.int64)
+        self.letters = np.zeros((len(windows), WINDOW), np.uint32)
+        for k, w in enumerate(windows):
+            self.letters[k, : len(w) // 4] = np.frombuffer(w, np.uint32)
+        self.edits, self.bound = (np.array(x, np.int64) for x in zip(*(budget(int(w)) for w in self.width), strict=True)) if windows else (np.zeros(0, np.int64),) * 2
+        g = [grams(np.frombuffer(b, np.uint32)) for b in blocks]
         gram = np.concatenate(g) if g else np.zeros(0, np.uint64)
         order = np.argsort(gram, kind="stable")
         self.gram, self.first = np.unique(gram[order], return_index=True)
         self.end = np.append(self.first[1:], len(gram))
-        self.owner = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g])[order]
+        self.block = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) for x in g])[order]
         self.place = (np.concatenate([np.arange(len(x), dtype=np.int32) for x in g]) if g else np.zeros(0, np.int32))[order]
+        #: What a hit of a q-gram costs at most: the windows that hold its blocks.
+        cost = np.concatenate([[0], np.cumsum(np.diff(self.held)[self.block])]) if len(gram) else np.zeros(1, np.int64)
+        self.cost = cost[self.end] - cost[self.first] + self.end - self.first if len(gram) else np.zeros(0, np.int64)
         self.bits = max(16, min(24, int(len(self.gram) * 16).bit_length()))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.gram >> np.uint64(64 - self.bits)] = True
 
-    def window(self, item: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Where a window starts in its item."""
-        return np.minimum(number * STRIDE, self.last[item])
-
-    def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, window's number in it, first diagonal of the band) of the bands that share enough q-grams.
-
-        A diagonal is the place in c less the place in the item.
-        """
-        none = np.zeros(0, np.int64)
+    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in c, number of the q-gram) of the q-grams of c that the items hold."""
         h = grams(c)
-        at = np.nonzero(self.maybe[h >> np.uint64(64 - self.bits)])[0] if len(h) and len(self.gram) else none
+        at = np.nonzero(self.maybe[h >> np.uint64(64 - self.bits)])[0] if len(h) and len(self.gram) else np.zeros(0, np.int64)
         if not len(at):
-            return none, none, none
+            return at, at
         k = np.searchsorted(self.gram, h[at])
         k[k == len(self.gram)] = 0
-        at, k = (x[self.gram[k] == h[at]] for x in (at, k))
+        same = self.gram[k] == h[at]
+        return at[same], k[same]
+
+    def slices(self, at: np.ndarray, k: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of hits of bounded cost. They overlap, so that all hits of a window are in one of them."""
+        out, done = [], np.cumsum(self.cost[k])
+        i = 0
+        while i < len(at):
+            before = done[i - 1] if i else 0
+            j = max(int(np.searchsorted(done, before + COST)), int(np.searchsorted(at, at[i] + REACH)))
+            out.append((i, int(np.searchsorted(at, at[j] + REACH)) if j < len(at) else len(at)))
+            i = j
+        return out
+
+    def candidates(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first diagonal of the band) of the bands that share enough q-grams, from hits (place, q-gram).
+
+        A diagonal is the place of a window's first letter in the text if it stands there unchanged.
+        """
         times = self.end[k] - self.first[k]
-        posting = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, place = self.owner[posting].astype(np.int64), self.place[posting].astype(np.int64)
-        diagonal = np.repeat(at, times) - place
-        # The windows that hold the q-gram: the last that starts before it and those before that one, and the item's last.
-        items, numbers, diagonals = [], [], []
-        for back in range(-(-WINDOW // STRIDE) + 1):
-            number = np.minimum(place // STRIDE, self.windows[item] - 1) - back
-            begin = self.window(item, number)
-            ok = (number >= 0) & (begin <= place) & (place + Q <= begin + self.width[item])
-            items.append(item[ok])
-            numbers.append(number[ok])
-            diagonals.append(diagonal[ok])
-        item, number, diagonal = np.concatenate(items), np.concatenate(numbers), np.concatenate(diagonals)
-        window, out = self.start[item] + number, []
-        least = int(diagonal.min()) if len(diagonal) else 0
+        posting = ranges(self.first[k], times)
+        block, begin = self.block[posting].astype(np.int64), np.repeat(at, times) - self.place[posting]
+        low = int(begin.min())
+        key, n = np.unique((block << 32) | (begin - low), return_counts=True)
+        block, begin = key >> 32, (key & ((1 << 32) - 1)) + low
+        times = self.held[block + 1] - self.held[block]
+        member = ranges(self.held[block], times)
+        window, diagonal, n = self.window[member], np.repeat(begin, times) - self.offset[member], np.repeat(n, times)
+        least, out = int(diagonal.min()), []
         for shift in (0, HALF):
-            band = (diagonal - least + shift) // (2 * HALF)
-            key, n = np.unique((window << 32) | band, return_counts=True)
-            own = np.searchsorted(self.start, key >> 32, side="right") - 1
-            enough = n >= self.bound[own]
-            key, own = key[enough], own[enough]
-            out.append((own, (key >> 32) - self.start[own], (key & ((1 << 32) - 1)) * 2 * HALF - shift + least))
+            key = (window << 32) | (diagonal - least + shift) // (2 * HALF)
+            order = np.argsort(key, kind="stable")
+            edge = np.nonzero(np.diff(key[order], prepend=-1))[0]
+            key, total = key[order][edge], np.add.reduceat(n[order], edge)
+            enough = total >= self.bound[key >> 32]
+            out.append((key[enough] >> 32, (key[enough] & ((1 << 32) - 1)) * 2 * HALF - shift + least))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def distance(self, c: np.ndarray, item: np.ndarray, begin: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Least edits between each window (from begin in its item) and a stretch of c[lo:hi] in the band, or a little beside it."""
-        out = np.zeros(len(item), np.int64)
+    def distance(self, c: np.ndarray, window: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least edits between each window and a stretch of c[lo:hi] in the band, or a little beside it."""
+        out = np.zeros(len(window), np.int64)
         width = 4 * HALF
         steps = np.arange(width)
-        for length in np.unique(self.width[item]):
-            own = np.nonzero(self.width[item] == length)[0]
+        for length in np.unique(self.width[window]):
+            own = np.nonzero(self.width[window] == length)[0]
             for part in (own[i : i + 4096] for i in range(0, len(own), 4096)):
-                pattern = np.stack([self.text[t][b : b + length] for t, b in zip(item[part], begin[part], strict=True)])
-                place = (diagonal + begin)[part, None] - HALF + steps
+                pattern = self.letters[window[part], :length]
+                place = diagonal[part, None] - HALF + steps
                 now = np.zeros((len(part), width), np.int32)
                 for j in range(length):
                     at = place + j
@@ -153,28 +196,50 @@ class Index:
         return out
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text its matches (edits, item, start, end in the normal text), a place at a time."""
-        found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        """For each text the best match (edits, item, start, end in the normal text) of each item in it."""
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         normals = [normal(t) for t in texts]
         parts = [codes(t) for t in normals]
-        gap = np.zeros(1, np.uint32)
+        # No window reaches from one text into the next.
+        gap = np.zeros(REACH, np.uint32)
         c = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        starts = ends - [len(p) + 1 for p in parts]
-        item, number, diagonal = self.candidates(c)
-        if len(item):
-            begin, width = self.window(item, number), self.width[item]
-            middle = np.clip(diagonal + begin + HALF + width // 2, 0, len(c) - 1)
+        ends = np.cumsum([len(p) + REACH for p in parts])
+        starts = ends - [len(p) + REACH for p in parts]
+        # A hash of what stands before each place, from which that of any stretch follows.
+        power = np.cumprod(np.full(len(c) + 1, _BASE, np.uint64))
+        before = np.append(np.uint64(0), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+        at, k = self.hits(c)
+        seen = np.zeros(0, np.uint64)
+        for i, j in self.slices(at, k):
+            window, diagonal = self.candidates(at[i:j], k[i:j])
+            if not len(window):
+                continue
+            length = self.width[window]
+            middle = np.clip(diagonal + HALF + length // 2, 0, len(c) - 1)
             doc = np.searchsorted(ends, middle, side="right")
-            edits = self.distance(c, item, begin, diagonal, starts[doc], ends[doc] - 1)
-            for i in np.nonzero(edits <= self.edits[item])[0].tolist():
-                d = int(diagonal[i] + begin[i] - starts[doc[i]])
-                found[doc[i]].append((int(edits[i]), int(self.item[item[i]]), max(0, d), d + 2 * HALF + int(width[i])))
+            lo, hi = starts[doc], ends[doc] - REACH
+            left, right = np.clip(diagonal - HALF, lo, hi), np.clip(diagonal + 3 * HALF + length, lo, hi)
+            # Equal stretches at other places have other powers: one more product makes them equal.
+            stretch = (before[right] - before[left]) * power[len(c) - left]
+            stretch = stretch * _BASE + (left - diagonal).astype(np.uint64)
+            stretch = (stretch * _BASE + doc.astype(np.uint64)) * _BASE + window.astype(np.uint64)
+            key, one = np.unique(stretch, return_index=True)
+            one = one[~np.isin(key, seen, assume_unique=True)]
+            seen = np.union1d(seen, stretch[one]) if len(seen) + len(one) < SEEN else stretch[one]
+            one.sort()
+            window, diagonal, doc = window[one], diagonal[one], doc[one]
+            edits = self.distance(c, window, diagonal, lo[one], hi[one])
+            for m in np.nonzero(edits <= self.edits[window])[0].tolist():
+                w, d = int(window[m]), int(diagonal[m] - starts[doc[m]])
+                match, held = (int(edits[m]), max(0, d), d + 2 * HALF + int(self.width[w])), best[doc[m]]
+                for item in self.items[self.owned[w] : self.owned[w + 1]].tolist():
+                    if item not in held or match < held[item]:
+                        held[item] = match
         for item, text in self.short:
-            for k, t in enumerate(normals):
-                if (at := f" {t} ".find(f" {text} ")) >= 0:
-                    found[k].append((0, item, at, at + len(text)))
-        return found
+            for held, t in zip(best, normals, strict=True):
+                if (place := f" {t} ".find(f" {text} ")) >= 0:
+                    held[item] = min(held.get(item, (0, place, place + len(text))), (0, place, place + len(text)))
+        return [[(e, item, start, end) for item, (e, start, end) in held.items()] for held in best]
 
 
 @lru_cache(maxsize=2)
