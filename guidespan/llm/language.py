@@ -27,9 +27,11 @@ ORDERS = (2, 3, 4)
 CENTROIDS = 4
 #: Labelled rows of each language that the model is fitted on at most; a cluster of a smaller share of them is no centroid.
 SAMPLE, LEAST_SHARE = 800, 0.02
-#: Upper bounds of the classes of lengths, in n-grams; a class of fewer sample texts than LEAST has the limit of the one below. Texts of the
-#: first class (about 35 letters) tell too little to be rejected by their distance.
-LENGTHS, LEAST = (100, 400, 1600, 6400, 25600), 20
+#: Upper bounds of the classes of lengths, in n-grams. Texts of the first class (about 35 letters) tell too little to be rejected by their
+#: distance.
+LENGTHS = (100, 400, 1600, 6400, 25600)
+#: Pieces of a sample text that stand for each class of shorter texts, and their letters (about a third of their n-grams).
+PIECES, LETTERS = 2, (0, 50, 260, 1060, 4260)
 #: The limit: this quantile of the cosines with other languages, and this part of the way from there to the median with the own one.
 #: With one language: this part of that median.
 FOREIGN, MARGIN, ALONE = 0.95, 0.2, 0.5
@@ -123,34 +125,46 @@ def _quantile(counts: np.ndarray, share: float) -> float:
 
 
 def limits(own: np.ndarray, foreign: np.ndarray) -> np.ndarray:
-    """The limit of each class of lengths, from counts (class, step) of cosines with the own language and with others."""
+    """The limit of each class of lengths, from counts (class, step) of cosines with the own language and with others.
+
+    A class without any text has the limit of the one below; the first has none.
+    """
     out = np.zeros(len(own))
     for k, (mine, theirs) in enumerate(zip(own, foreign, strict=True)):
-        if not k:
-            continue
-        if mine.sum() < LEAST:
-            out[k] = out[k - 1]
+        if not mine.sum():
+            out[k] = out[k - 1] if k else 0.0
         elif not theirs.sum():
             out[k] = ALONE * _quantile(mine, 0.5)
         else:
             far, near = _quantile(theirs, FOREIGN), _quantile(mine, 0.5)
             out[k] = far + MARGIN * (near - far) if near > far else 0.0
+    out[0] = 0.0
     return out
 
 
-def _unpack(column) -> np.ndarray:
-    return np.stack([np.frombuffer(c, "<u4") for c in column])
+def excerpts(text: str) -> list[str]:
+    """The text and, for each class of shorter texts but the first, PIECES stretches of it."""
+    out = [text]
+    for n in LETTERS[1:]:
+        if len(text) >= 2 * PIECES * n:
+            out += [text[i * len(text) // PIECES : i * len(text) // PIECES + n] for i in range(PIECES)]
+    return out
+
+
+def _counts(column) -> np.ndarray:
+    return np.stack([counts(t) for t in column])
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows where ``train`` holds and the language is known, SAMPLE different ones of each language (by a hash) at most.
 
-    The workers count the n-grams, of whole texts, and cluster each language; only centroids, document frequencies and counts of
+    The workers count the n-grams, of whole texts, and cluster each language; stretches of the sample's texts stand in for shorter ones; only centroids, document frequencies and counts of
     cosines come to the driver. Without any such row the model has no language and rejects all.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("_hash"))
-    known = rows.groupBy("_lang").agg(F.count("*").alias("_rows"))
+    # Different rows count, not repeated ones; their number is estimated within a few percent, which the share below allows for.
+    known = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash", 0.02).alias("_rows"))
     # A share of each language's hashes holds about SAMPLE rows and some more; of these the first SAMPLE are taken.
     share = (F.pmod("_hash", F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
     few = rows.select("_lang", "_hash").join(F.broadcast(known), "_lang").where(share * F.col("_rows") <= 1.2 * SAMPLE + 50).select("_lang", "_hash").distinct()
@@ -158,14 +172,14 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for langs, texts, hashes in pieces(batches):
-            got = [(lang, h, c) for lang, t, h in zip(langs, texts, hashes, strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in got], pa.string()), pa.array([h for _, h, _ in got], pa.int64()), pa.array([c.astype("<u4").tobytes() for _, _, c in got], pa.binary())], ["lang", "hash", "counts"])
+            got = [(lang, h, t) for lang, t, h in zip(langs, texts, hashes, strict=True) if _letter.search(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "hash", "text"])
 
-    counted = rows.join(F.broadcast(picked), ["_lang", "_hash"], "left_semi").select("_lang", "_text", "_hash").mapInArrow(run, "lang string, hash long, counts binary")
-    sample = cut(counted.groupBy("lang", "hash").agg(F.min("counts").alias("counts")))  # repeated rows are one
+    lettered = rows.join(F.broadcast(picked), ["_lang", "_hash"], "left_semi").select("_lang", "_text", "_hash").mapInArrow(run, "lang string, hash long, text string")
+    sample = cut(lettered.groupBy("lang", "hash").agg(F.min("text").alias("text")))  # repeated rows are one
 
     def frequencies(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [len(group)], "df": [(_unpack(group["counts"]) > 0).sum(axis=0).astype("<i8").tobytes()]})
+        return pd.DataFrame({"n": [len(group)], "df": [(_counts(group["text"]) > 0).sum(axis=0).astype("<i8").tobytes()]})
 
     seen = sample.groupBy("lang").applyInPandas(frequencies, "n long, df binary").collect()  # a row a language
     if not seen:
@@ -175,7 +189,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("hash")
-        c = clusters(model.vectors(_unpack(group["counts"])), CENTROIDS)
+        c = clusters(model.vectors(_counts(group["text"])), CENTROIDS)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(c), "k": range(len(c)), "c": [x.astype("<f4").tobytes() for x in c]})
 
     got = sorted(map(tuple, sample.groupBy("lang").applyInPandas(cluster, "lang string, k long, c binary").collect()))  # CENTROIDS rows a language
@@ -184,13 +198,14 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def cosines(frames):
         for frame in frames:
-            if len(frame):
-                near = model.vectors(_unpack(frame["counts"])) @ model.centroids.T
-                own = frame["lang"].to_numpy()[:, None] == names[None, :]
-                mine, theirs = np.where(own, near, 0).max(axis=1), np.where(own, -1, near).max(axis=1)
-                yield pd.DataFrame({"k": np.searchsorted(LENGTHS, _unpack(frame["counts"]).sum(axis=1), side="right"), "own": (mine * STEPS).astype(np.int64), "other": np.floor(theirs * STEPS).astype(np.int64)})
-
-    spread = sample.select("lang", "counts").mapInPandas(cosines, "k long, own long, other long")
+            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+                held = np.stack([c for t in excerpts(text) if (c := counts(t)) is not None])
+                near = model.vectors(held) @ model.centroids.T
+                own = names == lang
+                mine, theirs = near[:, own].max(axis=1), near[:, ~own].max(axis=1, initial=-1)
+                yield pd.DataFrame({"k": np.searchsorted(LENGTHS, held.sum(axis=1), side="right"), "own": np.floor(np.maximum(mine, 0) * STEPS).astype(np.int64), "other": np.floor(theirs * STEPS).astype(np.int64)})
+
+    spread = sample.select("lang", "text").mapInPandas(cosines, "k long, own long, other long")
     own, foreign = np.zeros((len(LENGTHS) + 1, STEPS + 1)), np.zeros((len(LENGTHS) + 1, STEPS + 1))
     for r in spread.groupBy("k", "own", "other").agg(F.count("*").alias("n")).collect():  # classes * STEPS * STEPS rows at most
         own[r["k"], min(STEPS, max(0, r["own"]))] += r["n"]
