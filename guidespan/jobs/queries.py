@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
-from guidespan.operators import export, intervals, pairs, patterns, search
+from guidespan.operators import alignment, export, intervals, pairs, patterns, search
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
 
@@ -156,7 +156,25 @@ def bulge_hits(spark, sf_dir):
     return bulge_alignments(spark, sf_dir).select("qid", "guide", "seq_id", "start", "target_end", "strand", "target", "pam", "mismatch", "rna_bulges", "dna_bulges", "bitscore")
 
 
-QUERIES = {f.__name__: f for f in (scored_sites, contig_summary, kmer_postings, single_motif_sites, unique_sites, search_hits, top_hits, guide_summary, merged_intervals, masked_hits, forbidden_hits, gap_pairs, centre_sites, centre_flanks, pair_ranking, hit_annotations, batch_units, batch_status, bed_lines, fasta_lines, bulge_hits, bulge_alignments)}
+def centre_alignments(spark, sf_dir):
+    """The best alignment, with two mismatches and one bulge at most, near each place that has the middle eight bases of a guide.
+
+    embedded_pam: whether the last three bases of the guide, read as its PAM, stand on unbroken columns that spell NNG; pam_place: where.
+    """
+    held = contigs(spark, sf_dir)
+    seeds = guides(held).withColumn("window", F.substring("guide", 7, 8))
+    met = C.windows(held, 8).join(seeds, "window").select("qid", "guide", "seq_id", (F.col("pos") - 6).alias("place")).where("place >= 0")
+    rows = C.fetch(met, held, F.col("place") - 1, F.col("place") + 22, "window", 23).withColumn("centre", F.least("place", F.lit(1)).cast("int"))
+    found = alignment.near_centres(rows, 2, 1)
+    begin = F.col("place") - F.col("centre")
+    found = found.withColumns({"start": begin + F.col("start"), "target_end": begin + F.col("target_end")})
+    ok = alignment.pam_on_columns(F.col("aligned_guide"), F.col("aligned_target"), 17, 20, "NNG")
+    first = F.length("aligned_guide") - 2
+    place = alignment.places_of_columns(F.col("aligned_target"), first, F.col("start"), F.col("target_end"), F.lit("+"))
+    return found.select("qid", "guide", "seq_id", "place", "start", "target_end", "mismatch", "rna_bulges", "dna_bulges", "aligned_guide", "aligned_target", ok.alias("embedded_pam"), F.when(ok, place).alias("pam_place"))
+
+
+QUERIES = {f.__name__: f for f in (centre_alignments, scored_sites, contig_summary, kmer_postings, single_motif_sites, unique_sites, search_hits, top_hits, guide_summary, merged_intervals, masked_hits, forbidden_hits, gap_pairs, centre_sites, centre_flanks, pair_ranking, hit_annotations, batch_units, batch_status, bed_lines, fasta_lines, bulge_hits, bulge_alignments)}
 
 # SQL: common table expressions, each by name with those that it needs.
 
@@ -259,6 +277,21 @@ _BULGES = f"""SELECT *, CASE length(target) WHEN 20 THEN hamming(guide, target)
   FROM g CROSS JOIN ({' UNION ALL '.join(map(_bulge_sites, (19, 20, 21)))})"""
 _RISK = "round(1 - least(left_score, right_score), 6)"
 SQL = {
+    "bulge_alignments": _sql("g", f"""SELECT qid, guide, seq_id, start, target_end, strand, target, pam, mismatch, indel, rna_bulges, dna_bulges, aligned_guide, aligned_target, bitscore,
+      array_to_string(list_transform(regexp_extract_all(array_to_string(list_transform(range(1, length(aligned_guide) + 1), lambda k: CASE WHEN substr(aligned_guide, k, 1) = '-' THEN 'D' WHEN substr(aligned_target, k, 1) = '-' THEN 'I' WHEN substr(aligned_guide, k, 1) = substr(aligned_target, k, 1) THEN 'M' ELSE 'X' END), ''), 'M+|X+|I+|D+'), lambda r: CAST(length(r) AS VARCHAR) || r[1]), '') AS cigar
+      FROM (SELECT *, start + length(target) AS target_end, CAST(mm AS INTEGER) AS mismatch, CAST(length(target) <> 20 AS INTEGER) AS indel, CAST(length(target) = 19 AS INTEGER) AS rna_bulges, CAST(length(target) = 21 AS INTEGER) AS dna_bulges, 100.0::DOUBLE - mm * 12 - CASE WHEN length(target) = 20 THEN 0 ELSE 18 END AS bitscore,
+        CASE WHEN length(target) = 21 THEN substr(guide, 1, i - 1) || '-' || substr(guide, i) ELSE guide END AS aligned_guide, CASE WHEN length(target) = 19 THEN substr(target, 1, i - 1) || '-' || substr(target, i) ELSE target END AS aligned_target,
+        row_number() OVER (PARTITION BY qid, seq_id, strand, border ORDER BY 2 * mm + CASE WHEN length(target) = 20 THEN 0 ELSE 3 END, mm, length(target) <> 20, length(target)) AS k
+        FROM (SELECT *, CASE length(target) WHEN 20 THEN 0 WHEN 19 THEN list_position(list_transform(range(1, 21), lambda i: hamming({_skip('guide')}, target)), mm) ELSE list_position(list_transform(range(1, 22), lambda i: hamming(guide, {_skip('target')})), mm) END AS i FROM ({_BULGES})) WHERE mm <= 2) WHERE k = 1"""),
+    # All starts and lengths; a gap stands as far to the left as it may.
+    "centre_alignments": _sql("g", f"""SELECT * FROM (WITH w AS (SELECT qid, guide, seq_id, pos - 6 AS place FROM ({_windows(8)}) JOIN g ON w = substr(guide, 7, 8) WHERE pos >= 6),
+      v AS (SELECT w.*, seq, greatest(place - 1, 0, least(place, length(seq) - 20)) AS centre FROM w JOIN c USING (seq_id)),
+      t AS (SELECT v.*, centre + s AS start, n, substr(seq, CAST(centre + s AS INTEGER) + 1, n) AS target FROM v, (VALUES (-1), (0), (1)) x(s), (VALUES (19), (20), (21)) y(n) WHERE centre + s >= greatest(place - 1, 0) AND centre + s + n <= least(length(seq), place + 22)),
+      d AS (SELECT *, CASE n WHEN 20 THEN [hamming(guide, target)] WHEN 19 THEN list_transform(range(1, 21), lambda i: hamming({_skip('guide')}, target)) ELSE list_transform(range(1, 22), lambda i: hamming(guide, {_skip('target')})) END AS h FROM t),
+      b AS (SELECT *, list_min(h) AS mm, list_position(h, list_min(h)) AS i, row_number() OVER (PARTITION BY qid, seq_id, place ORDER BY 2 * list_min(h) + CASE WHEN n = 20 THEN 0 ELSE 3 END, list_min(h), n <> 20, abs(start - centre), start, n) AS k FROM d WHERE list_min(h) <= 2),
+      a AS (SELECT *, CASE WHEN n = 21 THEN substr(guide, 1, i - 1) || '-' || substr(guide, i) ELSE guide END AS ag, CASE WHEN n = 19 THEN substr(target, 1, i - 1) || '-' || substr(target, i) ELSE target END AS tg FROM b WHERE k = 1),
+      e AS (SELECT *, NOT contains(substr(ag, CASE WHEN n = 21 THEN 18 ELSE 17 END), '-') AND regexp_matches(right(tg, 3), '^[ACGT][ACGT]G$') AS ok FROM a)
+      SELECT qid, guide, seq_id, place, start, start + n AS target_end, CAST(mm AS INTEGER) AS mismatch, CAST(n = 19 AS INTEGER) AS rna_bulges, CAST(n = 21 AS INTEGER) AS dna_bulges, ag AS aligned_guide, tg AS aligned_target, ok AS embedded_pam, CASE WHEN ok THEN start + n - 3 END AS pam_place FROM e)"""),
     # With one bulge: leave out each base of the longer one in turn.
     "bulge_hits": _sql("g", f"""SELECT qid, guide, seq_id, start, start + length(target) AS target_end, strand, target, pam, CAST(mm AS INTEGER) AS mismatch, CAST(length(target) = 19 AS INTEGER) AS rna_bulges, CAST(length(target) = 21 AS INTEGER) AS dna_bulges,
       100.0::DOUBLE - mm * 12 - CASE WHEN length(target) = 20 THEN 0 ELSE 18 END AS bitscore FROM (SELECT *, row_number() OVER (PARTITION BY qid, seq_id, strand, border ORDER BY 2 * mm + CASE WHEN length(target) = 20 THEN 0 ELSE 3 END, mm, length(target) <> 20, length(target)) AS k FROM ({_BULGES}) WHERE mm <= 2) WHERE k = 1"""),

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from guidespan.functions import seq as S
+
 MISMATCH, GAP = 2, 3
+#: Pairs that are aligned together in numpy.
+BATCH = 4096
+#: Cost, gaps and mismatches as one number, which has their order: what a mismatch and what a gap adds.
+_BAD, _SKIP = MISMATCH << 32 | 1, GAP << 32 | 1 << 16
+_OPS = np.frombuffer(b"MXID", np.uint8)
 
 
 def align(query: str, target: str, most_gaps: int) -> tuple[int, int, int, str] | None:
@@ -69,6 +77,161 @@ def strings(query: str, target: str, cigar: str) -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+def _letters(texts: list[str], width: int, blank: int) -> np.ndarray:
+    """The letters of some texts, a row each, padded to the width."""
+    out = np.full((len(texts), width), blank, np.uint8)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("ascii", "replace"), np.uint8)
+    return out
+
+
+def fill(query: np.ndarray, target: np.ndarray, band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of cost, gaps and mismatches of the whole query with each beginning of the target, operations) of rows of letters.
+
+    One row of the recurrence at a time, for all pairs: pairing, then a query base alone, then, as a running minimum, target bases
+    alone. band: how far a path may leave the diagonal.
+    """
+    (size, n), m = query.shape, target.shape[1]
+    steps = np.arange(m + 1, dtype=np.int64) * _SKIP
+    now = np.tile(steps, (size, 1))
+    ops = np.full((n + 1, size, m + 1), 3, np.uint8)
+    columns = np.arange(m + 1)
+    for i in range(1, n + 1):
+        bad = query[:, i - 1, None] != target
+        best = now + _SKIP
+        pair = now[:, :-1] + bad * _BAD
+        paired = pair <= best[:, 1:]
+        best[:, 1:] = np.where(paired, pair, best[:, 1:])
+        op = np.full((size, m + 1), 2, np.uint8)
+        op[:, 1:][paired] = bad[paired]
+        if band is not None:
+            best[:, np.abs(columns - i) > band] = 1 << 60
+        now = np.minimum.accumulate(best - steps, axis=1) + steps
+        op[now < best] = 3
+        ops[i] = op
+    return now, ops
+
+
+def trace(query: np.ndarray, target: np.ndarray, ops: np.ndarray, end: np.ndarray) -> list[tuple[str, str, str]]:
+    """(operations run-length coded, aligned query, aligned target) of each pair, from the whole query and target[:end] backwards."""
+    rows, j = np.arange(len(query)), end.copy()
+    i, held = np.full(len(query), query.shape[1]), []
+    while (live := (i > 0) | (j > 0)).any():
+        op = ops[i, rows, j]
+        a = np.where(op == 3, 45, query[rows, np.maximum(i - 1, 0)])
+        b = np.where(op == 2, 45, target[rows, np.maximum(j - 1, 0)])
+        held.append(np.where(live, np.stack([_OPS[op], a, b]), 0).astype(np.uint8))
+        i, j = i - (live & (op != 3)), j - (live & (op != 2))
+    if not held:
+        return [("", "", "")] * len(query)
+    texts = np.ascontiguousarray(np.stack(held[::-1]).transpose(2, 1, 0))
+    out = []
+    for row in texts:
+        op, a, b = (x.tobytes().lstrip(b"\0").decode() for x in row)
+        out.append(("".join(f"{len(r[0])}{r[1]}" for r in re.finditer(r"(.)\1*", op)), a, b))
+    return out
+
+
+def _pam_ends(window: np.ndarray, pam: str) -> np.ndarray:
+    """Whether the PAM stands behind each end of a target in a window."""
+    size, width = window.shape
+    out = np.ones((size, width + 1), bool)
+    for k, base in enumerate(pam):
+        fits = np.zeros(256, bool)
+        fits[[ord(b) for b in "ACGT" if re.fullmatch(S.pattern(base), b)]] = True
+        there = np.zeros((size, width + 1), bool)
+        if width > k:
+            there[:, : width - k] = fits[window[:, k:]]
+        out &= there
+    return out
+
+
+def best_in_windows(queries: list[str], windows: list[str], centres: list[int], most_mismatches: int, most_gaps: int, pam: str | None = None) -> list[tuple | None]:
+    """For queries of one length the best alignment near a centre of their windows: (start, end, mismatches, query bases alone, target bases
+    alone, operations, aligned query, aligned target), or None.
+
+    Both ends are free: starts within ``most_gaps`` of the centre, lengths within ``most_gaps`` of the query's. A stretch stands for its
+    cheapest alignment, and is left out if that is beyond a budget or no ``pam`` follows. Then the least cost wins, fewer mismatches,
+    fewer gaps, a length nearer the query's, a start nearer the centre, the first start, the first end.
+    """
+    n, size = len(queries[0]), len(queries)
+    length = np.array([len(w) for w in windows])
+    width = int(length.max(initial=0)) + n + 2 * most_gaps + 1
+    query, window = _letters(queries, n, 0), _letters(windows, width, 1)
+    centre = np.clip(np.array(centres), 0, np.maximum(length - n, 0))
+    follows = _pam_ends(window, pam) if pam else None
+    rows, best, held = np.arange(size), np.full(size, 1 << 62, np.int64), {}
+    at = np.zeros((size, 2), np.int64)
+    for shift in range(-most_gaps, most_gaps + 1):
+        start = centre + shift
+        target = window[rows[:, None], np.maximum(start, 0)[:, None] + np.arange(n + most_gaps)]
+        number, ops = fill(query, target)
+        held[shift] = target, ops
+        for j in range(max(1, n - most_gaps), n + most_gaps + 1):
+            cost, gaps, bad = number[:, j] >> 32, number[:, j] >> 16 & 0xFFFF, number[:, j] & 0xFFFF
+            ok = (start >= 0) & (start + j <= length) & (gaps <= most_gaps) & (bad <= most_mismatches)
+            if follows is not None:
+                ok &= follows[rows, np.clip(start + j, 0, width)]
+            # Of equal keys the first start and end come first, as the loops run; the distance from the centre comes before.
+            key = (((cost << 10 | bad) << 10 | gaps) << 10 | abs(j - n)) << 10 | np.abs(start - centre)
+            key = (key << 8 | shift + most_gaps) << 8 | j
+            better = ok & (key < best)
+            best[better] = key[better]
+            at[better] = np.stack([np.full(size, shift), np.full(size, j)], axis=1)[better]
+    out: list[tuple | None] = [None] * size
+    for shift, (target, ops) in held.items():
+        own = np.nonzero((best < 1 << 62) & (at[:, 0] == shift))[0]
+        if not len(own):
+            continue
+        for k, (cigar, a, b) in zip(own.tolist(), trace(query[own], target[own], ops[:, own], at[own, 1]), strict=True):
+            start, j = int(centre[k]) + shift, int(at[k, 1])
+            out[k] = (start, start + j, sum(x != y for x, y in zip(a, b, strict=True) if "-" not in (x, y)), b.count("-"), a.count("-"), cigar, a, b)
+    return out
+
+
+def near_centres(rows: DataFrame, most_mismatches: int, most_gaps: int, pam: str | None = None) -> DataFrame:
+    """Rows (guide, window, centre, ...) whose guide aligns near the centre of its window, as ``best_in_windows`` says, with start and
+    target_end (in the window), mismatch, rna_bulges, dna_bulges, cigar, aligned_guide and aligned_target.
+
+    Rows of a null or empty guide or window align with nothing; repeated rows stay repeated.
+    """
+    extra = [T.StructField(c, T.IntegerType()) for c in ("start", "target_end", "mismatch", "rna_bulges", "dna_bulges")] + [T.StructField(c, T.StringType()) for c in ("cigar", "aligned_guide", "aligned_target")]
+
+    def run(frames):
+        for frame in frames:
+            for _, same in frame.groupby(frame["guide"].str.len()):
+                for i in range(0, len(same), BATCH):
+                    part = same.iloc[i : i + BATCH]
+                    got = best_in_windows(part["guide"].tolist(), part["window"].tolist(), part["centre"].tolist(), most_mismatches, most_gaps, pam)
+                    keep = [g is not None for g in got]
+                    found = [g for g in got if g is not None]
+                    yield part[keep].assign(**{f.name: pd.Series([g[k] for g in found], index=part.index[keep], dtype="int32" if k < 5 else "object") for k, f in enumerate(extra)})
+
+    held = rows.where((F.length("guide") > 0) & (F.length("window") > 0) & F.col("centre").isNotNull())
+    return held.mapInPandas(run, T.StructType([*held.schema.fields, *extra]))
+
+
+def pam_on_columns(aligned_guide: Column, aligned_target: Column, start: int, end: int, pam: str) -> Column:
+    """Whether bases [start, end) of the guide, which are its PAM, stand on unbroken columns whose target bases fit ``pam``.
+
+    A gap within these columns, on either side, or a target base alone right before them, is a no; so is a column of two gaps.
+    """
+    columns = F.filter(F.sequence(F.lit(1), F.length(aligned_guide)), lambda i: F.substring(aligned_guide, i, F.lit(1)) != "-")
+    first, size = F.try_element_at(columns, F.lit(start + 1)), end - start
+    own, other = F.substring(aligned_guide, first, F.lit(size)), F.substring(aligned_target, first, F.lit(size))
+    before = (first == 1) | (F.substring(aligned_guide, first - 1, F.lit(1)) != "-")
+    both = F.exists(F.sequence(F.lit(1), F.length(aligned_guide)), lambda i: (F.substring(aligned_guide, i, F.lit(1)) == "-") & (F.substring(aligned_target, i, F.lit(1)) == "-"))
+    fits = (F.length(own) == size) & ~own.contains("-") & other.rlike(f"^{S.pattern(pam)}$") & before & ~both
+    return F.coalesce((F.length(aligned_guide) == F.length(aligned_target)) & fits, F.lit(False))
+
+
+def places_of_columns(aligned_target: Column, column: Column, start: Column, target_end: Column, strand: Column) -> Column:
+    """The contig place of the target base on a column (from 1) of an alignment; null on a gap. Places count on the plus strand."""
+    before = F.length(F.translate(F.substring(aligned_target, F.lit(1), column - 1), "-", ""))
+    place = F.when(strand == "+", start + before).otherwise(target_end - 1 - before)
+    return F.when(F.substring(aligned_target, column, F.lit(1)) != "-", place)
+
+
 def aligned(pairs: DataFrame, most_mismatches: int, most_gaps: int) -> DataFrame:
     """Pairs (guide, target, ...) that align within the budgets, with mismatch, rna_bulges, dna_bulges, cigar and aligned strings.
 
@@ -78,10 +241,17 @@ def aligned(pairs: DataFrame, most_mismatches: int, most_gaps: int) -> DataFrame
 
     def run(frames):
         for frame in frames:
-            got = [align(a, b, most_gaps) if a is not None and b is not None else None for a, b in zip(frame["guide"], frame["target"], strict=True)]
-            keep = [g is not None and g[0] <= most_mismatches for g in got]
-            rows = [(*g, *strings(a, b, g[3])) for g, k, a, b in zip(got, keep, frame["guide"], frame["target"], strict=True) if k]
-            yield frame[keep].assign(**{f.name: pd.Series([r[i] for r in rows], index=frame.index[keep], dtype="int32" if i < 3 else "object") for i, f in enumerate(extra)})
+            for _, same in frame.groupby(frame["guide"].str.len()):
+                for at in range(0, len(same), BATCH):
+                    part = same.iloc[at : at + BATCH]
+                    size = part["target"].str.len().to_numpy()
+                    query, target = _letters(part["guide"].tolist(), len(part["guide"].iloc[0]), 0), _letters(part["target"].tolist(), int(size.max()), 1)
+                    number, ops = fill(query, target, most_gaps)
+                    own = number[np.arange(len(part)), size]
+                    keep = np.nonzero(((own >> 16 & 0xFFFF) <= most_gaps) & ((own & 0xFFFF) <= most_mismatches) & (own < 1 << 60))[0]
+                    drawn = trace(query[keep], target[keep], ops[:, keep], size[keep])
+                    rows = [(int(own[k] & 0xFFFF), b.count("-"), a.count("-"), cigar, a, b) for k, (cigar, a, b) in zip(keep.tolist(), drawn, strict=True)]
+                    yield part.iloc[keep].assign(**{f.name: pd.Series([r[i] for r in rows], index=part.index[keep], dtype="int32" if i < 3 else "object") for i, f in enumerate(extra)})
 
     extra = [T.StructField(n, T.IntegerType()) for n in ("mismatch", "rna_bulges", "dna_bulges")] + [T.StructField(n, T.StringType()) for n in ("cigar", "aligned_guide", "aligned_target")]
     return pairs.mapInPandas(run, T.StructType([*pairs.schema.fields, *extra]))

@@ -110,8 +110,9 @@ def bulge_search(contigs: DataFrame, guides: DataFrame, length: int, budget: int
     are places on the plus strand; target, pam and the aligned strings read in the guide's direction. bitscore falls from 100 by
     12 a mismatch and 18 a bulge.
 
-    Stretches beside PAMs are cut once. A guide's seeds meet those of the distinct stretches at every shift that bulges allow, so
-    that no alignment within the budgets is missed; then each pair that meets is aligned in full.
+    Stretches beside PAMs are cut once. A guide's seeds meet those of the distinct stretches at every shift that bulges allow; then each
+    pair that meets is aligned in full. A target stands for its cheapest alignment: one whose cheapest has too many mismatches is
+    no hit, even if a dearer one has fewer. No target whose cheapest alignment is within the budgets is missed.
     """
     n, p, room = length, len(pam), length + bulges
     # Bases outside the contig are N, so that sites near its ends have their shorter targets.
