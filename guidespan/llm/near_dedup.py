@@ -5,10 +5,9 @@
 2. The differing places of two signatures are counted by exclusive or and bit counts. Places of unlike sets agree by chance too, once
    in 2**BITS, which the estimate of the similarity corrects. Pairs whose estimate is far below the threshold (by MARGIN standard
    deviations) are put aside; all others are confirmed on their full sets, which meet as arrays in a join.
-3. First every text of a bucket meets the bucket's least text, then, in buckets of several classes, each text outside the bucket's
-   largest class the one of another class that its estimate puts nearest. Where several classes are left, blocks of the texts
-   outside the largest class meet blocks of all, each set sent once to a pair of blocks, and all pairs of different classes that
-   the estimate lets pass are confirmed there. So rows grow with texts; the square of what stays apart is left, in blocks.
+3. First every text of a bucket meets the bucket's least text. Where several classes are left in a bucket, blocks of the texts outside
+   the largest class meet blocks of all, each set sent once to a pair of blocks, and all pairs of different classes that the
+   estimate lets pass are confirmed there. So rows grow with texts; the square of what stays apart is left, in blocks.
 """
 
 from __future__ import annotations
@@ -132,21 +131,6 @@ def _groups(frames) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _best(frames, most: int) -> Iterator[pd.DataFrame]:
-    """For each text of the left side the nearest on the right of another class, by estimate."""
-    for group in _groups(frames):
-        side = group["left"].to_numpy()
-        left, right = group[side], group[~side]
-        if left.empty or right.empty:
-            continue
-        far = _differing(*(np.stack(x["sig"].to_numpy()).astype(np.uint64) for x in (left, right)))
-        far[left["root"].to_numpy()[:, None] == right["root"].to_numpy()[None, :]] = most + 1
-        j = far.argmin(axis=1)
-        i = np.nonzero(far[np.arange(len(left)), j] <= most)[0]
-        if len(i):
-            yield pd.DataFrame({"a": left["node"].to_numpy()[i], "b": right["node"].to_numpy()[j[i]], "root_a": left["root"].to_numpy()[i], "root_b": right["root"].to_numpy()[j[i]]})
-
-
 def _exact(frames, most: int, percent: int) -> Iterator[pd.DataFrame]:
     """The classes that the pairs of two blocks link, of all pairs whose estimate is near enough, on their full sets."""
     for group in _groups(frames):
@@ -223,27 +207,23 @@ def _classes(texts: DataFrame, source: DataFrame, percent: int, places: int, dis
 
     roots = merged(roots, _confirmed(tested, sets, percent))
     # In a bucket of two texts all pairs are tested now.
-    sides = _sides(placed.where("n > 2"), roots)
-    pairs = sides.mapInPandas(lambda frames: _best(frames, most), "a long, b long, root_a long, root_b long").distinct()
-    roots = merged(roots, _confirmed(cut(pairs), sets, percent).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     sides = _sides(placed.where("n > 2"), roots, sets.select("node", "grams"))
     return merged(roots, sides.mapInPandas(lambda frames: _exact(frames, most, percent), "a long, b long").distinct())
 
 
-def _sides(placed: DataFrame, roots: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def _sides(placed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """The texts of buckets of several classes, by blocks: those outside the largest class (left) and all, (band, one, two) together."""
     now = placed.join(roots, "node")
     classes = now.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
     main = classes.groupBy("band").agg(F.max(F.struct("n", "root", "grams")).alias("main"), F.sum("n").alias("all"), F.sum("grams").alias("grams"), F.count("*").alias("classes")).where("classes > 1")
     count = lambda n, grams: F.greatest(F.ceil(n / BLOCK), F.ceil(grams / BLOCK_GRAMS), F.lit(1)).cast("int")
     main = main.select("band", F.col("main.root").alias("main"), count(F.col("all") - F.col("main.n"), F.col("grams") - F.col("main.grams")).alias("ones"), count(F.col("all"), F.col("grams")).alias("twos"))
-    rows = cut(now.join(main, "band").select("band", "node", "root", "sig", "main", "ones", "twos"))
+    rows = cut(now.join(main, "band").select("band", "node", "root", "sig", "main", "ones", "twos")).join(sets, "node")
     block = lambda name: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(name)).cast("int")
     blocks = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    rows = rows if sets is None else rows.join(sets, "node")
     left = rows.where("root <> main").withColumn("one", block("ones")).withColumn("two", blocks("twos")).withColumn("left", F.lit(True))
     right = rows.withColumn("two", block("twos")).withColumn("one", blocks("ones")).withColumn("left", F.lit(False))
-    columns = ["band", "one", "two", "left", "node", "root", "sig", *(["grams"] if sets is not None else [])]
+    columns = ["band", "one", "two", "left", "node", "root", "sig", "grams"]
     return left.select(*columns).unionByName(right.select(*columns)).repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
 
 
