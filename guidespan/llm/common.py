@@ -44,6 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a partition, about, of tables of a few numbers or hashes a row.
+PART_ROWS = 4096
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions of about PART_ROWS of its rows, or those it has if they are fewer: without a shuffle.
+
+    Every task of a stage leaves files behind, so a loop over a small table should not have as many tasks as one over a large table.
+    """
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 #: Groups that hold more than one in so many rows are joined apart from the others. There are fewer of them than this number.
 HOT = 1024
 

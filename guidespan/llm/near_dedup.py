@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidespan.llm.common import HOT, cut, met, pieces, written
+from guidespan.llm.common import HOT, cut, met, pieces, sized, written
 from guidespan.llm.components import components
 from guidespan.llm.ngram_join import _mix, _row, _seeds, bands_for, shared, word_hashes
 
@@ -175,19 +175,20 @@ def _classes(texts: DataFrame, source: DataFrame, percent: int, places: int, dis
     buckets = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("_all")).where("n > 1")
     # Bands that hold the same texts are one.
     buckets = cut(buckets.groupBy("n", "_all", "least").agg(F.min("band").alias("band")))
-    placed = cut(met(banded, buckets.select("band", "least", "n", F.col("n").alias("_n")), "band", "_n", distinct_texts))
+    placed = cut(sized(met(banded, buckets.select("band", "least", "n", F.col("n").alias("_n")), "band", "_n", distinct_texts), distinct_texts))
     signature = texts.select("node", "sig")
-    first = placed.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    first = sized(placed.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), distinct_texts)
     many = cut(first.groupBy("b").agg(F.count("*").alias("_n")))
     total = many.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     roots = texts.select("node", F.col("node").alias("root"))
     if not total:
         return roots
+    first, many = sized(first, total), sized(many, total)
     near = met(first, many.join(signature.select(F.col("node").alias("b"), F.col("sig").alias("_right")), "b"), "b", "_n", total)
-    near = near.join(signature.select(F.col("node").alias("a"), F.col("sig").alias("_left")), "a")
-    tested = cut(near.where(differing("_left", "_right", numbers) <= most).select("a", "b"))
+    near = sized(near, total).join(signature.select(F.col("node").alias("a"), F.col("sig").alias("_left")), "a")
+    tested = cut(sized(near.where(differing("_left", "_right", numbers) <= most).select("a", "b"), total))
     # The sets of the texts that stand in some bucket, of one row each. A row that is there again and again is made one first.
-    wanted = cut(placed.select("node").distinct().join(texts.select("node", "_row", "_times"), "node"))
+    wanted = cut(sized(placed.select("node").distinct().join(texts.select("node", "_row", "_times"), "node"), distinct_texts))
     again = wanted.where(F.col("_times") * HOT > rows).select("_row", "node")
     found = source.join(F.broadcast(again.select("_row")), "_row", "left_anti").join(wanted.where(F.col("_times") * HOT <= rows).select("_row", "node"), "_row").select("node", "_text")
     found = found.unionByName(source.join(F.broadcast(again), "_row").groupBy("node").agg(F.first("_text").alias("_text")))
@@ -199,11 +200,11 @@ def _classes(texts: DataFrame, source: DataFrame, percent: int, places: int, dis
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array([len(g) for g in grams], pa.int64())], ["node", "grams", "size"])
 
     sets = written(found.groupBy("node").agg(F.first("_text").alias("_text")).mapInArrow(full, "node long, grams array<long>, size long"))
-    placed = placed.join(texts.select("node", "sig", "size"), "node")
+    placed = sized(placed.join(texts.select("node", "sig", "size"), "node"), distinct_texts)
 
     def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("_to")).where("root <> _to")
-        return cut(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+        return cut(sized(roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), distinct_texts))
 
     roots = merged(roots, _confirmed(tested, sets, percent))
     # In a bucket of two texts all pairs are tested now.
@@ -261,11 +262,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, recall: float = 0.999, i
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(row, pa.binary()), pa.array(keys, pa.binary()), pa.array(hashes, longs), pa.array(sigs, longs), pa.array(sizes, pa.int64())], ["_id", "_row", "_key", "_bands", "sig", "size"])
 
     signed = cut(source.mapInArrow(sign, f"_id {kind.simpleString()}, _row binary, _key binary, _bands array<long>, sig array<long>, size long"))
+    rows = signed.count()
+    signed = sized(signed, rows)
     once = signed.where("_key is not null").groupBy("_key", "_row", "_id").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("_bands", "sig", "size")))
     low = F.struct(F.col("_id").isNotNull().alias("k"), F.col("_id").alias("id"), F.col("_row").alias("row"), "times")
     texts = once.groupBy("_key").agg(F.sum("times").alias("copies"), F.min(low).alias("low"), *(F.first(c).alias(c) for c in ("_bands", "sig", "size")))
-    texts = cut(texts.withColumn("node", F.xxhash64("_key")))
-    rows, distinct_texts = signed.count(), texts.count()
+    texts = cut(sized(texts.withColumn("node", F.xxhash64("_key")), rows))
+    distinct_texts = texts.count()
     roots = _classes(texts.select("node", "_bands", "sig", "size", F.col("low.row").alias("_row"), F.col("low.times").alias("_times")), source.select("_row", "_text"), percent, places, distinct_texts, rows)
     named = cut(texts.select("_key", "node", "copies", F.struct("low.k", "low.id").alias("own")).join(roots, "node"))
     lowest = named.groupBy("root").agg(F.min("own").alias("low"), F.count("*").alias("n"))
