@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
 from guidespan.operators import alignment, export, intervals, pairs, patterns, search
+from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
 
@@ -105,12 +106,12 @@ def pair_ranking(spark, sf_dir):
     """Gap pairs with activities of both flanks, their percentiles, tier and risk class, ranked within each contig."""
     policy, flank = pairs.Policy(), lambda name: F.round(S.activity(F.col(f"{name}_flank_seq")), 9)
     rows = gap_pairs(spark, sf_dir).select("seq_id", "left_pos", "right_pos", "gap", flank("left").alias("left_score"), flank("right").alias("right_score"))
-    rows = pairs.percentile(pairs.percentile(rows, "left_score", [], "left_percentile"), "right_score", [], "right_percentile")
+    rows = pairs.percentiles(cut(rows), {"left_score": "left_percentile", "right_score": "right_percentile"})
     risk = F.round(1 - F.least("left_score", "right_score"), 6)
     rows = rows.withColumn("tier", pairs.tier([F.col("left_score"), F.col("right_score")], [F.lit(True), F.lit(True)], policy))
     rows = rows.withColumn("risk_class", pairs.risk_class(risk, F.round(risk / 2, 6), F.when(risk >= 0.7, 1).otherwise(0), policy))
-    key = [F.col("tier"), F.col("risk_class"), F.least("left_score", "right_score").desc(), F.col("gap")]
-    rows = pairs.competition(rows, key, "pair_rank", ["seq_id"])
+    key = [F.col("tier"), F.col("risk_class"), -F.least("left_score", "right_score"), F.col("gap")]
+    rows = pairs.competition(rows, key, "pair_rank", ["seq_id"], [F.col("left_pos"), F.col("right_pos")])
     return rows.select("seq_id", "left_pos", "right_pos", "left_score", "right_score", F.round("left_percentile", 9).alias("left_percentile"), F.round("right_percentile", 9).alias("right_percentile"), "tier", "risk_class", "pair_rank")
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidespan.functions import formats
 from guidespan.operators.lineage import cut
-from guidespan.operators.ordinals import numbered, summed
+from guidespan.operators.ordinals import ranked, summed
 
 
 @dataclass(frozen=True)
@@ -38,16 +39,30 @@ def percentile(rows: DataFrame, score: str, by: list[str], name: str) -> DataFra
 
     Counted from the distinct scores, so that large groups are summed before they are ordered.
     """
-    counts = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n"))
-    counts = summed(counts, by, [F.col(score)], "_n", "_below")
-    if by:
-        counts = counts.join(F.broadcast(counts.groupBy(*by).agg(F.sum("_n").alias("_total"))), by)  # a row a group
-    else:
-        counts = counts.withColumn("_total", F.lit(counts.agg(F.sum("_n")).first()[0]).cast("long"))
-    ranks = counts.withColumn(name, F.when(F.col("_total") >= 2, (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total"))).drop("_n", "_below", "_total")
+    ranks = _mean_ranks(rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n")), by, score, name)
     return rows.join(ranks, [*by, score], "left")
 
 
+def percentiles(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The same for several scores over all rows, {score: name of its percentile}, counted in one pass.
+
+    ``rows`` is read twice, so its lineage should be cut before.
+    """
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(s).alias("_which"), F.col(s).cast("double").alias("_score")) for s in names))).alias("x")).select("x.*")
+    ranks = cut(_mean_ranks(each.where("_score is not null").groupBy("_which", "_score").agg(F.count("*").alias("_n")), ["_which"], "_score", "_rank"))
+    for score, name in names.items():
+        rows = rows.join(ranks.where(F.col("_which") == score).select(F.col("_score").alias(score), F.col("_rank").alias(name)), score, "left")
+    return rows
+
+
+def _mean_ranks(counts: DataFrame, by: list[str], score: str, name: str) -> DataFrame:
+    """The mean rank of every distinct score of a group, over the group's size. counts: (by, score, _n)."""
+    counts = summed(counts, by, [F.col(score)], "_n", "_below")
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    counts = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))  # one row
+    return counts.withColumn(name, F.when(F.col("_total") >= 2, (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total"))).drop("_n", "_below", "_total")
+
+
 def tier(scores: list[Column], calibrated: list[Column], policy: Policy) -> Column:
     """A: two calibrated models or more, all high; B: one reaches the minimum; C: else."""
     enough = sum((c.cast("int") for c in calibrated), F.lit(0)) >= 2
@@ -62,9 +77,9 @@ def risk_class(burden: Column, maximum: Column, high: Column, policy: Policy) ->
     return F.when(low, 0).when(middle, 1).otherwise(2)
 
 
-def competition(rows: DataFrame, key: list[Column], name: str, by: list[str]) -> DataFrame:
-    """Adds ranks 1, 1, 3, ...: rows of equal keys share one. ``by``: columns that part the rows into rankings."""
-    return rows.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(*key)))
+def competition(rows: DataFrame, key: list[Column], name: str, by: list[str], ties: Sequence[Column] = ()) -> DataFrame:
+    """Adds ranks 1, 1, 3, ... by ascending keys: rows of equal ones share one. ``by``: columns that part the rows into rankings; ``ties``: see ``ranked``."""
+    return ranked(rows, name, by, key, ties)
 
 
 def _risks(policy: Policy) -> list[Column]:
@@ -119,16 +134,11 @@ def evaluate(rows: DataFrame, policy: Policy) -> DataFrame:
     out = out.withColumn("risk_class", risk_class(F.col("burden"), F.col("maximum"), F.col("high"), policy))
     soft = F.array_compact(F.array(F.when(F.col("tier") == "C", "tier_c"), F.when(F.col("burden") > policy.b_high, "burden_above_b_high"), F.when(F.col("maximum") > policy.m_high, "max_offtarget_above_m_high"), F.when(F.col("high") > policy.h_max, "high_risk_above_h_max"), F.when(F.col("risk_class") == 2, "risk_2")))
     out = out.withColumn("status", F.when(F.size("_hard_reasons") > 0, "rejected").when((F.size(soft) > 0), "conditional").otherwise("pass")).withColumn("reasons", F.concat("_hard_reasons", soft)).drop("_hard_reasons")
-    out = cut(out)  # ranked by four passes
     last = F.lit(float("inf"))
     key = [F.col("risk_class"), F.col("tier"), F.col("burden"), F.coalesce("maximum", last), F.coalesce(F.col("high").cast("double"), last), F.col("disagreement"), F.col("penalty")]
-    # Rejected pairs come last and get no rank.
-    turn = F.when(F.col("status") == "pass", 0).when(F.col("status") == "conditional", 1).otherwise(2)
-    out = numbered(out, "_n", [turn, *key, F.col("pair_id")])
-    first = F.min("_n").over(Window.partitionBy("status", *key))
-    counts = out.groupBy("status").agg(F.count("*").alias("_all"))
-    passed = F.coalesce(counts.where("status = 'pass'").select("_all").scalar(), F.lit(0))
-    return out.select("*", F.when(F.col("status") == "pass", first).alias("pair_rank"), F.when(F.col("status") == "conditional", first - passed).alias("conditional_rank")).drop("_n")
+    # Rejected pairs get no rank.
+    out = ranked(out, "_rank", ["status"], key, [F.col("pair_id")])
+    return out.select("*", *(F.when(F.col("status") == status, F.col("_rank")).alias(name) for status, name in (("pass", "pair_rank"), ("conditional", "conditional_rank")))).drop("_rank")
 
 
 def model_records(rows: DataFrame, side: str, calibration: str = "calibration_status") -> Column:

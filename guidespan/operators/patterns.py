@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
 from guidespan.operators.intervals import ranged
+from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered
 from guidespan.sources.contigs import fetch, marked, windows
 
@@ -51,8 +52,17 @@ def several(contigs: DataFrame, motifs: list[Motif]) -> DataFrame:
 
 def both_strands(contigs: DataFrame, codes: str, name: str) -> DataFrame:
     """(seq_id, pos, motif_seq, strand, order) of a motif on either strand, named by ``name``; order is 0 for plus, 1 for minus."""
-    found = marked(contigs, [(len(codes), S.pattern(c), S.anchor(c)) for c in (codes, S.flipped(codes))])
-    return found.select("seq_id", F.col("pos").alias(f"{name}_pos"), F.col("window").alias(f"{name}_motif_seq"), F.when(F.col("which") == 0, "plus").otherwise("minus").alias(f"{name}_strand"), F.col("which").alias(f"_{name}_order"))
+    return _named(_either(contigs, [codes]), 0, name)
+
+
+def _either(contigs: DataFrame, motifs: list[str]) -> DataFrame:
+    """All motifs on either strand, found in one scan; ``which`` is twice the motif's place in the list, one more for minus."""
+    return marked(contigs, [(len(codes), S.pattern(c), S.anchor(c)) for codes in motifs for c in (codes, S.flipped(codes))])
+
+
+def _named(found: DataFrame, place: int, name: str) -> DataFrame:
+    minus = F.col("which") - 2 * place
+    return found.where(F.shiftright("which", 1) == place).select("seq_id", F.col("pos").alias(f"{name}_pos"), F.col("window").alias(f"{name}_motif_seq"), F.when(minus == 0, "plus").otherwise("minus").alias(f"{name}_strand"), minus.alias(f"_{name}_order"))
 
 
 def unique(sites: DataFrame) -> DataFrame:
@@ -78,12 +88,19 @@ def gap_pairs(contigs: DataFrame, left: Motif, right: Motif, least: int, most: i
     """
     n, m = len(left.codes), len(right.codes)
 
-    pairs = ranged(both_strands(contigs, left.codes, "left"), both_strands(contigs, right.codes, "right"), F.col("left_pos") + n + least, F.col("left_pos") + n + most, "right_pos")
+    found = cut(_either(contigs, [left.codes, right.codes]))
+    pairs = ranged(_named(found, 0, "left"), _named(found, 1, "right"), F.col("left_pos") + n + least, F.col("left_pos") + n + most, "right_pos")
     first = F.row_number().over(Window.partitionBy("seq_id", "left_pos", "right_pos").orderBy("_left_order", "_right_order"))
     pairs = pairs.withColumn("_first", first).where("_first = 1").drop("_first", "_left_order", "_right_order")
+    # One look-up brings the stretch that holds both flanks.
+    begin = F.greatest(F.col("left_pos") - left.flank, F.lit(0))
+    pairs = fetch(pairs, contigs, begin, F.col("right_pos") + m + right.flank, "_around", left.flank + n + most + m + right.flank)
     for motif, name, size in ((left, "left", n), (right, "right", m)):
         start, end = _flank(F.col(f"{name}_pos"), size, motif, F.col(f"{name}_strand"))
-        pairs = fetch(pairs, contigs, start, end, f"{name}_flank_seq", motif.flank)
+        start = F.greatest(start, F.lit(0))
+        piece = F.when(end > start, F.nullif(F.substring("_around", (start - begin + 1).cast("int"), (end - start).cast("int")), F.lit("")))
+        pairs = pairs.withColumn(f"{name}_flank_seq", piece)
+    pairs = pairs.drop("_around")
     both = (F.col("left_strand") == "minus") & (F.col("right_strand") == "minus")
     return pairs.withColumn("strand", F.when(both, "minus").otherwise("plus")).withColumn("gap", F.col("right_pos") - F.col("left_pos") - n).withColumn("compound_end", F.col("right_pos") + m)
 
