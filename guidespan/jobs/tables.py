@@ -11,9 +11,10 @@ from guidespan.functions import scores as V
 from guidespan.functions import seq as S
 from guidespan.jobs import annotation as A
 from guidespan.jobs import queries as Q
+from guidespan.jobs import scoring
 from guidespan.jobs.scoring import SQL as SCORING_SQL
 from guidespan.jobs.scoring import WEIGHTS, pair_evaluation
-from guidespan.operators import export, hits, pairs, search, windows
+from guidespan.operators import export, hits, library, pairs, search, windows
 from guidespan.operators.lineage import cut
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
@@ -123,7 +124,7 @@ def annotation_with_utrs(spark, sf_dir):
 
 
 def guides_read_back(spark, sf_dir):
-    """Distinct sites written as a table of guides, every third without its id, and as FASTA, and read from these files."""
+    """Distinct sites written as a table of guides and as FASTA, and read from these files."""
     rows = cut(Q.unique_sites(spark, sf_dir).select("qid", F.left("sequence", F.lit(20)).alias("guide")))
     base = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     rows.select("qid", F.col("guide").alias("guide_seq"), F.lit("x\ty").alias("note")).write.csv(f"{base}/guides", sep="\t", header=True)
@@ -132,6 +133,26 @@ def guides_read_back(spark, sf_dir):
     return read.join(C.from_fasta(spark, f"{base}/fasta").select(F.col("seq_id").alias("qid"), "seq"), "qid").select("qid", "guide", F.length("seq").cast("long").alias("n_bases"))
 
 
+def flank_files(spark, sf_dir):
+    """The ten bases beside every perfect hit, written with a folder for each sequence and guide, and read back."""
+    held, found = Q.contigs(spark, sf_dir), hits.normalised(Q.search_hits(spark, sf_dir).where("mismatch = 0"), "seeded")
+    places = found.select(F.col("target").alias("seq_id"), "start", "strand").distinct()
+    after = F.col("strand") == "+"
+    start = F.when(after, F.col("start") + 20).otherwise(F.col("start") - 10)
+    flanks = C.fetch(places, held, start, F.when(after, start + 10).otherwise(F.col("start")), "flank", 10).withColumnRenamed("seq_id", "target")
+    flanks = cut(flanks)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    export.write_by(export.flank_fasta(found, flanks), path, ["seq_id", "qid"])
+    read = spark.read.schema("line string, seq_id long, qid string").text(path)
+    return read.select("seq_id", "qid", "line")
+
+
+def guide_regions(spark, sf_dir):
+    """The places of every guide of the library, in pages of at most five."""
+    rows = library.region_pages(scoring.library_candidates(spark, sf_dir), 5)
+    return rows.select("guide_seq", "page", F.array_join(F.transform("regions", lambda r: F.concat_ws(":", r["seq_id"].cast("string"), r["spacer_start"].cast("string"), r["strand"])), ";").alias("regions"))
+
+
 def side_guides(spark, sf_dir):
     """The guide beside each motif next to a centre, and labels for its row."""
     rows = Q.centre_flanks(spark, sf_dir).where("flank_seq <> ''")
@@ -197,7 +218,7 @@ def ranked_pairs(spark, sf_dir):
     return pairs.attached(rows, pair_evaluation(spark, sf_dir).select("pair_id", "status", "tier", "pair_rank"))
 
 
-QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, side_guides, scanned_hits, kmer_index, hit_activities, passing_sites, edit_counts, pair_models, pair_compatibility, ranked_pairs)}
+QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, flank_files, guide_regions, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, side_guides, scanned_hits, kmer_index, hit_activities, passing_sites, edit_counts, pair_models, pair_compatibility, ranked_pairs)}
 
 # SQL
 
@@ -205,8 +226,8 @@ _N = "SELECT qid, guide, seq_id AS target, start, strand, CAST(mismatch AS BIGIN
 _PLACES = """string_agg('[' || seq_id || ', "' || strand || '", ' || window_start || ']', ', ' ORDER BY seq_id, strand, window_start)"""
 _B = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, seq_id, strand, border ORDER BY 2 * mm + CASE WHEN length(target) = 20 THEN 0 ELSE 3 END, mm, length(target) <> 20, length(target)) AS k FROM ({Q._BULGES}) WHERE mm <= 2) WHERE k = 1"
 _SCORES = f"""SELECT qid, guide, CAST(coalesce(n, 0) AS BIGINT) AS input_offtargets, CAST(coalesce(subs, 0) AS BIGINT) AS substitution_offtargets, CAST(coalesce(bulges, 0) AS BIGINT) AS bulge_hits, round(coalesce(risks, 0.0), 6) AS bulge_risk_sum,
-  round(1 / (1 + CASE WHEN coalesce(best, 0) >= 0.999999 THEN greatest(total - 1, 0.0) ELSE coalesce(total, 0.0) END + coalesce(risks, 0.0)), 6) AS off_target_specificity, 'cfd' AS off_target_model, CASE WHEN bulges > 0 THEN '{hits.BULGE_NOTE}' ELSE '' END AS off_target_model_note,
-  CASE WHEN bulges > 0 THEN '{hits.BULGE_METHOD}' ELSE 'not_applicable' END AS bulge_score_method, CASE WHEN bulges > 0 THEN 'uncalibrated' ELSE 'calibrated_reference' END AS calibration_status, round({Q._activity('guide')}, 9) AS on_target_score, 'nuc_features' AS on_target_model
+  round(1 / (1 + CASE WHEN coalesce(best, 0) >= 0.999999 THEN greatest(total - 1, 0.0) ELSE coalesce(total, 0.0) END + coalesce(risks, 0.0)), 6) AS off_target_specificity, 'rule_weights' AS off_target_model, CASE WHEN bulges > 0 THEN '{hits.BULGE_NOTE}' ELSE '' END AS off_target_model_note,
+  CASE WHEN bulges > 0 THEN '{hits.BULGE_METHOD}' ELSE 'not_applicable' END AS bulge_score_method, 'uncalibrated' AS calibration_status, round({Q._activity('guide')}, 9) AS on_target_score, 'nuc_features' AS on_target_model
   FROM g LEFT JOIN (SELECT qid, count(*) AS n, count(w) AS subs, count(*) - count(w) AS bulges, sum(w) AS total, max(w) AS best, sum(risk) AS risks FROM (SELECT qid, CASE WHEN length(target) = 20 THEN round(@W, 12) END AS w,
   CASE WHEN length(target) <> 20 THEN round(least(greatest((least(length(target), 20) - mm) / least(length(target), 20)::DOUBLE * 0.5 * pow(0.75, mm), 0.01), 1.0), 12) END AS risk FROM ({_B})) GROUP BY qid) USING (qid)"""
 _SITES23 = f"SELECT seq_id, pos AS start, w AS window, seq FROM ({Q._windows(23, Q._match(23, '[ACGT]{20}' + S.pattern('NGG')))})"
@@ -246,6 +267,9 @@ SQL = {
     "window_models": Q._sql("", _models()),
     "unique_guide_ranks": Q._sql("", f"SELECT guide, f[2] AS seq_id, f[3] AS start, -f[1] AS on_target_score, model AS on_target_model, position_count, row_number() OVER (ORDER BY f[1], f[2], f[3], guide) AS rank FROM (SELECT substr(\"window\", 1, 20) AS guide, min((-on_target_score, seq_id, start)) AS f, arg_min(on_target_model, (-on_target_score, seq_id, start)) AS model, count(*) AS position_count FROM ({_models()}) GROUP BY 1)"),
     "seed_hits": Q._sql("h", f"SELECT qid, seq_id AS target, start, strand, CAST(mismatch AS BIGINT) AS mismatch FROM h WHERE mismatch <= 2 AND {_SEED.replace('substr(x,', 'substr(target,')} <= 1"),
+    "flank_files": Q._sql("h", """SELECT seq_id, qid, unnest(['>' || qid || ':' || seq_id || ':' || start || ':' || strand, flank]) AS line FROM (
+      SELECT h.seq_id, qid, start, strand, CASE WHEN strand = '+' THEN substr(seq, start + 21, 10) ELSE substr(seq, greatest(start - 10, 0) + 1, start - greatest(start - 10, 0)) END AS flank FROM h JOIN c ON c.seq_id = h.seq_id WHERE mismatch = 0) WHERE flank <> ''"""),
+    "guide_regions": Q._sql("", f"SELECT guide_seq, (k - 1) // 5 AS page, string_agg(seq_id || ':' || spacer_start || ':' || strand, ';' ORDER BY k) AS regions FROM (SELECT *, row_number() OVER (PARTITION BY guide_seq ORDER BY seq_id, spacer_start, strand) AS k FROM ({scoring._LIB})) GROUP BY ALL"),
     "guides_read_back": Q._sql("u", "SELECT qid, substr(sequence, 1, 20) AS guide, 20::BIGINT AS n_bases FROM u"),
     "side_guides": Q.SQL["centre_flanks"].replace("SELECT y.seq_id, y_start", "SELECT seq_id, y_start, motif_start, motif_strand, flank_seq AS guide, seq_id || '_' || y_start || '_' || motif_strand AS label FROM (SELECT y.seq_id, y_start", 1) + ") WHERE flank_seq <> ''",
     "annotation_with_utrs": A._sql("SELECT concat_ws(chr(9), seq_id, 'inferred', type, start, \"end\", '.', strand, '.', 'Parent=' || transcript_id) AS value FROM utrs" + "".join(f" UNION ALL SELECT concat_ws(chr(9), seq_id, 'made', '{kind}', {a.replace('div', '//')}, {b.replace('div', '//')}, '.', strand, '.', {attrs}) FROM n" for kind, a, b, attrs in A._PARTS)),

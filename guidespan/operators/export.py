@@ -78,6 +78,14 @@ def flank_fasta(hits: DataFrame, flanks: DataFrame) -> DataFrame:
     return rows.select(F.col("target").alias("seq_id"), "qid", F.concat(F.lit(">"), F.concat_ws(":", "qid", F.col("target").cast("string"), F.col("start").cast("string"), "strand"), F.lit("\n"), F.col("flank")).alias("line"))
 
 
+def write_by(lines: DataFrame, path: str, by: list[str], most_lines: int = 1_000_000) -> None:
+    """Write (by..., line) as text with one folder for each value of ``by``.
+
+    Rows are dealt by these columns first, so a folder gets one file, and a further one after so many lines.
+    """
+    lines.repartition(*by).write.option("maxRecordsPerFile", most_lines).partitionBy(*by).text(path)
+
+
 def annotation_lines(features: DataFrame, source: str = "inferred") -> DataFrame:
     """(value) of annotation lines of (seq_id, type, start, end, strand, transcript_id), places from 1 with both ends."""
     return features.select(F.concat_ws("\t", F.col("seq_id").cast("string"), F.lit(source), "type", F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), F.concat(F.lit("Parent="), F.col("transcript_id"))).alias("value"))

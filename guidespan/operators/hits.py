@@ -93,9 +93,11 @@ def backfilled(rows: DataFrame, scores: DataFrame, key: str, strict: bool = Fals
     return rows.join(scores, key, "left")
 
 
-def guide_scores(guides: DataFrame, hits: DataFrame, weights: list[float] | None = None, preset: str = "cas9") -> DataFrame:
+def guide_scores(guides: DataFrame, hits: DataFrame, weights: list[float] | None = None, preset: str = "cas9", weights_name: str = "rule_weights", calibrated: bool = False) -> DataFrame:
     """One scored row a guide: model, specificity, how it was composed and calibrated.
 
+    weights_name is what the given weights are called, calibrated whether they come from measurements; those made by a rule do not.
+
     Hits without bulges are weighed by the mismatch weights and the PAM (preset cas9; by the length's identity if a guide has another
     length than 20), or by the preset's seed. Hits with bulges add their cautious risk to the burden 1 / specificity - 1. Without hits a
     guide is wholly specific. on_target_score is the rule-based activity, which stands in where no window of 30 bases is known.
@@ -109,9 +111,9 @@ def guide_scores(guides: DataFrame, hits: DataFrame, weights: list[float] | None
     rows = guides.select("qid", "guide").join(per, "qid", "left").fillna(0)
     total = F.when(F.col("_best") >= 0.999999, F.greatest(F.col("_sum") - 1, F.lit(0.0))).otherwise(F.col("_sum"))
     specific = F.when(F.col("bulge_hits") > 0, 1 / (1 + F.greatest(total, F.lit(0.0)) + F.col("_risks"))).otherwise(1 / (1 + total))
-    uncalibrated = (F.col("bulge_hits") > 0) | F.lit(preset != "cas9")
+    uncalibrated = (F.col("bulge_hits") > 0) | F.lit(preset != "cas9" or not calibrated)
     return rows.select(
-        "qid", "guide", "input_offtargets", "substitution_offtargets", "bulge_hits", F.round("_risks", 6).alias("bulge_risk_sum"), F.round(specific, 6).alias("off_target_specificity"), F.lit("cfd" if preset == "cas9" else f"{preset}_rules").alias("off_target_model"),
+        "qid", "guide", "input_offtargets", "substitution_offtargets", "bulge_hits", F.round("_risks", 6).alias("bulge_risk_sum"), F.round(specific, 6).alias("off_target_specificity"), F.lit(weights_name if preset == "cas9" else f"{preset}_rules").alias("off_target_model"),
         F.when(F.col("bulge_hits") > 0, BULGE_NOTE).otherwise("").alias("off_target_model_note"), F.when(F.col("bulge_hits") > 0, BULGE_METHOD).otherwise("not_applicable").alias("bulge_score_method"),
         F.when(uncalibrated, "uncalibrated").otherwise("calibrated_reference").alias("calibration_status"), F.round(S.activity(g), 9).alias("on_target_score"), F.lit("nuc_features").alias("on_target_model"),
     )

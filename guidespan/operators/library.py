@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
+from guidespan.operators.ordinals import ranked
 from guidespan.sources.contigs import marked
 
 
@@ -58,6 +59,18 @@ def distinct_guides(guides: DataFrame) -> DataFrame:
     return rows.select("guide_seq", "gc", "_f.seq_id", "_f.strand", "_f.spacer_start", "occurrence_count", "n_regions")
 
 
+def region_pages(guides: DataFrame, size: int) -> DataFrame:
+    """(guide_seq, page, regions): the places of each guide in order, in arrays of at most ``size``, pages numbered from 0.
+
+    Places are numbered over ranges, so a guide with very many of them is dealt to many tasks and no array grows without bound. A place
+    that is there several times counts once.
+    """
+    place = ["seq_id", "spacer_start", "strand"]
+    rows = ranked(guides.where("guide_seq <> ''").select("guide_seq", *place).distinct(), "_k", ["guide_seq"], [F.col(c) for c in place])
+    rows = rows.withColumn("page", F.floor((F.col("_k") - 1) / size))
+    return rows.groupBy("guide_seq", "page").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("regions"))
+
+
 def summary(guides: DataFrame) -> DataFrame:
     """One row: candidates, distinct guides, and mean, least and greatest share of G and C (0 without rows)."""
     per = guides.groupBy("guide_seq").agg(F.count("*").alias("_n"), F.sum("gc").alias("_sum"), F.min("gc").alias("_min"), F.max("gc").alias("_max"))
