@@ -15,9 +15,10 @@ from guidespan.jobs import scoring
 from guidespan.jobs.scoring import SQL as SCORING_SQL
 from guidespan.jobs.scoring import WEIGHTS, pair_evaluation
 from guidespan.operators import export, hits, library, pairs, search, windows
-from guidespan.operators.lineage import cut
+from guidespan.operators.lineage import cut, cut_folder
 from guidespan.operators.ordinals import numbered
 from guidespan.sources import contigs as C
+from guidespan.sources import fasta
 from guidespan.sources import tables as T
 
 LEFT_PAM = "NGG"
@@ -133,6 +134,14 @@ def guides_read_back(spark, sf_dir):
     return read.join(C.from_fasta(spark, f"{base}/fasta").select(F.col("seq_id").alias("qid"), "seq"), "qid").select("qid", "guide", F.length("seq").cast("long").alias("n_bases"))
 
 
+def fasta_chunks(spark, sf_dir):
+    """All contigs written as FASTA and read back by ranges of bytes, in chunks with an overlap, each by its hash."""
+    folder = f"{cut_folder(spark)}/{uuid.uuid4().hex}"
+    export.fasta(Q.contigs(spark, sf_dir), "seq_id", "seq").write.text(folder)
+    rows = C.chunks(fasta.from_fasta_ranges(spark, folder), 22)
+    return rows.select(F.col("seq_id").cast("long").alias("seq_id"), "chunk_start", F.col("own").cast("long").alias("own"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 def flank_files(spark, sf_dir):
     """The ten bases beside every perfect hit, written with a folder for each sequence and guide, and read back."""
     held, found = Q.contigs(spark, sf_dir), hits.normalised(Q.search_hits(spark, sf_dir).where("mismatch = 0"), "seeded")
@@ -218,7 +227,7 @@ def ranked_pairs(spark, sf_dir):
     return pairs.attached(rows, pair_evaluation(spark, sf_dir).select("pair_id", "status", "tier", "pair_rank"))
 
 
-QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, flank_files, guide_regions, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, side_guides, scanned_hits, kmer_index, hit_activities, passing_sites, edit_counts, pair_models, pair_compatibility, ranked_pairs)}
+QUERIES = {f.__name__: f for f in (library_lines, candidate_rows, embedded_pams, normalised_hits, hit_lines, seed_hits, off_target_hits, hit_buckets, deduplicated_hits, guide_differences, guide_scores, flank_files, guide_regions, score_lines, formatted_summary, window_models, unique_guide_ranks, annotation_with_utrs, guides_read_back, fasta_chunks, side_guides, scanned_hits, kmer_index, hit_activities, passing_sites, edit_counts, pair_models, pair_compatibility, ranked_pairs)}
 
 # SQL
 
@@ -271,6 +280,7 @@ SQL = {
       SELECT h.seq_id, qid, start, strand, CASE WHEN strand = '+' THEN substr(seq, start + 21, 10) ELSE substr(seq, greatest(start - 10, 0) + 1, start - greatest(start - 10, 0)) END AS flank FROM h JOIN c ON c.seq_id = h.seq_id WHERE mismatch = 0) WHERE flank <> ''"""),
     "guide_regions": Q._sql("", f"SELECT guide_seq, (k - 1) // 5 AS page, string_agg(seq_id || ':' || spacer_start || ':' || strand, ';' ORDER BY k) AS regions FROM (SELECT *, row_number() OVER (PARTITION BY guide_seq ORDER BY seq_id, spacer_start, strand) AS k FROM ({scoring._LIB})) GROUP BY ALL"),
     "guides_read_back": Q._sql("u", "SELECT qid, substr(sequence, 1, 20) AS guide, 20::BIGINT AS n_bases FROM u"),
+    "fasta_chunks": Q._sql("", "SELECT seq_id, k * 1024 AS chunk_start, least(1024, length(seq) - k * 1024) AS own, md5(substr(seq, k * 1024 + 1, 1046)) AS chunk_md5 FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 1023) // 1024)) AS k FROM c)"),
     "side_guides": Q.SQL["centre_flanks"].replace("SELECT y.seq_id, y_start", "SELECT seq_id, y_start, motif_start, motif_strand, flank_seq AS guide, seq_id || '_' || y_start || '_' || motif_strand AS label FROM (SELECT y.seq_id, y_start", 1) + ") WHERE flank_seq <> ''",
     "annotation_with_utrs": A._sql("SELECT concat_ws(chr(9), seq_id, 'inferred', type, start, \"end\", '.', strand, '.', 'Parent=' || transcript_id) AS value FROM utrs" + "".join(f" UNION ALL SELECT concat_ws(chr(9), seq_id, 'made', '{kind}', {a.replace('div', '//')}, {b.replace('div', '//')}, '.', strand, '.', {attrs}) FROM n" for kind, a, b, attrs in A._PARTS)),
     "scanned_hits": Q.SQL["search_hits"],

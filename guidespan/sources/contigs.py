@@ -42,14 +42,33 @@ def from_bed(spark: SparkSession, path: str) -> DataFrame:
 def chunks(contigs: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """(seq_id, chunk_start, own, chunk): pieces of ``size`` bases and the ``overlap`` bases after them; ``own`` bases are its own.
 
-    Cut in one pass over the sequence; places within a chunk are found in time of the chunk, not of the contig.
+    Cut in one pass over the sequence; places within a chunk are found in time of the chunk, not of the contig. Contigs that come in rows
+    of their own (``fasta.from_fasta_ranges``) are never put together: each row sends its bases to the chunks that it touches.
     """
     if overlap > size:
         raise ValueError("the overlap is longer than a chunk")
+    if "bases" in contigs.columns:
+        return _joined(contigs, overlap, size)
     cut = contigs.select("seq_id", F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0)).alias("_parts"))
     return cut.select("seq_id", F.posexplode(F.expr(f"transform(_parts, (c, i) -> named_struct('c', c, 'n', coalesce(left(get(_parts, i + 1), {overlap}), '')))"))).select("seq_id", (F.col("pos") * size).cast("long").alias("chunk_start"), F.length("col.c").alias("own"), F.concat("col.c", "col.n").alias("chunk"))
 
 
+def _joined(rows: DataFrame, overlap: int, size: int) -> DataFrame:
+    """Chunks of contigs that come in rows (seq_id, record, pos, bases)."""
+    end = F.col("pos") + F.length("bases")
+    cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - overlap) / size)), F.floor((end - 1) / size))
+
+    def part(cell: Column) -> Column:
+        start = F.greatest(F.col("pos"), cell * size)
+        n = F.least(end, (cell + 1) * size + overlap) - start
+        return F.struct(cell.alias("cell"), F.struct(start.alias("pos"), F.substring("bases", (start - F.col("pos") + 1).cast("int"), n.cast("int")).alias("bases")).alias("part"))
+
+    parts = rows.where("bases <> ''").select("seq_id", "record", F.explode(F.transform(cells, part)).alias("p")).select("seq_id", "record", F.col("p.cell").alias("_cell"), F.col("p.part").alias("_part"))
+    # A row that only ends where the overlap of a chunk would begin sends it nothing.
+    whole = parts.where(F.col("_part.bases") != "").groupBy("record", "seq_id", "_cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_part")), lambda p: p["bases"]), "").alias("chunk"))
+    return whole.select("seq_id", (F.col("_cell") * size).cast("long").alias("chunk_start"), F.least(F.length("chunk"), F.lit(size)).alias("own"), "chunk")
+
+
 def marked(contigs: DataFrame, wanted: list[tuple[int, str, tuple[int, str] | None]]) -> DataFrame:
     """(seq_id, pos, window, which): every stretch of so many bases that matches a pattern, with its place in ``wanted``.
 
