@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from guidespan.llm.common import pieces
 
 #: Pages that the network is fitted on at most, the longest taken for that, and the layouts made of each.
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 240, 30_000, 4
+SAMPLE, SAMPLE_CHARS, LAYOUTS = 240, 30_000, 6
 HASH_BITS, PATH_WIDTH, WORD_WIDTH, NUMBERS, HIDDEN = 12, 16, 8, 6, 16
-EPOCHS, BATCH, RATE, DROP = 10, 48, 0.012, 0.15
+EPOCHS, BATCH, RATE, DROP = 12, 48, 0.012, 0.15
 
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "textarea", "select", "button"}
 #: What may stand in the head of a page; any other tag, and any text, ends it.
@@ -47,6 +47,7 @@ class Block:
     text: str
     path: list[str]
     linked: int = 0  # characters within links
+    near: list[str] | None = None  # class and id words of the innermost container that has any
     row: tuple | None = None  # its numbers for the network, once they are made
 
 
@@ -65,7 +66,8 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, list(self.open), self.linked))
+                near = next((words[1:] for _, words in reversed(self.stack) if len(words) > 1), [])
+                self.blocks.append(Block(text, list(self.open), self.linked, near))
             self.parts, self.linked = [], 0
 
     def pop(self, tag: str) -> None:
@@ -162,17 +164,46 @@ def weak_label(block: Block) -> int | None:
     return 0 if "header" in tags else None
 
 
-def layout(page: list[tuple[Block, int]], spare: list[str], rng: random.Random) -> list[tuple[Block, int]]:
-    """The blocks of a page in another layout, with other parts put in. spare: texts to fill these with."""
+def _near(path: list[str]) -> list[str]:
+    """The class words of the innermost tag in a path that has any."""
+    near: list[str] = []
+    for word in reversed(path):
+        if word[:2] == "c:":
+            near.append(word)
+        elif near:
+            break
+    return near
+
+
+def _block(text: str, path: list[str], linked: int = 0) -> Block:
+    return Block(text, list(dict.fromkeys(path)), linked, _near(path))
+
+
+def layout(page: list[tuple[Block, int]], spare: list[str], rng: random.Random, short: bool = True) -> list[tuple[Block, int]]:
+    """The blocks of a page in another layout, with other parts put in. spare: texts to fill these with. short: put short paragraphs in, and menus that
+    only place, links and words tell.
+    """
     style = rng.choice(["tags", "classes", "plain"])
-    body = ["t:html", "t:body"] + rng.choice([[], ["t:div", "c:wrapper"], ["t:div", "c:page"], ["t:div", "c:container", "t:div"]])
-    good = {"tags": rng.choice([["t:article"], ["t:main", "t:article"], ["t:main"], ["t:article", "t:section"]]), "classes": ["t:div", *(f"c:{w}" for w in rng.choice(GOOD_CLASSES).split("-"))], "plain": rng.choice([["t:div"], ["t:div", "t:div"], ["t:table", "t:tr", "t:td"], []])}[style]
+    # The wrapper of the whole page may well have a class, or a tag, that elsewhere names the article.
+    wrapper = ["t:div", *(f"c:{w}" for w in rng.choice(GOOD_CLASSES).split("-"))]
+    body = ["t:html", "t:body"] + rng.choice([[], ["t:div", "c:wrapper"], ["t:div", "c:page"], ["t:div", "c:container", "t:div"], wrapper, wrapper, ["t:main"], ["t:table", "t:tr"]])
+    cell = body[-1] == "t:tr"
+    good = {"tags": rng.choice([["t:article"], ["t:main", "t:article"], ["t:main"], ["t:article", "t:section"]]), "classes": ["t:div", *(f"c:{w}" for w in rng.choice(GOOD_CLASSES).split("-"))], "plain": rng.choice([["t:div"], ["t:div", "t:div"], []])}[style]
+    good = ["t:td", *good] if cell else good
 
     def part(kind: str) -> list[tuple[Block, int]]:
-        own = ["t:" + (kind if style == "tags" and kind in ("nav", "header", "footer", "aside", "form") else rng.choice(["div", "section", "ul" if kind in ("nav", "share") else "div"]))]
+        own = (["t:td"] if cell else []) + ["t:" + (kind if style == "tags" and kind in ("nav", "header", "footer", "aside", "form") else rng.choice(["div", "section", "ul" if kind in ("nav", "share") else "div"]))]
         if style != "tags" or kind not in ("nav", "header", "footer", "aside", "form") or rng.random() < 0.5:
             own += [f"c:{w}" for w in rng.choice(BAD_CLASSES[kind]).split("-")]
+        elif style == "plain" and kind in ("nav", "footer", "header"):
+            own = own[:-1]
+        if short and style == "plain" and kind in ("nav", "footer", "header", "share") and rng.random() < 0.4:  # nothing but place, links and words tells
+            own = ["t:td"] if cell else rng.choice([["t:div"], ["t:ul"], []])
+        inner_of = rng.choice([[], [], ["t:ul"], ["t:div", "c:" + rng.choice(["item", "inner", "row", "list", "box", "comment" if kind == "comments" else "block"])]])
         out = []
+        if kind in ("nav", "footer", "share") and rng.random() < 0.25:  # links in one block, with line breaks between
+            text = " ".join(" ".join(rng.choice(spare).split()[: rng.randint(1, 3)]) for _ in range(rng.randint(2, 7)))
+            return [(_block(text, body + own, int(len(text) * rng.uniform(0.8, 1))), 0)]
         for _ in range({"nav": rng.randint(2, 7), "comments": rng.randint(1, 6), "aside": rng.randint(1, 5), "share": 2}.get(kind, rng.randint(1, 2))):
             words = rng.choice(spare).split()
             long = kind == "comments" or kind in ("aside", "notice") and rng.random() < 0.3
@@ -182,7 +213,7 @@ def layout(page: list[tuple[Block, int]], spare: list[str], rng: random.Random)
             inner = ["t:li", "t:a"] if link else rng.choice([["t:p"], [], ["t:div"], ["t:span"], ["t:li"]])
             if kind == "form":
                 inner = rng.choice([["t:label"], ["t:p"], []])
-            out.append((Block(text, body + own + inner, len(text) if link else 0), 0))
+            out.append((_block(text, body + own + inner_of + inner, len(text) if link else 0), 0))
         return out
 
     article = []
@@ -191,12 +222,16 @@ def layout(page: list[tuple[Block, int]], spare: list[str], rng: random.Random)
             tail = [w for w in block.path[-4:] if w[:2] == "t:" and w[2:] in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td", "b", "ul", "ol", "figcaption")]
             if rng.random() < 0.2:
                 tail = rng.choice([["t:blockquote", "t:p"], ["t:ul", "t:li"], ["t:h2"], ["t:div"], ["t:pre"], ["t:figure", "t:figcaption"]])
-            article.append((Block(block.text, body + good + tail, block.linked), 1))
+            article.append((_block(block.text, body + good + tail, block.linked), 1))
+    for _ in range(rng.choice([0, 1, 1, 2]) if short else 0):  # short paragraphs, at the end too
+        text = " ".join(rng.choice(spare).split()[: rng.randint(1, 4)]).strip(".,;:!? ")
+        if text and article:
+            at = rng.choice([len(article), len(article), rng.randint(1, len(article))])
+            article.insert(at, (_block(text.capitalize() + rng.choice([".", ".", "!", "?", ""]), body + good + rng.choice([["t:p"], ["t:p"], ["t:div"], ["t:h2"]])), 1))
     cut = sorted(rng.sample(range(len(article) + 1), min(len(article) + 1, 2)))
-    if article and rng.random() < 0.5:  # a part within the article
-        kind = rng.choice(["ad", "share", "aside", "form", "notice", "comments"])
-        inside = [(Block(b.text, body + good + b.path[len(body) :], b.linked), 0) for b, _ in part(kind)]
-        at = len(article) if kind == "comments" else cut[0]
+    for kind in rng.choice([[], [], ["ad"], ["share"], ["aside"], ["form"], ["notice"], ["comments"], ["comments"], ["share", "comments"]]) if article else []:  # parts within the article
+        inside = [(Block(b.text, list(dict.fromkeys(body + good + b.path)), b.linked, b.near or _near(good)), 0) for b, _ in part(kind)]
+        at = len(article) if kind == "comments" or kind == "share" and rng.random() < 0.6 else cut[0]
         article[at:at] = inside
     before = [x for kind in ("notice", "header", "nav", "ad", "aside") if rng.random() < 0.55 for x in part(kind)]
     after = [x for kind in ("share", "aside", "comments", "form", "ad", "nav", "notice", "footer") if rng.random() < 0.5 for x in part(kind)]
@@ -216,7 +251,7 @@ def _ids(block: Block, cache: dict[str, int]) -> tuple[list[int], list[int], lis
         return n
 
     words = block.text.lower().split()
-    path = block.path or ["t:none"]
+    path = [*block.path, *(f"n:{w}" for w in block.near or [])] or ["t:none"]
     n = len(block.text)
     return [number(w) for w in path], [number(w) for w in words], [np.log1p(n) / 8, np.log1p(len(words)) / 6, block.linked / n, float(block.text[-1] in ".!?…:;»\"'"), sum(map(block.text.count, ".,;:!?")) / n * 10, len(words) < 6]
 
@@ -375,8 +410,8 @@ def _made_pages(texts: list[str], rng: random.Random, count: int = 120) -> list[
     sentence = lambda: deal(rng.randint(6, 16)).capitalize() + rng.choice([".", ".", ".", "!", "?"])
     pages = []
     for _ in range(count):
-        page = [(Block(deal(rng.randint(2, 7)).capitalize() or "A", ["t:html", "t:body", "t:h1"]), 1)]
-        page += [(Block(" ".join(sentence() for _ in range(rng.randint(1, 6))), ["t:html", "t:body", rng.choice(["t:p", "t:p", "t:div"])]), 1) for _ in range(rng.randint(2, 8))]
+        page = [(_block(deal(rng.randint(2, 7)).capitalize() or "A", ["t:html", "t:body", "t:h1"]), 1)]
+        page += [(_block(" ".join(sentence() for _ in range(rng.randint(1, 6))), ["t:html", "t:body", rng.choice(["t:p", "t:p", "t:div"])]), 1) for _ in range(rng.randint(2, 8))]
         pages.append(page)
     return pages
 
@@ -397,7 +432,7 @@ def fit_pages(htmls: list[str]) -> Tagger:
         tagger.fit(2 * known + [layout(page, spare, rng) for page in known for _ in range(LAYOUTS)])
     else:
         made = _made_pages(seen, rng)
-        tagger.fit([layout(page, [b.text for p in made for b, _ in p], rng) for page in made for _ in range(3 * LAYOUTS)])
+        tagger.fit([layout(page, [b.text for p in made for b, _ in p], rng, short=False) for page in made for _ in range(12)])
     return tagger
 
 
