@@ -1,4 +1,4 @@
-"""Main text on layouts that the training doesn't make, of pages that it hasn't seen."""
+"""Main text of pages that the network has not seen, in layouts written by hand (its training was improved with these layouts in view)."""
 
 import html
 import random
