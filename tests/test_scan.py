@@ -4,8 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from guidespan.functions import seq as S
+from guidespan.operators import search
+from guidespan.operators.alignment import align
 from guidespan.sources import contigs as C
 from guidespan.sources import scan
 
@@ -31,3 +34,56 @@ def test_letters_of_texts(spark):
     held = [(i, None if i % 9 == 0 else "".join(rng.choices("acgtACGTné 𝄞\n", k=rng.choice([0, 5, 22, 40, 3000])))) for i in range(200)]
     want = sorted((i, s) for i, t in held if t is not None and len(s := re.sub("[^acgtACGT]", "", t).upper()) >= 11)
     assert sorted(map(tuple, C.from_text(spark.createDataFrame(held, "doc_id long, text string"), shortest=11).collect())) == want
+
+
+def mutated(rng, guide, mismatches, bulge):
+    out = list(guide)
+    for i in rng.sample(range(len(out)), mismatches):
+        out[i] = rng.choice("ACGT".replace(out[i], ""))
+    at = rng.randrange(len(out) + 1)
+    return "".join(out[:at] + [rng.choice("ACGT")] + out[at:]) if bulge > 0 else "".join(out[: at - 1] + out[at:]) if bulge < 0 and at else "".join(out)
+
+
+@pytest.mark.parametrize("side", ["3prime", "5prime"])
+def test_pairs_that_align_meet_and_pass_the_filter(spark, side):
+    rng, rows = random.Random(side), []
+    for i in range(1500):
+        guide = "".join(rng.choices("ACGT", k=20))
+        target = mutated(rng, guide, rng.randrange(3), rng.choice([-1, 0, 1]))
+        fill = "".join(rng.choices("ACGTN" if i % 5 == 0 else "ACGT", k=21 - len(target)))
+        rows.append((guide, fill + target if side == "3prime" else target + fill, target, i))
+    last = side == "3prime"
+    held = spark.createDataFrame(rows, "guide string, beside string, target string, i int")
+    ok = search._may_align(search._code(F.col("guide"), 20, last), search._code(F.col("beside"), 21, last), 20, 2, 1)
+    assert held.where(~ok).count() == 0
+    strangers = held.alias("a").crossJoin(held.select("beside").alias("b").limit(200)).select("guide", F.col("b.beside").alias("beside"))
+    assert strangers.where(ok).count() < 4000
+    # And the search finds every one of them.
+    contigs = spark.createDataFrame([(i, b + "TGG" if last else "TTC" + b) for _, b, _, i in rows if "N" not in b], "seq_id long, seq string")
+    guides = spark.createDataFrame([(str(i), g) for g, _, _, i in rows], "qid string, guide string")
+    found = search.bulge_search(contigs, guides, 20, 2, 1, "NGG" if last else "TTN", side)
+    got = {int(r.qid) for r in found.where("qid = cast(seq_id as string)").collect()}
+    want = {i for g, b, t, i in rows if "N" not in b and (a := align(g, t, 1)) and a[0] <= 2}
+    assert len(want) > 1000 and want <= got
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Broadcast\w*Join \[segment", plan)
+
+
+def test_seed_variants_are_not_sent_through_the_driver(spark):
+    """Spark takes exploded variants for as few as the guides."""
+    guides = spark.createDataFrame([(str(i), "".join(random.Random(i).choices("ACGT", k=20))) for i in range(50)], "qid string, guide string")
+    contigs = spark.createDataFrame([(1, "ACGTTGCA" * 40 + "GG")], "seq_id long, seq string")
+    for rows in (search.search(contigs, guides, 20, 3), search.bulge_search(contigs, guides, 20, 2, 1)):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [segment" in plan and not re.search(r"Broadcast\w*Join \[segment", plan)
+
+
+def test_scan_takes_any_number_of_guides(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCANNED", 1000)
+    rng = random.Random(3)
+    contigs = spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=400))) for i in range(20)], "seq_id long, seq string")
+    guides = spark.range(10_500).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("qid"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT").alias("guide"))
+    got = sorted(map(tuple, search.scan(contigs, guides, 8, 0).collect()))
+    assert got == sorted(map(tuple, search.search(contigs, guides, 8, 0).collect())) and len(got) > 100
+    assert search.scan(contigs, guides.where("1 = 0"), 8, 0).collect() == []
