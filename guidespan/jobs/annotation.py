@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from guidespan.jobs import queries as Q
 from guidespan.operators import annotate
+from guidespan.operators.lineage import cut
 from guidespan.sources import annotation as A
 
 _PARTS = (
@@ -33,7 +34,8 @@ def gff_lines(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return A.parsed(gff_lines(spark, sf_dir)).withColumn("seq_id", F.col("seq_id").cast("long"))
+    """The lines' rows, taken apart once: genes, transcripts and parts are each read from them, several times."""
+    return cut(A.parsed(gff_lines(spark, sf_dir)).withColumn("seq_id", F.col("seq_id").cast("long")))
 
 
 def _sites(spark, sf_dir):
@@ -56,7 +58,7 @@ def chosen_transcripts(spark, sf_dir):
 
 def annotated_sites(spark, sf_dir):
     """Sites with what lies there; on contigs without annotation the feature is empty."""
-    rows = annotate.overlaps(_sites(spark, sf_dir), annotate.features(_parsed(spark, sf_dir)))
+    rows = annotate.overlaps(_sites(spark, sf_dir), cut(annotate.features(_parsed(spark, sf_dir))))  # read twice
     return rows.fillna("", ["feature"])
 
 
