@@ -29,6 +29,33 @@ def test_other_expressions_take_the_plain_way(spark):
     assert sorted(map(tuple, rows.collect())) == [(1, 0, "AAG"), (1, 3, "ACG")]
 
 
+def test_long_contigs_are_worked_on_in_stretches(spark, monkeypatch):
+    rng = random.Random(5)
+    seq = "".join(rng.choices("ACGTé", [30, 30, 30, 30, 1], k=scan.BLOCK * 2 + 7))
+    seq = seq[: scan.BLOCK - 2] + "TTTTT" + seq[scan.BLOCK + 3 :]
+    rows = C.windows(spark.createDataFrame([(1, seq), (2, "TTTTAATA")], "seq_id long, seq string"), 4, "TTTT|AATA")
+    want = [(1, m.start(), m.group(1)) for m in re.finditer("(?=(TTTT|AATA))", seq)] + [(2, 0, "TTTT"), (2, 4, "AATA")]
+    assert sorted(map(tuple, rows.collect())) == want
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()  # no chunks are cut
+
+
+@pytest.mark.parametrize("length", [12, 31, 34])
+def test_search_compares_by_bits_and_letters_alike(spark, length):
+    """The first base's code is the highest of the number; a guide's N differs from every base."""
+    rng = random.Random(length)
+    guides = ["".join(rng.choices("ACGT", k=length)) for _ in range(40)]
+    guides = [g[: i % length] + "N" + g[i % length + 1 :] if i % 3 == 0 else g for i, g in enumerate(guides)]
+    targets = [mutated(rng, g.replace("N", "A"), i % 4, 0) for i, g in enumerate(guides)]
+    contigs = spark.createDataFrame([(i, t + "TGG") for i, t in enumerate(targets)], "seq_id long, seq string")
+    found = search.search(contigs, spark.createDataFrame([(str(i), g) for i, g in enumerate(guides)], "qid string, guide string"), length, 2)
+    got = {(int(r.qid), r.target, r.mismatch) for r in found.where("strand = '+'").collect()}
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {(i, t, n) for i, g in enumerate(guides) for t in targets if (n := differ(g, t)) <= 2}
+    assert got == want and len(want) > 10
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"SortMergeJoin \[(segment|seed)", x)]
+    assert joins and (length > 31 or all("bit_count" in x and "aggregate(" not in x for x in joins))
+
+
 def test_letters_of_texts(spark):
     rng = random.Random(7)
     held = [(i, None if i % 9 == 0 else "".join(rng.choices("acgtACGTné 𝄞\n", k=rng.choice([0, 5, 22, 40, 3000])))) for i in range(200)]
