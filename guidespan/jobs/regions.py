@@ -45,7 +45,7 @@ def self_complementarity(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     held = Q.contigs(spark, sf_dir)
-    return sides.candidates(held, patterns.centres(held, Q.CENTRE), LEFT, RIGHT)
+    return sides.candidates(held, patterns.centres(held, Q.CENTRE, sides.reach(LEFT, RIGHT)), LEFT, RIGHT)
 
 
 def side_candidates(spark, sf_dir):

@@ -105,11 +105,22 @@ def gap_pairs(contigs: DataFrame, left: Motif, right: Motif, least: int, most: i
     return pairs.withColumn("strand", F.when(both, "minus").otherwise("plus")).withColumn("gap", F.col("right_pos") - F.col("left_pos") - n).withColumn("compound_end", F.col("right_pos") + m)
 
 
-def centres(contigs: DataFrame, literal: str) -> DataFrame:
-    """(seq_id, y_start, y_end, strand) of a literal sequence on both strands; one that is its own reverse complement counts as plus."""
+def centres(contigs: DataFrame, literal: str, reach: int = 0) -> DataFrame:
+    """(seq_id, y_start, y_end, strand) of a literal sequence on both strands; one that is its own reverse complement counts as plus.
+
+    reach: the scan also cuts as many bases on either side, clamped to the contig, with the centre between them: around, which begins at
+    around_start. For contigs that are a row each, of letters of A to Y.
+    """
     plus, minus = literal.upper(), S.flipped(literal)
     if set(plus) - set("ACGT"):
         raise ValueError("a centre is literal bases")
+    if reach:
+        pad, beside = F.lit("Z" * reach), f"[A-Z]{{{reach}}}"
+        padded = contigs.select("seq_id", F.concat(pad, "seq", pad).alias("seq"))
+        out = windows(padded, len(plus) + 2 * reach, f"{beside}{plus}{beside}|{beside}{minus}{beside}")
+        strand = F.when(F.substring("window", reach + 1, len(plus)) == plus, "+").otherwise("-")
+        around = F.translate("window", "Z", "")
+        return out.select("seq_id", F.col("pos").alias("y_start"), (F.col("pos") + len(plus)).alias("y_end"), strand.alias("strand"), F.greatest(F.col("pos") - reach, F.lit(0)).alias("around_start"), around.alias("around"))
     out = windows(contigs, len(plus), f"{plus}|{minus}")
     return out.select("seq_id", F.col("pos").alias("y_start"), (F.col("pos") + len(plus)).alias("y_end"), F.when(F.col("window") == plus, "+").otherwise("-").alias("strand"))
 

@@ -26,12 +26,44 @@ class Side:
             raise ValueError(f"bad distances: {self.nearest} {self.farthest}")
 
 
+def reach(*sides: Side) -> int:
+    """How far from a centre a candidate of these sides may reach."""
+    return max(side.farthest + len(side.motif.codes) + side.motif.flank for side in sides)
+
+
+def _around(centres: DataFrame, left: Side, right: Side) -> DataFrame:
+    """``candidates`` of centres that come with the bases around them."""
+    found, from_place = [], lambda place: (place - F.col("around_start") + 1).cast("int")
+
+    def add(name: str, side: Side, strand: str, codes: str) -> None:
+        n, flank = len(codes), side.motif.flank
+        after = F.col("strand") == ("-" if name == "left" else "+")
+        start = lambda d: F.when(after, F.col("y_end") + d).otherwise(F.col("y_start") - n - d)
+        motif = lambda d: F.substring("around", from_place(start(d)), F.lit(n))
+        before = strand == ("plus" if side.motif.side == "upstream" else "minus")
+        first = lambda d: F.greatest(start(d) - flank, F.lit(0)) if before else start(d)
+        site = lambda d: F.substring("around", from_place(first(d)), (start(d) + (n if before else n + flank) - first(d)).cast("int"))
+        row = lambda d: F.struct(start(d).alias("motif_start"), motif(d).alias("motif_seq"), F.lit(strand).alias("motif_strand"), F.lit(name).alias("side"), d.cast("long").alias("distance"), first(d).alias("full_start"), site(d).alias("sequence"))
+        there = F.filter(F.sequence(F.lit(side.nearest), F.lit(side.farthest)), lambda d: (start(d) >= F.col("around_start")) & motif(d).rlike(f"^{S.pattern(codes)}$"))
+        found.append(F.transform(there, row))
+
+    for name, side in (("left", left), ("right", right)):
+        add(name, side, "plus", side.motif.codes)
+        add(name, side, "minus", S.flipped(side.motif.codes))
+    return centres.withColumn("_m", F.explode(F.concat(*found))).select(*centres.columns, "_m.*").withColumn("full_end", F.col("full_start") + F.length("sequence"))
+
+
 def candidates(contigs: DataFrame, centres: DataFrame, left: Side, right: Side) -> DataFrame:
     """Centres (seq_id, y_start, y_end, strand) with side, motif_start, motif_strand, motif_seq, distance, full_start, full_end, sequence.
 
     Left and right are those of the centre's own strand: beside a centre of the minus strand, the left side is the one after it. The
     motif may stand on either strand; its flank is clamped to the contig and its site is given as on the plus strand.
+
+    Centres that come with the bases around them (``patterns.centres`` with the ``reach`` of both sides) are looked at one by one, so nothing
+    is shuffled. Others meet all places of the motifs in a join, and the bases of their sites are looked up.
     """
+    if "around" in centres.columns:
+        return _around(centres, left, right)
     out = None
     for name, side in (("left", left), ("right", right)):
         motif, n = side.motif, len(side.motif.codes)
@@ -56,7 +88,10 @@ def candidates(contigs: DataFrame, centres: DataFrame, left: Side, right: Side)
 def shown(rows: DataFrame, contigs: DataFrame, longest: int) -> DataFrame:
     """Candidates with region_seq: all from the site to the centre, the centre in lower case. No region is longer than ``longest``."""
     start, end = F.least("full_start", "y_start"), F.greatest("full_end", "y_end")
-    rows = fetch(rows, contigs, start, end, "_region", longest)
+    if "around" in rows.columns:
+        rows = rows.withColumn("_region", F.substring("around", (start - F.col("around_start") + 1).cast("int"), (end - start).cast("int"))).drop("around", "around_start")
+    else:
+        rows = fetch(rows, contigs, start, end, "_region", longest)
     size = F.col("y_end") - F.col("y_start")
     cut = lambda at, n: F.substring("_region", at.cast("int"), n.cast("int"))
     ahead = F.col("y_start") - start
@@ -98,7 +133,7 @@ def paired(rows: DataFrame, best: dict[str, int]) -> DataFrame:
     """One row a centre: left and right, structs of the candidate of either side whose distance is next to the best one, null without any;
     ties go to the nearer one, then to the first by place. distance_score of a candidate is how far it is from the best distance."""
     target = F.when(F.col("side") == "left", best["left"]).otherwise(best["right"])
-    rows = rows.withColumn("distance_score", F.abs(F.col("distance") - target))
+    rows = rows.drop("around", "around_start").withColumn("distance_score", F.abs(F.col("distance") - target))
     own = F.struct(*rows.columns)
     order = F.struct("distance_score", "distance", "motif_start", "motif_strand")
     pick = lambda side: F.min_by(own, F.when(F.col("side") == side, order)).alias(side)

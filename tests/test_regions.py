@@ -102,6 +102,21 @@ def test_sides_equal_brute_force(spark, contigs):
     assert {(r.seq_id, r.y_start, r.strand, r.side, r.motif_start, r.motif_strand, r.distance, r.sequence, r.region_seq) for r in rows} == want
 
 
+def test_centres_with_the_bases_around_them_shuffle_nothing(spark, contigs):
+    # Contigs end beside centres, and hold an N, so that all is clamped and compared as by the join.
+    held = contigs.unionByName(spark.createDataFrame([("c3", "CCGATAC"), ("c4", "GTATCNGGATGGGATTACACC"), ("c5", "GAT")], "seq_id string, seq string"))
+    left, right = sides.Side(Motif("GG", 5, "upstream"), 1, 12), sides.Side(Motif("AC", 4, "downstream"), 0, 9)
+    plain = sides.candidates(held, centres(held, "GAT"), left, right)
+    rows = sides.candidates(held, centres(held, "GAT", sides.reach(left, right)), left, right)
+    key = ["seq_id", "y_start", "y_end", "strand", "side", "motif_start", "motif_strand", "motif_seq", "distance", "full_start", "full_end", "sequence", "region_seq"]
+    shown = [sides.shown(r, held, 40).select(*key) for r in (plain, rows)]
+    assert shown[0].schema.simpleString() == shown[1].schema.simpleString()
+    got, want = sorted(map(tuple, shown[1].collect())), sorted(map(tuple, shown[0].collect()))
+    assert got == want and {r[0] for r in got} >= {"c1", "c3", "c4"}
+    plan = shown[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_pairs_of_sides_and_why_they_fail(spark):
     schema = "seq_id string, y_start long, y_end long, strand string, side string, motif_start long, motif_strand string, distance long, nuclease string"
     rows = spark.createDataFrame(
