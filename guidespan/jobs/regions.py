@@ -11,6 +11,7 @@ from guidespan.functions import seq as S
 from guidespan.jobs import annotation
 from guidespan.jobs import queries as Q
 from guidespan.operators import export, patterns, regions, search, sides
+from guidespan.operators.lineage import cut
 
 LEFT = sides.Side(Q.BESIDE, 0, 25)
 RIGHT = sides.Side(patterns.Motif("TGA", 8, "downstream"), 2, 30)
@@ -63,8 +64,8 @@ def side_pairs(spark, sf_dir):
 def search_recall(spark, sf_dir):
     """Per guide, what a search of one mismatch at most finds of what the full one does."""
     held = Q.contigs(spark, sf_dir)
-    own = Q.guides(held)
-    rows = sides.recall({"full": search.search(held, own, 20, Q.BUDGET), "narrow": search.search(held, own, 20, 1)}, "full")
+    own, sites = cut(Q.guides(held)), cut(search.beside_pam(held, 20))  # read by both searches
+    rows = sides.recall({"full": search.search_sites(sites, own, 20, Q.BUDGET), "narrow": search.search_sites(sites, own, 20, 1)}, "full")
     return rows.select("qid", "reference", "full", "narrow", F.round("full_recall", 9).alias("full_recall"), F.round("narrow_recall", 9).alias("narrow_recall"))
 
 
