@@ -113,6 +113,23 @@ def test_hairpins_equal_brute_force(spark):
     assert all(r.n == brute_hairpin(r.s) for r in rows)
 
 
+def test_hairpins_are_looked_for_in_batches(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("acgtUN-é", [9, 9, 9, 9, 1, 1, 1, 1], k=rng.choice([0, 1, 2, 15, 16, 40]))) for _ in range(300)]
+
+    def plain(s):
+        dna = s.upper().replace("U", "T")
+        other = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(b, ".") for b in reversed(dna))
+        return max((k for k in range(1, len(dna) + 1) for i in range(len(dna) - k + 1) if dna[i : i + k] in other), default=0)
+
+    want = list(map(plain, texts))
+    assert V.hairpins([*texts, None]).tolist() == [*want, 0]
+    monkeypatch.setattr(V, "HELD", 64)
+    assert V.hairpins(texts).tolist() == want
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(V.compact_activity(F.col("s"), "GATTACA"))
+    assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bulge_risk(spark):
     risk = lambda g, t, mm, rna, dna, indel: value(spark, V.bulge_risk(F.lit(g), F.lit(t), F.lit(mm), F.lit(rna), F.lit(dna), F.lit(indel)))
     assert risk("ACGT", "AC-T", 0, 1, 0, 1) == 0.5
